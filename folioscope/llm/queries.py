@@ -13,6 +13,22 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_rows(table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {"op1_sharding": op1_sharding}
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from folioscope.llm.token_files import token_digests
+
+    return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from folioscope.llm.bpe import bpe_digests
+
+    return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op3_token_files": op3_token_files, "op5_bpe": op5_bpe}
 
 SQL: dict[str, str] = {}
