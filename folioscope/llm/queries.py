@@ -29,6 +29,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_token_files": op3_token_files, "op5_bpe": op5_bpe}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op3_token_files": op3_token_files, "op5_bpe": op5_bpe, "op10_minhash": op10_minhash}
 
 SQL: dict[str, str] = {}
