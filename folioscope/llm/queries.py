@@ -35,6 +35,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_token_files": op3_token_files, "op5_bpe": op5_bpe, "op10_minhash": op10_minhash}
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.webp import media_digests
+
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op3_token_files": op3_token_files, "op5_bpe": op5_bpe, "op7_media": op7_media, "op10_minhash": op10_minhash}
 
 SQL: dict[str, str] = {}
