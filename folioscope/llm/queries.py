@@ -41,6 +41,20 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_token_files": op3_token_files, "op5_bpe": op5_bpe, "op7_media": op7_media, "op10_minhash": op10_minhash}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.quality import score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.langid import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, train(docs))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op3_token_files": op3_token_files, "op5_bpe": op5_bpe, "op7_media": op7_media, "op10_minhash": op10_minhash, "op4_quality": op4_quality, "op8_langid": op8_langid}
 
 SQL: dict[str, str] = {}
