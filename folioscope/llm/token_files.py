@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +25,10 @@ from folioscope.session import fanout, materialize, work_path
 
 #: White space to str.split() but not to the tokenizer's pattern.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-CACHE_WORDS = 600_000
+#: Western letters, then closing ASCII marks other than the apostrophe (which can begin a contraction).
+LETTERS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+JOINED = 64
+CACHE_WORDS = 900_000
 SLICE_CHARS = 4 << 20
 
 
@@ -41,11 +45,44 @@ class WordCachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(dtype or ("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) < 1 << 16 else "<u4"))
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, self.dtype).tobytes() for e in encode(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in encode(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only: each is one piece, and a piece ends at a token with the word-end mark, so
+        many go to the library in one text."""
+        texts = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        ids = np.frombuffer(b"".join(self._library(texts)), self.dtype)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return self._library(words)
+        packed, cuts = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+        return [packed[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _learn(self, new) -> None:
+        """Cache chunks; letters before closing punctuation are two pieces and learnt apart."""
+        split, rest = [], []
+        for w in new:
+            m = LETTERS.fullmatch(w)
+            if m:
+                letters, marks = m.groups()
+                split.append((w, letters.lower() if letters.isascii() else letters, marks))
+            else:
+                rest.append(w)
+        parts = list({x[1] for x in split}.difference(self.parts))
+        self.parts.update(zip(parts, self._letters(parts)))
+        marks = list({x[2] for x in split}.difference(self.parts))
+        self.parts.update(zip(marks, self._library(marks)))
+        self.cache.update((w, self.parts[a] + self.parts[b]) for w, a, b in split)
+        self.cache.update(zip(rest, self._library(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
@@ -60,11 +97,11 @@ class WordCachedEncoder:
                 chars, end = chars + len(texts[end]), end + 1
             words = [texts[i].split() if out[i] is None else [] for i in range(at, end)]
             new = set().union(*words).difference(self.cache)
-            if len(self.cache) + len(new) > CACHE_WORDS:
+            if len(self.cache) + len(self.parts) + len(new) > CACHE_WORDS:
                 self.cache.clear()
+                self.parts.clear()
                 new = set().union(*words)
-            new = list(new)
-            self.cache.update(zip(new, self._library(new)))
+            self._learn(new)
             get = self.cache.__getitem__
             for i, w in zip(range(at, end), words):
                 if out[i] is None:
