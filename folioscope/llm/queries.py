@@ -55,6 +55,18 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_token_files": op3_token_files, "op5_bpe": op5_bpe, "op7_media": op7_media, "op10_minhash": op10_minhash, "op4_quality": op4_quality, "op8_langid": op8_langid}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.line_dedup import remove_repeated_lines
+
+    return remove_repeated_lines(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op3_token_files": op3_token_files, "op5_bpe": op5_bpe, "op7_media": op7_media, "op10_minhash": op10_minhash, "op4_quality": op4_quality, "op8_langid": op8_langid, "op2_line_dedup": op2_line_dedup, "op9_packing": op9_packing}
 
 SQL: dict[str, str] = {}

@@ -56,6 +56,14 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES):
         at = end
 
 
+def span_hashes(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of each text[start[i]:stop[i]]: differences of one running polynomial, shifted to begin at power 0."""
+    up, down = _powers(1 << max(16, int(len(text)).bit_length()))
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=sums[1:])
+    return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word (ASCII letters in lower case) of the rows, and the rows' offsets (n + 1) into them."""
     lo, hi = int(offsets[0]), int(offsets[-1])
@@ -69,12 +77,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     stops = inside.copy()
     stops[:-1] &= begins[1:] | ~inside[1:]
     start, stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    n = 1 << max(16, int(len(text)).bit_length())
-    up, down = _powers(n)
-    sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=sums[1:])
-    words = mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
-    return words, np.searchsorted(start, offsets - lo)
+    return span_hashes(text, start, stop), np.searchsorted(start, offsets - lo)
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
