@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +32,20 @@ def get_session(app: str = "folioscope", cpus: int | str = "*", shuffle: int = 8
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, wherever they start (once a session)."""
+    key = f"ship-{spark.sparkContext.applicationId}"
+    if key not in _OWN:
+        root = Path(__file__).resolve().parent
+        _OWN[key] = path = f"{tempfile.mkdtemp(prefix='folioscope-')}/folioscope.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
