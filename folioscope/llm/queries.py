@@ -67,6 +67,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_token_files": op3_token_files, "op5_bpe": op5_bpe, "op7_media": op7_media, "op10_minhash": op10_minhash, "op4_quality": op4_quality, "op8_langid": op8_langid, "op2_line_dedup": op2_line_dedup, "op9_packing": op9_packing}
+def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.hnsw import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op3_token_files": op3_token_files, "op5_bpe": op5_bpe, "op7_media": op7_media, "op10_minhash": op10_minhash, "op4_quality": op4_quality, "op8_langid": op8_langid, "op2_line_dedup": op2_line_dedup, "op9_packing": op9_packing, "op6_hnsw": op6_hnsw}
 
 SQL: dict[str, str] = {}
