@@ -26,6 +26,7 @@ BUILD_BEAM = 64
 SEARCH_BEAM = 160
 BATCH = 256
 STEP = 4
+ENTRIES = 8
 QUERY_BLOCK = 512
 
 
@@ -163,7 +164,7 @@ class Graph:
                 sims = np.zeros((len(new), 0), np.float32)
                 if at:
                     entry = graph.entries(vectors[new]) if layers else np.full((len(new), 1), nodes[0], np.int32)
-                    entry = np.where(layer.row[entry] < at, entry, nodes[0])
+                    entry = np.where((entry >= 0) & (layer.row[entry] < at), entry, nodes[0])
                     links, sims = beam(vectors, layer, vectors[new], entry, BUILD_BEAM)
                 among = vectors[new] @ vectors[new].T
                 np.fill_diagonal(among, -np.inf)
@@ -177,18 +178,28 @@ class Graph:
         return Graph(vectors, layers)
 
     def entries(self, queries: np.ndarray) -> np.ndarray:
-        """Nearest nodes found in the lowest layer there is so far, one a query."""
+        """Nodes found nearest in the lowest layer there is so far, a few a query (-1 for none)."""
         entry = np.full((len(queries), 1), self.layers[0].nodes[0], np.int32)
         for layer in self.layers:
-            entry = beam(self.vectors, layer, queries, entry, 4)[0][:, :1]
+            entry = beam(self.vectors, layer, queries, entry, ENTRIES)[0]
         return entry
 
-    def search(self, queries: np.ndarray, size: int = SEARCH_BEAM) -> np.ndarray:
-        """Ids of the nodes found nearest to each query (-1 for none)."""
+    def search(self, queries: np.ndarray, least: int, size: int = SEARCH_BEAM) -> np.ndarray:
+        """Ids of the nodes found nearest to each query (-1 for none), `least` of them if there are so many.
+
+        Where links lead to fewer (a small group of near vectors may link to itself alone), the search starts again
+        from all nodes of the layer above, and then from all nodes."""
         q = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
-        upper = Graph(self.vectors, self.layers[:-1])
-        entry = upper.entries(q) if upper.layers else np.full((len(q), 1), self.layers[0].nodes[0], np.int32)
-        return beam(self.vectors, self.layers[-1], q, entry, min(size, len(self.vectors)))[0]
+        upper, base, n = Graph(self.vectors, self.layers[:-1]), self.layers[-1], len(self.vectors)
+        entry = upper.entries(q) if upper.layers else np.full((len(q), 1), base.nodes[0], np.int32)
+        size = min(max(size, least), n)
+        out = beam(self.vectors, base, q, entry, size)[0]
+        for start in [x.nodes for x in upper.layers[-1:]] + [base.nodes]:
+            few = np.flatnonzero(np.count_nonzero(out >= 0, axis=1) < min(least, n))
+            for a in range(0, len(few), 16):
+                some = few[a : a + 16]
+                out[some] = beam(self.vectors, base, q[some], np.broadcast_to(start, (len(some), len(start))), size)[0]
+        return out
 
     def arrays(self) -> dict[str, np.ndarray]:
         return {"vectors": self.vectors} | {f"nodes{i}": x.nodes for i, x in enumerate(self.layers)} | {f"neighbours{i}": x.neighbours for i, x in enumerate(self.layers)}
@@ -230,7 +241,7 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataF
     # The position spreads a vec_id that repeats.
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
 
-    def build(key, part: pa.Table) -> pa.Table:
+    def build(key, part):
         dim, shard = (k.as_py() for k in key)
         ids = part.column("vec_id").combine_chunks().to_numpy()
         points = _matrix(part.column("embedding").combine_chunks())
@@ -279,7 +290,7 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int = 20,
                 ids, points, arrays = asked["ids"], asked["points"], held[1]
                 q, v, s = [], [], []
                 for a in range(0, len(ids), BATCH):
-                    found = held[2].search(points[a : a + BATCH], size)
+                    found = held[2].search(points[a : a + BATCH], k + 1, size)
                     for i, nodes in enumerate(found, a):
                         nodes = nodes[nodes >= 0]
                         score = arrays["points"][nodes] @ points[i]
@@ -287,10 +298,11 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int = 20,
                         # Equal scores at the cut: all their nodes take part, so that the smaller vec_id wins.
                         cut = score[order[min(k, len(order) - 1)]]
                         take_v, take_s = [np.zeros(0, np.int64)], [np.zeros(0)]
-                        for node in order[score[order] >= cut].tolist():
-                            rows = np.unique(arrays["rows"][arrays["starts"][node] : arrays["starts"][node + 1]])[: k + 1]
+                        for at in order[score[order] >= cut].tolist():
+                            first, last = arrays["starts"][nodes[at]], arrays["starts"][nodes[at] + 1]
+                            rows = np.unique(arrays["rows"][first:last])[: k + 1]
                             take_v.append(rows)
-                            take_s.append(np.full(len(rows), score[node]))
+                            take_s.append(np.full(len(rows), score[at]))
                         vs, ss = np.concatenate(take_v), np.concatenate(take_s)
                         other = vs != ids[i]
                         vs, ss = vs[other], ss[other]
