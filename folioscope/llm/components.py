@@ -12,7 +12,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select(F.col("u").alias("c"), F.col("v").alias("w"))
     if large:
         both = both.union(edges.select(F.col("v").alias("c"), F.col("u").alias("w")))
-    least = both.groupBy("c").agg(F.least(F.min("w"), F.col("c")).alias("m"))
+    # Joined from a table, the rows of a centre with very many links can be split.
+    least = materialize(both.groupBy("c").agg(F.least(F.min("w"), F.col("c")).alias("m")), "least")
     joined = both.join(least, "c")
     if large:
         new = joined.where("w > c").select(F.col("w").alias("u"), F.col("m").alias("v"))

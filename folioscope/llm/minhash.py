@@ -1,9 +1,9 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Each distinct shingle set gets 128 minima. Bands of four whole minima give candidates; of every minimum only four low
-bits are kept in a packed signature, and the share of equal codes, corrected for chance collisions, estimates the
-similarity of a candidate pair. Pairs far below the threshold are dropped by that estimate; the rest are confirmed on
-their full shingle sets.
+Each distinct shingle set gets 128 minima, whose bands of four give candidates, and a signature of 1024 further minima
+(one a bin of one permutation), of which only four low bits are kept, packed in bit planes. The share of equal codes
+among bins that are not empty, corrected for chance collisions, estimates a candidate pair's similarity by bit counts.
+Pairs clearly below the threshold are dropped by that estimate; the rest are confirmed on their full shingle sets.
 
 Only what decides the components is compared. Equal sets are one class. Within a band bucket each class is first
 compared with the bucket's least class (a star, not all pairs). After the links of the stars are joined into
@@ -25,9 +25,11 @@ from folioscope.session import discard, materialize
 HASHES = 128
 ROWS = 4
 BANDS = HASHES // ROWS
+BINS = 1024
 BITS = 4
-#: Estimates this far below the threshold (about five standard deviations of 128 codes) rule a pair out.
-MARGIN = 0.22
+CODES = (1 << BITS) - 1  # code 0 marks an empty bin
+#: Estimates this far below the threshold (over five standard deviations) rule a pair out.
+MARGIN = 0.07
 BLOCK = 1024
 _seeds = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS, SHIFTS = _seeds[:HASHES] | np.uint64(1), _seeds[HASHES:]
@@ -56,22 +58,30 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def signatures(m: np.ndarray) -> np.ndarray:
-    """Low bits of the minima, one plane of packed bits for each kept bit (rows x BITS x 16 bytes)."""
-    mixed = mix(m)
-    return np.stack([np.packbits((mixed >> np.uint64(b)).astype(np.uint8) & 1, axis=1) for b in range(BITS)], axis=1)
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """Codes of each set's least value a bin, one plane of packed bits for each kept bit (sets x BITS x BINS / 8)."""
+    flat = mix(np.concatenate(sets) ^ np.uint64(0xC2B2AE3D27D4EB4F))
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    empty = np.uint64(0xFFFFFFFFFFFFFFFF)
+    least = np.full(len(sets) * BINS, empty)
+    np.minimum.at(least, row * BINS + (flat & np.uint64(BINS - 1)).astype(np.int64), flat)
+    code = np.where(least == empty, 0, 1 + (mix(least) >> np.uint64(8)) % np.uint64(CODES)).astype(np.uint8).reshape(-1, BINS)
+    return np.stack([np.packbits(code >> b & 1, axis=1) for b in range(BITS)], axis=1)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Collision-corrected similarity of signatures (broadcasting over leading axes)."""
-    differ = np.bitwise_or.reduce(np.bitwise_xor(a, b), axis=-2).view(np.uint64)
-    equal = 1 - np.bitwise_count(differ).sum(axis=-1) / HASHES
-    chance = 2.0**-BITS
-    return (equal - chance) / (1 - chance)
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    full_a, full_b = np.bitwise_or.reduce(a, axis=-2), np.bitwise_or.reduce(b, axis=-2)
+    differ = np.bitwise_or.reduce(a ^ b, axis=-2)
+    count = lambda x: np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
+    both = full_a & full_b
+    equal, shared, either = count(both & ~differ), count(both), count(full_a | full_b)
+    return (equal - shared / CODES) / (1 - 1 / CODES) / np.maximum(either, 1)
 
 
 def _unpack(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS, HASHES // 8)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS, BINS // 8)
 
 
 def _sketch(batches):
@@ -90,7 +100,7 @@ def _sketch(batches):
                 k1[full] = np.add.reduceat(mix(flat), starts)
                 k2[full] = np.add.reduceat(mix(flat ^ np.uint64(0xA5A5A5A55A5A5A5A)), starts)
                 m = minima(some)
-                keys, packed = band_keys(m), signatures(m).reshape(len(m), -1)
+                keys, packed = band_keys(m), signatures(some).reshape(len(m), -1)
                 for j, i in enumerate(full.tolist()):
                     signature[i], bands[i] = packed[j].tobytes(), keys[j]
             yield pa.RecordBatch.from_arrays(
@@ -138,7 +148,7 @@ def _cross_blocks(threshold: float):
     """Pairs of different components in two blocks of a bucket whose estimate allows the threshold."""
 
     def arrays(side):
-        signature = np.frombuffer(b"".join(x["signature"] for x in side), np.uint8).reshape(-1, BITS, HASHES // 8)
+        signature = np.frombuffer(b"".join(x["signature"] for x in side), np.uint8).reshape(-1, BITS, BINS // 8)
         return np.array([x["class"] for x in side], np.int64), np.array([x["comp"] for x in side], np.int64), signature
 
     def run(batches):
@@ -174,6 +184,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sig = unique.select("class", "signature")
     banded = unique.select("class", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
+    buckets = materialize(buckets, "buckets")  # joined from a table, a hot bucket can be split
     stars = materialize(banded.join(buckets, "band"), "stars")
 
     def verified(pairs: DataFrame) -> DataFrame:
