@@ -7,9 +7,10 @@ Pairs clearly below the threshold are dropped by that estimate; the rest are con
 
 Only what decides the components is compared. Equal sets are one class. Within a band bucket each class is first
 compared with the bucket's least class (a star, not all pairs). After the links of the stars are joined into
-components, buckets that still hold several components are searched in full, block by block on packed signatures, and
-only pairs from different components whose estimate allows a link leave a block. Hence no link that joins documents
-which the stars did not join is lost, and no group's pairs are all emitted.
+components, buckets that still hold several components are searched in full, block by block: packed signatures name
+the classes that may link across components, these come with their texts, and the block itself confirms links on full
+sets and emits those that join components, at most one fewer than its classes. Hence no link that joins documents
+which the stars did not join is lost, and pairs are never emitted. A pair is looked at in the first of its bands only.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ BITS = 4
 CODES = (1 << BITS) - 1  # code 0 marks an empty bin
 #: Estimates this far below the threshold (over five standard deviations) rule a pair out.
 MARGIN = 0.07
-BLOCK = 1024
+#: A block of a bucket holds about this many classes and shingles at most.
+BLOCK_CLASSES = 512
+BLOCK_SHINGLES = 1_000_000
 _seeds = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS, SHIFTS = _seeds[:HASHES] | np.uint64(1), _seeds[HASHES:]
 
@@ -120,6 +123,19 @@ def _passing(threshold: float):
     return run
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    return int(np.count_nonzero(large[at] == small)) if len(large) else 0
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = _shared(x, y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(percent: int):
     """Keeps pairs whose full shingle sets reach the threshold: 100 * intersection >= percent * union."""
 
@@ -133,36 +149,88 @@ def _confirm(percent: int):
                     b = b_ids[first + i]
                     if last_b is None or last_b[0] != b:
                         last_b = b, next(shingle_sets(batch.column("tb").slice(first + i, 1)))[1][0]
-                    y = last_b[1]
-                    small, large = (x, y) if len(x) <= len(y) else (y, x)
-                    at = np.searchsorted(large, small)
-                    at[at == len(large)] = 0
-                    both = int(np.count_nonzero(large[at] == small)) if len(large) else 0
-                    ok.append(100 * both >= percent * (len(x) + len(y) - both))
+                    ok.append(_linked(x, last_b[1], percent))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
 
-def _cross_blocks(threshold: float):
-    """Pairs of different components in two blocks of a bucket whose estimate allows the threshold."""
+class _Side:
+    """The classes of one block of a bucket."""
+
+    def __init__(self, cells: list[dict]):
+        self.ids = np.array([x["class"] for x in cells], np.int64)
+        self.comp = np.array([x["comp"] for x in cells], np.int64)
+        self.signature = np.frombuffer(b"".join(x["signature"] for x in cells), np.uint8).reshape(-1, BITS, BINS // 8)
+        self.bands = np.array([x["bands"] for x in cells], np.int64)
+
+
+def _candidates(band: int, left: _Side, right: _Side, same: bool, least: float):
+    """For each class of `left`: its place and those of `right` that may link with it across components, and that
+    share no band before this one."""
+    for i in range(len(left.ids)):
+        at = np.flatnonzero((right.comp != left.comp[i]) & (right.ids > left.ids[i] if same else True))
+        if len(at):
+            equal = right.bands[at] == left.bands[i]
+            at = at[left.bands[i][equal.argmax(axis=1)] == band]
+        if len(at):
+            at = at[estimate(left.signature[i], right.signature[at]) >= least]
+        if len(at):
+            yield i, at
+
+
+def _block_rows(batch):
+    for k in range(batch.num_rows):
+        left = _Side(batch.column("left")[k].as_py())
+        other = batch.column("right")[k].as_py()
+        yield k, left, left if other is None else _Side(other), other is None
+
+
+def _involved(least: float):
+    """(band, i, j, class): the classes of a pair of blocks that have a candidate there."""
+
+    def run(batches):
+        for batch in batches:
+            for k, left, right, same in _block_rows(batch):
+                band = batch.column("band")[k].as_py()
+                found: set[int] = set()
+                for i, at in _candidates(band, left, right, same, least):
+                    found.add(int(left.ids[i]))
+                    found.update(right.ids[at].tolist())
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([band] * n, pa.int64()), *(pa.array([batch.column(c)[k].as_py()] * n, pa.int32()) for c in "ij"), pa.array(sorted(found), pa.int64())], names=["band", "i", "j", "class"])
+
+    return run
+
 
-    def arrays(side):
-        signature = np.frombuffer(b"".join(x["signature"] for x in side), np.uint8).reshape(-1, BITS, BINS // 8)
-        return np.array([x["class"] for x in side], np.int64), np.array([x["comp"] for x in side], np.int64), signature
+def _confirm_blocks(least: float, percent: int):
+    """Links between components in a pair of blocks, confirmed on the full sets of the texts that came with it."""
 
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                left, right = batch.column("left")[k].as_py(), batch.column("right")[k].as_py()
-                ids_a, comp_a, sig_a = arrays(left)
-                ids_b, comp_b, sig_b = arrays(left if right is None else right)
-                found = [(np.zeros(0, np.int64),) * 2]
-                for i in range(len(ids_a)):
-                    at = np.flatnonzero((comp_b != comp_a[i]) & ((ids_b > ids_a[i]) if right is None else True))
-                    at = at[estimate(sig_a[i], sig_b[at]) >= threshold - MARGIN]
-                    found.append((np.maximum(ids_b[at], ids_a[i]), np.minimum(ids_b[at], ids_a[i])))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[j] for f in found])) for j in (0, 1)], names=["a", "b"])
+            for k, left, right, same in _block_rows(batch):
+                came = batch.column("texts")[k].as_py()
+                sets: dict[int, list[np.ndarray]] = {}
+                for first, some in shingle_sets(pa.array([x["text"] for x in came], pa.string())):
+                    for i, s in enumerate(some, first):
+                        sets.setdefault(came[i]["class"], []).append(s)
+                parent: dict[int, int] = {}
+
+                def find(x: int, parent=parent) -> int:
+                    while parent.get(x, x) != x:
+                        parent[x] = x = parent.get(parent[x], parent[x])
+                    return x
+
+                a, b = [], []
+                for i, at in _candidates(batch.column("band")[k].as_py(), left, right, same, least):
+                    for j in at.tolist():
+                        x, y = find(int(left.comp[i])), find(int(right.comp[j]))
+                        p, q = int(left.ids[i]), int(right.ids[j])
+                        if x != y and any(_linked(s, t, percent) for s in sets.get(p, ()) for t in sets.get(q, ())):
+                            parent[max(x, y)] = min(x, y)
+                            a.append(max(p, q))
+                            b.append(min(p, q))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -180,9 +248,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sketch = materialize(source.mapInArrow(_sketch, "doc_id long, n_shingles long, k1 long, k2 long, signature binary, bands array<long>"), "sketch")
     filled = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # One row a distinct set, named by its least doc_id.
-    unique = materialize(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("class"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "unique")
+    unique = materialize(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("class"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "unique")
     sig = unique.select("class", "signature")
-    banded = unique.select("class", F.explode("bands").alias("band"))
+    banded = unique.select("class", "n_shingles", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
     buckets = materialize(buckets, "buckets")  # joined from a table, a hot bucket can be split
     stars = materialize(banded.join(buckets, "band"), "stars")
@@ -207,16 +275,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     comp = components(links)
 
     # Buckets in which several components are left.
-    placed = stars.select("band", "class").join(comp.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("component", "class").alias("comp"))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    cells = placed.join(mixed, "band").join(sig, "class").withColumn("block", F.pmod(F.xxhash64("class"), "parts").cast("int"))
-    blocks = materialize(cells.groupBy("band", "block", "parts").agg(F.collect_list(F.struct("class", "comp", "signature")).alias("cells")), "blocks")
-    inner = blocks.select(F.col("cells").alias("left"), F.lit(None).cast(blocks.schema["cells"].dataType).alias("right"))
-    lefts = blocks.where("block < parts - 1").select("band", F.col("cells").alias("left"), F.explode(F.sequence(F.col("block") + 1, F.col("parts") - 1)).alias("block"))
-    outer = lefts.join(blocks.select("band", "block", F.col("cells").alias("right")), ["band", "block"]).select("left", "right")
-    second = inner.union(outer).mapInArrow(_cross_blocks(threshold), "a long, b long").distinct()
-    second = materialize(second.join(first, ["a", "b"], "left_anti"), "more-pairs")
-    final = components(links.union(verified(second)))
+    placed = stars.select("band", "class", "n_shingles").join(comp.withColumnRenamed("node", "class"), "class", "left").select("band", "class", "n_shingles", F.coalesce("component", "class").alias("comp"))
+    several = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("lo < hi")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    several = materialize(several.select("band", parts.alias("parts")), "several")
+    cells = placed.join(several, "band").join(unique.select("class", "signature", "bands"), "class").withColumn("block", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+    blocks = materialize(cells.groupBy("band", "block", "parts").agg(F.collect_list(F.struct("class", "comp", "signature", "bands")).alias("cells")), "blocks")
+    inner = blocks.select("band", F.col("block").alias("i"), F.col("block").alias("j"), F.col("cells").alias("left"), F.lit(None).cast(blocks.schema["cells"].dataType).alias("right"))
+    lefts = blocks.where("block < parts - 1").select("band", F.col("block").alias("i"), F.col("cells").alias("left"), F.explode(F.sequence(F.col("block") + 1, F.col("parts") - 1)).alias("j"))
+    outer = lefts.join(blocks.select("band", F.col("block").alias("j"), F.col("cells").alias("right")), ["band", "j"]).select("band", "i", "j", "left", "right")
+    crossed = inner.union(outer)
+    least = threshold - MARGIN
+    involved = materialize(crossed.mapInArrow(_involved(least), "band long, i int, j int, class long"), "involved")
+    texts = materialize(source.join(involved.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    carried = involved.join(texts.select(F.col("doc_id").alias("class"), "text"), "class").groupBy("band", "i", "j").agg(F.collect_list(F.struct("class", "text")).alias("texts"))
+    more = materialize(crossed.join(carried, ["band", "i", "j"]).mapInArrow(_confirm_blocks(least, percent), "a long, b long").distinct(), "more-links")
+    discard(texts)
+    final = components(links.union(more))
 
     named = unique.select("k1", "k2", "class").join(final.withColumnRenamed("node", "class"), "class", "left").select("k1", "k2", F.coalesce("component", "class").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
