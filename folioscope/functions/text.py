@@ -45,7 +45,7 @@ def reflow(c: Column) -> Column:
 def reflow_keeping_bullets(c: Column) -> Column:
     """Line wraps to one space, but a line that opens with a bullet stays a line."""
     parts = F.split(c, r"\n(?=[ \t]*[•\-\*] )")
-    return F.array_join(F.transform(parts, reflow), "\n")
+    return F.array_join(F.transform(parts, lambda part: reflow(part)), "\n")
 
 
 def join_printed_lines(lines: Column) -> Column:
@@ -181,7 +181,7 @@ def format_rows(rows: Column) -> Column:
 
 def split_rows(c: Column) -> Column:
     """Lines of "a | b" as rows of cells."""
-    return F.transform(F.filter(F.split(c, "\n"), lambda x: F.trim(x) != ""), lambda x: F.transform(F.split(x, r"\|"), F.trim))
+    return F.transform(F.filter(F.split(c, "\n"), lambda x: F.trim(x) != ""), lambda x: F.transform(F.split(x, r"\|"), lambda cell: F.trim(cell)))
 
 
 def name_slug(c: Column) -> Column:

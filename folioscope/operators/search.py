@@ -269,9 +269,10 @@ def search(nodes: DataFrame, query: Query, scope: Column | None = None, limit: i
         return nodes.where("false").withColumns({"score": F.lit(0.0), "place": F.lit(0)})
     hits = bm25(nodes, terms).where(keep)
     if query.verbatim is not None:
+        # A row may match by a prefix alone, and then has no rank of its own.
         tokens = F.concat(search_tokens(F.coalesce("heading", F.lit(""))), search_tokens(F.coalesce("body", F.lit(""))))
-        exact = nodes.where(keep & verbatim_condition(query.verbatim, tokens)).select("node_id")
-        hits = hits.join(exact, "node_id", "left_semi")
+        exact = nodes.where(keep & verbatim_condition(query.verbatim, tokens))
+        hits = exact.join(hits.select("node_id", "rank"), "node_id", "left").withColumn("rank", F.coalesce("rank", F.lit(0.0)))
     order = [F.col("rank"), *([F.desc("is_current")] if "is_current" in nodes.columns else []), F.col("node_id")]
     pool = hits.orderBy(*order).limit(max(POOL, offset + 3 * limit))
     if query.verbatim is None and query.asks:

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PARTITION_BYTES = 128 << 20
+UNKNOWN_BYTES = 1 << 52
 _OWN: dict[str, str] = {}
 
 
@@ -86,6 +87,8 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def fanout(df: DataFrame, target: int = PARTITION_BYTES) -> int:
-    """Partitions for an explicit repartition of `df`: the session's count, or more where its bytes ask for it."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(n, min(1_000_000, math.ceil(plan_bytes(df) / target)))
+    """Partitions for an explicit repartition of `df`: the session's count, or more where its bytes ask for it.
+
+    Plans of unknown size (in-memory rows) are estimated beyond any table; they keep the session's count."""
+    n, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
+    return n if size > UNKNOWN_BYTES else max(n, math.ceil(size / target))
