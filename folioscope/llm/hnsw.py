@@ -63,7 +63,8 @@ def beam(vectors: np.ndarray, layer: Layer, queries: np.ndarray, entries: np.nda
         again = np.zeros_like(fresh)
         np.put_along_axis(again, order[:, 1:], ranked[:, 1:] == ranked[:, :-1], 1)
         near[again] = -np.inf
-        seen[live[:, None], at] |= fresh
+        r, c = np.nonzero(fresh)
+        seen[live[r], at[r, c]] = True
         all_ids = np.concatenate([ids[live], new], axis=1)
         all_sims = np.concatenate([sims[live], near], axis=1)
         all_done = np.concatenate([done[live], np.zeros_like(fresh)], axis=1)
