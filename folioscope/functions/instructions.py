@@ -99,8 +99,12 @@ def match_instructions(instructions: DataFrame, changes: DataFrame) -> DataFrame
     before = F.coalesce(F.col("new").isNotNull() & F.col("before").contains(F.col("new")), F.lit(False))
     rank = F.when(F.coalesce(done, F.lit(False)), 3).when(before, 1).otherwise(0)
     best = here.groupBy("id").agg(F.max(rank).alias("rank"))
-    # Words made elsewhere: an equi-join on the words themselves.
-    grams = changes.where("after IS NOT NULL").select(F.col("section").alias("other"), "before", "after")
-    loose = instructions.where("new IS NOT NULL").join(grams, F.col("after").contains(F.col("new")) & ~F.coalesce(F.col("before").contains(F.col("new")), F.lit(False)) & (F.col("other") != F.col("section")), "left_semi").select("id", F.lit(True).alias("__else"))
+    # Words made elsewhere: texts that share the first word of what is inserted (an equi-join), then the whole of it.
+    word = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    texts = changes.where("after IS NOT NULL").select(F.col("section").alias("other"), "before", "after", F.explode(F.array_distinct(word(F.col("after")))).alias("__word"))
+    asked = instructions.where("new IS NOT NULL").select("id", "section", "new", F.try_element_at(word(F.col("new")), F.lit(1)).alias("__word"))
+    elsewhere = F.col("after").contains(F.col("new")) & ~F.coalesce(F.col("before").contains(F.col("new")), F.lit(False)) & (F.col("other") != F.col("section"))
+    met = asked.alias("q").join(texts.alias("t"), (F.col("q.__word") == F.col("t.__word")) & elsewhere, "left_semi")
+    loose = met.select("id", F.lit(True).alias("__else"))
     out = best.join(loose, "id", "left")
     return out.select("id", F.when(F.col("rank") == 3, "matched").when(F.col("__else"), "elsewhere").when(F.col("rank") == 1, "earlier").otherwise("not_found").alias("status"))
