@@ -29,8 +29,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the least doc_id) of each group of near-duplicates."""
     ship(spark)
-    gone = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__fs_id")).distinct()
-    return docs.join(materialize(gone, "dropped"), F.col("doc_id").cast("long") == F.col("__fs_id"), "left_anti")
+    gone = materialize(minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "dropped").alias("g")
+    return docs.alias("d").join(gone, F.col("d.doc_id").cast("long") == F.col("g.doc_id"), "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,9 +153,12 @@ def remove_repeated_lines(docs: DataFrame, least: int = BLOCK_WORDS, drop_emptie
     Rows of one doc_id don't shorten each other; rows with a null doc_id or text stay as they are. A document that
     loses every line with words is dropped with `drop_emptied`, else left with what remains. Line breaks around what
     stays are kept as they were between lines; an empty table gives an empty result."""
-    gone = repeated_lines(docs, least).select(F.col("doc_id").alias("__fs_id"), F.col("text_hash").alias("__fs_hash"), F.col("lines").alias("__fs_lines"))
-    on = (F.col("doc_id").cast("long") == F.col("__fs_id")) & (F.xxhash64("text") == F.col("__fs_hash"))
-    joined = docs.join(gone, on, "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__fs_lines")
+    gone = repeated_lines(docs, least).alias("g")
+    name = "__fs_lines"
+    while name in docs.columns:
+        name += "_"
+    on = (F.col("d.doc_id").cast("long") == F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.text_hash"))
+    joined = docs.alias("d").join(gone, on, "left").select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("g.lines").alias(name))
     at, schema = docs.columns.index("text"), docs.schema
 
     def cut(batches):
