@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioscope.functions.text import TRUTHY, search_tokens, vocabulary_tokens
+from folioscope.session import materialize
 
 HEADING_WEIGHT, BODY_WEIGHT = 8.0, 1.0
 K1, B = 1.2, 0.75
@@ -164,7 +165,11 @@ def analyse(raw: str, vocab: DataFrame | None = None, synonyms: dict[str, list[s
 
 
 def with_tokens(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("heading_tokens", search_tokens(F.coalesce("heading", F.lit("")))).withColumn("body_tokens", search_tokens(F.coalesce("body", F.lit(""))))
+    """Adds `heading_tokens` and `body_tokens`, cut once a row: a generator of one element keeps Catalyst from pushing
+    what uses the tokens below their making, where every use would cut the text again."""
+    cut = lambda c: search_tokens(F.coalesce(c, F.lit("")))
+    both = F.explode_outer(F.array(F.struct(cut("heading").alias("h"), cut("body").alias("b"))))
+    return nodes.select("*", both.alias("__tokens")).select(*nodes.columns, F.col("__tokens.h").alias("heading_tokens"), F.col("__tokens.b").alias("body_tokens"))
 
 
 def postings(nodes: DataFrame) -> DataFrame:
@@ -274,10 +279,11 @@ def search(nodes: DataFrame, query: Query, scope: Column | None = None, limit: i
         exact = nodes.where(keep & verbatim_condition(query.verbatim, tokens))
         hits = exact.join(hits.select("node_id", "rank"), "node_id", "left").withColumn("rank", F.coalesce("rank", F.lit(0.0)))
     order = [F.col("rank"), *([F.desc("is_current")] if "is_current" in nodes.columns else []), F.col("node_id")]
-    pool = hits.orderBy(*order).limit(max(POOL, offset + 3 * limit))
+    # The pool is a few hundred rows: written once, the steps below don't scan the index again.
+    pool = materialize(hits.orderBy(*order).limit(max(POOL, offset + 3 * limit)), "pool")
     if query.verbatim is None and query.asks:
         floor = pool.agg(F.max("rank").alias("floor"))
-        extra = heading_rows(nodes, query).where(keep).join(pool.select("node_id"), "node_id", "left_anti")
+        extra = materialize(heading_rows(nodes, query), "headings").where(keep).join(pool.select("node_id"), "node_id", "left_anti")
         placed = extra.withColumn("__p", F.row_number().over(Window.orderBy("rank", "node_id"))).crossJoin(F.broadcast(floor))  # at most 40 rows and one
         pool = pool.unionByName(placed.withColumn("rank", F.coalesce("floor", F.lit(0.0)) + 0.001 * F.col("__p")).drop("__p", "floor"))
     scored = reranked(pool, query) if query.verbatim is None else pool.withColumn("score", -F.col("rank"))

@@ -8,18 +8,18 @@ from folioscope.functions import html as H
 from folioscope.functions import instructions as I
 from folioscope.operators import parsing as P
 from folioscope.plans import query
-from folioscope.session import table
+from folioscope.session import table, texts
 
 
 @query(None)
 def sanitise_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = texts(spark, sf_dir, "pages")
     return p.select("page_id", H.sanitised(F.col("html")).alias("safe")).withColumn("paragraphs", H.paragraph_count(F.col("safe")))
 
 
 @query(None)
 def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "url", H.main_text_of(F.col("html")).alias("text"))
+    return texts(spark, sf_dir, "pages").select("page_id", "url", H.main_text_of(F.col("html")).alias("text"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '(?i)<(?:p|li)[\\s>]'))::INT AS paragraphs FROM pages")

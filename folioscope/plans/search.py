@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from folioscope.functions.text import body_of, heading_of, search_tokens, vocabulary_tokens
 from folioscope.operators import search as S
 from folioscope.plans import query
-from folioscope.session import table
+from folioscope.session import table, texts
 
 TERMS = ["the", "erst", "zu", "para", "and", "eranea"]
 SQL_TERMS = ", ".join(f"('{t}')" for t in TERMS)
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("node_id"), heading_of("text").alias("heading"), body_of(F.col("text")).alias("body"), "lang", "source", (F.col("source") != "src0").alias("is_current"))
 
 
@@ -47,7 +47,7 @@ def vocab_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT w AS term, count(*) AS cnt, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents) GROUP BY w""")
 def vocab_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(search_tokens(F.col("text"))).alias("term"))
+    d = texts(spark, sf_dir, "documents").select("doc_id", F.explode(search_tokens(F.col("text"))).alias("term"))
     # Counts of (term, doc) first: the distinct count needs no second shuffle of all words.
     per = d.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
     return per.groupBy("term").agg(F.sum("n").alias("cnt"), F.count("*").alias("docs"))
@@ -189,7 +189,7 @@ r AS (SELECT grp, expected.item_id, min(ranked.place) AS place FROM expected LEF
 @query(MRR + """ SELECT grp, count(*) AS queries, round(avg(coalesce(1.0 / place, 0)), 6) AS mrr, count(*) FILTER (WHERE place <= 1) AS at_1, count(*) FILTER (WHERE place <= 5) AS at_5, count(*) FILTER (WHERE place IS NULL) AS missed FROM r GROUP BY grp""")
 def mrr_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item's first words as a query over all documents, scored against a fixed expectation, in two groups."""
-    post = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.explode(F.array_distinct(search_tokens(F.col("text")))).alias("term"))
+    post = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.explode(F.array_distinct(search_tokens(F.col("text")))).alias("term"))
     b = table(spark, sf_dir, "benchmark")
     words = b.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.slice(search_tokens(F.col("text")), 1, 8))).alias("term"))
     hits = words.join(post, "term").groupBy("query_id", "node_id").agg(F.count("*").alias("shared"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.operators import sequence as Q
 from folioscope.plans import query
-from folioscope.session import table
+from folioscope.session import table, texts
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,7 @@ def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked lines that a hundredth of all documents have."""
     from folioscope.functions.text import digit_mask
 
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents")
     lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", digit_mask(F.col("line")).alias("line")).where("line <> ''")
     counted = lines.groupBy("line", "doc_id").agg(F.lit(1).alias("x")).groupBy("line").agg(F.count("*").alias("docs"))
     total = d.agg((F.count("*") * 0.01).alias("least"))

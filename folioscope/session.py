@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 PARTITION_BYTES = 128 << 20
 UNKNOWN_BYTES = 1 << 52
@@ -50,6 +50,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, dealt out where its files give fewer tasks than there are cores (one small file can't be
+    split further). Larger tables are read as they lie; columns and filters still reach the scan."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, F.xxhash64(*df.columns))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; only where that is unset (tests) one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
