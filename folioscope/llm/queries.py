@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.session import table
+from folioscope.session import table, texts
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,45 +26,45 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from folioscope.llm.bpe import bpe_digests
 
-    return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe_digests(texts(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(texts(spark, sf_dir, "documents"))
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.webp import media_digests
 
-    return media_digests(table(spark, sf_dir, "documents"))
+    return media_digests(texts(spark, sf_dir, "documents"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.quality import score_documents, train
 
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.langid import predict, train
 
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     return predict(docs, train(docs))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.line_dedup import remove_repeated_lines
 
-    return remove_repeated_lines(table(spark, sf_dir, "documents"))
+    return remove_repeated_lines(texts(spark, sf_dir, "documents"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(texts(spark, sf_dir, "documents"))
 
 
 def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
