@@ -5,6 +5,11 @@ pairs each of them with the first alone, which is enough to find the line again
 pairs of a line in proportion to its documents. Each pair is aligned by patience diff on line hashes: lines that occur
 once in both are matched in their longest common order, and runs between matches are aligned again. An aligned block
 of at least a few words is deleted from the document with the larger doc_id.
+
+What the pairs leave is found exactly, without pairs: every shortest run of lines that reaches the words of a block is
+hashed, from each line forward and from each line back, and leaves each document after the first that holds it. Each
+line of a common block lies in such a run inside the block, so no block that any earlier document has stays, in
+whatever order, however often and in however many documents it stands, and however short its lines are.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope.llm.packing import count_words
-from folioscope.llm.shingles import slices, span_hashes, string_buffers
+from folioscope.llm.shingles import mix, slices, span_hashes, string_buffers
 from folioscope.session import discard, materialize
 
 #: A line is rare up to so many documents; rare lines pair all of them.
@@ -110,6 +115,38 @@ def _line_table(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("text_hash").slice(lo, hi - lo), *lists], names=names)
 
 
+def _runs(least: int):
+    """One row a run: the shortest runs of at least `least` words from each line on and up to each line."""
+
+    def run(batches):
+        for b in batches:
+            tables = [b.column(c) for c in ("lines", "hashes", "words")]
+            numbers, hashes, words = (x.flatten().to_numpy(zero_copy_only=False) for x in tables)
+            sizes = np.diff(np.asarray(tables[0].offsets))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])  # rises at each line, as each has words
+            at = np.arange(len(words))
+            end = np.searchsorted(total[1:], total[:-1] + least)
+            start = np.searchsorted(total[:-1], total[1:] - least, "right") - 1
+            lo, hi = np.concatenate([at, start]), np.concatenate([end, at])
+            inside = (lo >= 0) & (hi < len(words))
+            lo, hi = lo[inside], hi[inside]
+            inside = row[lo] == row[hi]
+            lo, hi = np.divmod(np.unique(lo[inside] * len(words) + hi[inside]), max(1, len(words)))
+            n = hi - lo + 1
+            h = n.astype(np.uint64)
+            for k in range(int(n.max(initial=0))):
+                part = hashes[np.minimum(lo + k, hi)].view(np.uint64)
+                h = np.where(n > k, mix(h * np.uint64(0xD6E8FEB86659FD93) + part), h)
+            first = np.concatenate([[0], np.cumsum(n)])
+            cells = numbers[np.repeat(lo - first[:-1], n) + np.arange(first[-1])]
+            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(cells, pa.int32()))
+            owner = pa.array(row[lo])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(owner), b.column("text_hash").take(owner), pa.array(h.view(np.int64)), lists], names=["doc_id", "text_hash", "hash", "lines"])
+
+    return run
+
+
 def repeated_lines(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, text_hash, lines): numbers (from 0) of the lines to delete; one row for each text that loses any."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -140,9 +177,12 @@ def repeated_lines(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "lines"])
 
     aligned = both.select("doc_id", "text_hash", "a", "b", "b_lines", "b_words").mapInArrow(align, "doc_id long, text_hash long, lines array<int>")
-    found = aligned.select("doc_id", "text_hash", F.explode("lines").alias("line")).distinct().groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    runs = materialize(tables.mapInArrow(_runs(least), "doc_id long, text_hash long, hash long, lines array<int>"), "runs")
+    firsts = materialize(runs.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first"), "firsts")
+    left = runs.join(firsts, "hash").where("doc_id > first").select("doc_id", "text_hash", "lines")
+    found = aligned.union(left).select("doc_id", "text_hash", F.explode("lines").alias("line")).distinct().groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     out = materialize(found, "repeated")
-    for used in (pairs, holders, tables):
+    for used in (firsts, runs, pairs, holders, tables):
         discard(used)
     return out
 

@@ -111,6 +111,36 @@ def test_line_dedup(spark, none):
     assert line_dedup.remove_repeated_lines(none).count() == 0
 
 
+def brute_repeats(texts, least=8):
+    """Numbers of the lines of each document in a block of `least` words that an earlier document has."""
+    lines = {i: [(k, x) for k, x in enumerate(t.split("\n")) if x.split()] for i, t in texts.items()}
+    out = {}
+    for b, y in lines.items():
+        gone = set()
+        for a, x in lines.items():
+            for i in range(len(x) if a < b else 0):
+                for j in range(len(y)):
+                    n = 0
+                    while i + n < len(x) and j + n < len(y) and x[i + n][1] == y[j + n][1]:
+                        n += 1
+                    if sum(len(line.split()) for _, line in y[j : j + n]) >= least:
+                        gone |= {k for k, _ in y[j : j + n]}
+        if gone:
+            out[b] = sorted(gone)
+    return out
+
+
+def test_hot_lines(spark):
+    """Lines that many documents have, also twice or in another order, leave every later document."""
+    hot = ["a hot line of nine words that all have", "another hot line that has nine words as well"]
+    texts = {1: f"{hot[0]}\nx\n{hot[0]}\ny\n{hot[1]}"} | {i: f"own {i}\n{hot[i % 2]}\nown\n{hot[1 - i % 2]}\n{i}" for i in range(2, 9)}
+    rnd = random.Random(3)
+    pool = ["one two three four five", "six seven eight", "nine ten eleven twelve", *hot]
+    texts |= {i: "\n".join(rnd.choice([*pool, f"own line {i}", ""]) for _ in range(rnd.randint(1, 9))) for i in range(10, 50)}
+    got = {r["doc_id"]: r["lines"] for r in line_dedup.repeated_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_repeats(texts) and got[2] == [1, 3]
+
+
 def test_packing(docs, none):
     rows = packing.pack_documents(docs, (16, 32, 64)).collect()
     bins, by_doc = {}, {}
