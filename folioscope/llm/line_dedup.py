@@ -28,7 +28,7 @@ from folioscope.session import discard, materialize
 
 #: A line is rare up to so many documents; rare lines pair all of them.
 RARE = 4
-#: Lines of fewer words don't make documents candidates (they still take part in alignments).
+#: Lines of fewer words don't make documents candidates for alignment (they take part in alignments and in runs).
 LINE_WORDS = 3
 #: Blocks of fewer words stay.
 BLOCK_WORDS = 8

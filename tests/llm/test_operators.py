@@ -141,6 +141,14 @@ def test_hot_lines(spark):
     assert got == brute_repeats(texts) and got[2] == [1, 3]
 
 
+def test_short_lines(spark):
+    """A passage of one or two words a line leaves the later documents, and only whole blocks do."""
+    verse = "\n".join(f"v{i} x" if i % 3 else f"v{i}" for i in range(40))
+    texts = {1: f"first\n{verse}\nend", 2: f"{verse}\nsecond", 3: "v0\nv1 x\nv2 x\nthird", 4: f"fourth\n\n{verse}"}
+    got = {r["doc_id"]: r["lines"] for r in line_dedup.repeated_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {2: [*range(40)], 4: [*range(2, 42)]} == brute_repeats(texts)
+
+
 def test_packing(docs, none):
     rows = packing.pack_documents(docs, (16, 32, 64)).collect()
     bins, by_doc = {}, {}
