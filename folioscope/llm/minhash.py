@@ -3,7 +3,8 @@
 Each distinct shingle set gets 128 minima, whose bands of four give candidates, and a signature of 1024 further minima
 (one a bin of one permutation), of which only four low bits are kept, packed in bit planes. The share of equal codes
 among bins that are not empty, corrected for chance collisions, estimates a candidate pair's similarity by bit counts.
-Pairs clearly below the threshold are dropped by that estimate; the rest are confirmed on their full shingle sets.
+Pairs clearly below the threshold are dropped by that estimate, unless a set is small; the rest are confirmed on their
+full shingle sets.
 
 Only what decides the components is compared. Equal sets are one class. Within a band bucket each class is first
 compared with the bucket's least class (a star, not all pairs). After the links of the stars are joined into
@@ -31,6 +32,8 @@ BITS = 4
 CODES = (1 << BITS) - 1  # code 0 marks an empty bin
 #: Estimates this far below the threshold (over five standard deviations) rule a pair out.
 MARGIN = 0.07
+#: Where a set fills fewer bins than this, one chance collision can outweigh the margin: no estimate rules it out.
+SMALL_BINS = 64
 #: A block of a bucket holds about this many classes and shingles at most.
 BLOCK_CLASSES = 512
 BLOCK_SHINGLES = 1_000_000
@@ -83,6 +86,12 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal - shared / CODES) / (1 - 1 / CODES) / np.maximum(either, 1)
 
 
+def allowed(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether signatures leave a pair to be confirmed: the estimate is at least `least`, or one of the sets is small."""
+    filled = lambda x: np.bitwise_count(np.bitwise_or.reduce(x.view(np.uint64), axis=-2)).sum(axis=-1, dtype=np.int64)
+    return (estimate(a, b) >= least) | (np.minimum(filled(a), filled(b)) < SMALL_BINS)
+
+
 def _unpack(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS, BINS // 8)
 
@@ -117,7 +126,7 @@ def _passing(threshold: float):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                ok = estimate(_unpack(batch.column("sa")), _unpack(batch.column("sb"))) >= threshold - MARGIN
+                ok = allowed(_unpack(batch.column("sa")), _unpack(batch.column("sb")), threshold - MARGIN)
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
     return run
@@ -174,7 +183,7 @@ def _candidates(band: int, left: _Side, right: _Side, same: bool, least: float):
             equal = right.bands[at] == left.bands[i]
             at = at[left.bands[i][equal.argmax(axis=1)] == band]
         if len(at):
-            at = at[estimate(left.signature[i], right.signature[at]) >= least]
+            at = at[allowed(left.signature[i], right.signature[at], least)]
         if len(at):
             yield i, at
 

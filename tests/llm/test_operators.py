@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +204,18 @@ def test_near_duplicates(spark, docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_small_sets_link(spark):
+    """Short texts whose estimate falls below the margin by a chance collision are confirmed on their full sets."""
+    long = [" ".join(f"s{i}x{k}" for k in range(8)) for i in range(6000)]
+    short = [t.rsplit(" ", 1)[0] for t in long]  # 3 of 4 shingles: exactly 0.75
+    sets = [[s for _, some in minhash.shingle_sets(pa.array(x)) for s in some] for x in (long, short)]
+    low = np.flatnonzero(minhash.estimate(*(minhash.signatures(x) for x in sets)) < 0.75 - minhash.MARGIN)
+    assert len(low) > 5
+    texts = {2 * k + side: x[i] for k, i in enumerate(low) for side, x in enumerate((long, short))}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(d).collect()} == {(i, i // 2 * 2) for i in texts}
+
+
 def test_repeated_ids_join_components(spark):
     a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
     d = spark.createDataFrame([(1, a), (5, a), (5, b), (8, b)], "doc_id long, text string")
