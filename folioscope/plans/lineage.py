@@ -8,7 +8,7 @@ from folioscope.functions import diff as D
 from folioscope.operators import delta as X
 from folioscope.operators import lineage as L
 from folioscope.plans import query
-from folioscope.session import table
+from folioscope.session import fanout, table
 
 #: Event times dealt to five versions of each user's log.
 VERSIONS = 5
@@ -163,10 +163,11 @@ def subtree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document against the next of its source: segments of the difference, counted by kind."""
+    """Each document against the one before it in its source, whole texts: segments of the difference, counted by kind."""
     d = table(spark, sf_dir, "documents")
     w = Window.partitionBy("source").orderBy("doc_id")
-    pairs = d.where(F.length("text") < 4000).withColumn("old", F.lag("text").over(w)).where("old IS NOT NULL")
+    pairs = d.select("doc_id", "text", F.lag("text").over(w).alias("old"), F.row_number().over(w).alias("n")).where("n > 1")
+    pairs = pairs.repartition(fanout(pairs), "doc_id")  # there are few sources
     diff = pairs.withColumn("diff", D.word_diff(F.col("old"), F.col("text")))
     count = lambda op: F.size(F.filter("diff", lambda s: s["op"] == op))
     return diff.select("doc_id", *(count(op).alias(op) for op in ("equal", "delete", "insert")), D.is_reordering(F.col("diff")).alias("reordered"))
