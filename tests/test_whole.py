@@ -21,3 +21,8 @@ def folder(spark, tmp_path):
 def test_word_diff_takes_long_texts(spark, folder):
     got = {r["doc_id"]: [r[op] for op in ("equal", "delete", "insert")] for r in plans.QUERIES["word_diff"](spark, folder).collect()}
     assert got == {i: [sum(s["op"] == op for s in segments(a, b)) for op in ("equal", "delete", "insert")] for i, (a, b) in PAIRS.items()}
+
+
+def test_text_similarity_is_of_whole_texts(spark, folder):
+    got = {r["doc_id"]: r["similarity"] for r in plans.QUERIES["text_similarity"](spark, folder).collect()}
+    assert got == {i: round(difflib.SequenceMatcher(None, a, b).ratio(), 6) for i, (a, b) in PAIRS.items()} and got[3] < 1
