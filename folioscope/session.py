@@ -11,6 +11,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 PARTITION_BYTES = 128 << 20
+#: Rows go to Python workers in batches of about so many bytes, unless the session says otherwise: long texts would
+#: else fill batches of many hundred megabytes, once in the JVM and once in the worker.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 UNKNOWN_BYTES = 1 << 52
 _OWN: dict[str, str] = {}
 
@@ -34,7 +38,9 @@ def get_session(app: str = "folioscope", cpus: int | str = "*", shuffle: int = 8
 
 
 def ship(spark: SparkSession) -> None:
-    """Give Python workers this package, wherever they start (once a session)."""
+    """Give Python workers this package, wherever they start (once a session), and batches of a bounded size."""
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     key = f"ship-{spark.sparkContext.applicationId}"
     if key not in _OWN:
         root = Path(__file__).resolve().parent
@@ -60,9 +66,12 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset (tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir; only where that is unset and all tasks run on this machine
+    (tests) one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="folioscope-"))
     return base.rstrip("/")
 
