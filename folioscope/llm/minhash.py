@@ -7,15 +7,22 @@ Pairs clearly below the threshold are dropped by that estimate, unless a set is
 full shingle sets.
 
 Only what decides the components is compared. Equal sets are one class. Within a band bucket each class is first
-compared with the bucket's least class (a star, not all pairs). After the links of the stars are joined into
-components, buckets that still hold several components are searched in full, block by block: packed signatures name
-the classes that may link across components, these come with their texts, and the block itself confirms links on full
-sets and emits those that join components, at most one fewer than its classes. Hence no link that joins documents
-which the stars did not join is lost, and pairs are never emitted. A pair is looked at in the first of its bands only.
+compared with the bucket's least class (a star, not all pairs); a star's centre travels once for each chunk of its
+classes, each class with one text. After the links of the stars are joined into components, buckets that still hold
+several components are searched in full, block by block. Blocks hold classes of about one size, and only blocks whose
+sizes can reach the threshold meet: packed signatures name the classes that may link across components, these come
+with their texts, and the block itself confirms links on full sets and emits those that join components, at most one
+fewer than its classes. Hence no link that joins documents which the stars did not join is lost, and pairs are never
+emitted. A pair is looked at in the first of its bands only.
+
+Sets are compared as 64-bit hashes of shingles (a polynomial modulo 2**64, mixed): chance collisions don't matter at
+any size of corpus, but texts built to collide could pass as equal.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -34,6 +41,10 @@ CODES = (1 << BITS) - 1  # code 0 marks an empty bin
 MARGIN = 0.07
 #: Where a set fills fewer bins than this, one chance collision can outweigh the margin: no estimate rules it out.
 SMALL_BINS = 64
+#: Sets sketched at a time.
+SKETCH_ROWS = 512
+#: Classes that meet one copy of a star's centre.
+STAR_CHUNK = 256
 #: A block of a bucket holds about this many classes and shingles at most.
 BLOCK_CLASSES = 512
 BLOCK_SHINGLES = 1_000_000
@@ -75,58 +86,83 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.packbits(code >> b & 1, axis=1) for b in range(BITS)], axis=1)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Collision-corrected similarity of signatures (broadcasting over leading axes)."""
+def _counts(a: np.ndarray, b: np.ndarray):
+    """Bins of signatures a and b (broadcasting over leading axes): filled by both and equal, filled by both, by either,
+    filled by one or unequal, and the fewer filled of a's and b's."""
     a, b = a.view(np.uint64), b.view(np.uint64)
+    count = lambda x: np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
     full_a, full_b = np.bitwise_or.reduce(a, axis=-2), np.bitwise_or.reduce(b, axis=-2)
     differ = np.bitwise_or.reduce(a ^ b, axis=-2)
-    count = lambda x: np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
     both = full_a & full_b
-    equal, shared, either = count(both & ~differ), count(both), count(full_a | full_b)
-    return (equal - shared / CODES) / (1 - 1 / CODES) / np.maximum(either, 1)
+    return count(both & ~differ), count(both), count(full_a | full_b), count(differ), np.minimum(count(full_a), count(full_b))
 
 
-def allowed(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Whether signatures leave a pair to be confirmed: the estimate is at least `least`, or one of the sets is small."""
-    filled = lambda x: np.bitwise_count(np.bitwise_or.reduce(x.view(np.uint64), axis=-2)).sum(axis=-1, dtype=np.int64)
-    return (estimate(a, b) >= least) | (np.minimum(filled(a), filled(b)) < SMALL_BINS)
+def _estimate(equal, both, either) -> np.ndarray:
+    return (equal - both / CODES) / (1 - 1 / CODES) / np.maximum(either, 1)
+
+
+def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Collision-corrected similarity of signatures (broadcasting over leading axes)."""
+    return _estimate(*_counts(a, b)[:3])
+
+
+def allowed(a: np.ndarray, b: np.ndarray, n_a, n_b, percent: int) -> np.ndarray:
+    """Whether signatures and set sizes leave a pair to be confirmed.
+
+    A bin whose minima differ holds an element that only one set has, so unequal bins bound the symmetric difference
+    from below: a bound that is never wrong, and close for sets much smaller than the bins. Beyond it the estimate must
+    be at most MARGIN below the threshold, unless a set is small, where it rules nothing out."""
+    equal, both, either, unequal, filled = _counts(a, b)
+    possible = unequal * (100 + percent) <= (100 - percent) * (n_a + n_b)
+    possible &= 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+    return possible & ((_estimate(equal, both, either) >= percent / 100 - MARGIN) | (filled < SMALL_BINS))
+
+
+def _binary(column) -> np.ndarray:
+    """The bytes of a binary column without nulls, one value after the other."""
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]] if len(column) else np.zeros(0, np.uint8)
 
 
 def _unpack(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS, BINS // 8)
+    return _binary(column).reshape(-1, BITS, BINS // 8)
 
 
 def _sketch(batches):
     names = ["doc_id", "n_shingles", "k1", "k2", "signature", "bands"]
     for batch in batches:
         ids = batch.column("doc_id")
-        for first, sets in shingle_sets(batch.column("text")):
-            n = np.array([len(s) for s in sets], np.int64)
-            full = np.flatnonzero(n)
-            k1, k2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            signature, bands = [None] * len(n), [None] * len(n)
-            if len(full):
-                some = [sets[i] for i in full]
-                starts = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-                flat = np.concatenate(some)
-                k1[full] = np.add.reduceat(mix(flat), starts)
-                k2[full] = np.add.reduceat(mix(flat ^ np.uint64(0xA5A5A5A55A5A5A5A)), starts)
-                m = minima(some)
-                keys, packed = band_keys(m), signatures(some).reshape(len(m), -1)
-                for j, i in enumerate(full.tolist()):
-                    signature[i], bands[i] = packed[j].tobytes(), keys[j]
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, len(n)), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=names
-            )
-
-
-def _passing(threshold: float):
-    """Keeps candidate pairs (a, b, signatures) whose estimate allows the threshold."""
+        for start, slice_ in shingle_sets(batch.column("text")):
+            for lo in range(0, len(slice_), SKETCH_ROWS):
+                sets = slice_[lo : lo + SKETCH_ROWS]
+                n = np.array([len(s) for s in sets], np.int64)
+                full = np.flatnonzero(n)
+                k1, k2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+                signature, bands = [None] * len(n), [None] * len(n)
+                if len(full):
+                    some = [sets[i] for i in full]
+                    starts = np.concatenate([[0], np.cumsum(n[full])[:-1]])
+                    flat = np.concatenate(some)
+                    k1[full] = np.add.reduceat(mix(flat), starts)
+                    k2[full] = np.add.reduceat(mix(flat ^ np.uint64(0xA5A5A5A55A5A5A5A)), starts)
+                    m = minima(some)
+                    keys, packed = band_keys(m), signatures(some).reshape(len(m), -1)
+                    for j, i in enumerate(full.tolist()):
+                        signature[i], bands[i] = packed[j].tobytes(), keys[j]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(start + lo, len(n)), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=names
+                )
+
+
+def _passing(percent: int):
+    """Keeps candidate pairs (a, b, signatures, sizes) whose estimate allows the threshold."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                ok = allowed(_unpack(batch.column("sa")), _unpack(batch.column("sb")), threshold - MARGIN)
+                n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+                ok = allowed(_unpack(batch.column("sa")), _unpack(batch.column("sb")), n_a, n_b, percent)
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
     return run
@@ -141,88 +177,102 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
     both = _shared(x, y)
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _confirm(percent: int):
-    """Keeps pairs whose full shingle sets reach the threshold: 100 * intersection >= percent * union."""
+def _confirm_stars(percent: int):
+    """Links of star centres on full shingle sets: 100 * intersection >= percent * union.
+
+    Rows (centre, chunk, class, text) come sorted, a chunk's centre (class null) before its classes; its sets are held
+    while its classes pass by, so a centre of any number of classes needs its own sets only."""
 
     def run(batches):
-        last_b = None
+        here, centre = None, []
         for batch in batches:
-            a_text, b_ids = batch.column("ta"), batch.column("b").to_pylist()
-            ok = []
-            for first, sets in shingle_sets(a_text):
-                for i, x in enumerate(sets):
-                    b = b_ids[first + i]
-                    if last_b is None or last_b[0] != b:
-                        last_b = b, next(shingle_sets(batch.column("tb").slice(first + i, 1)))[1][0]
-                    ok.append(_linked(x, last_b[1], percent))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+            centres, chunks, classes = (batch.column(c).to_pylist() for c in ("centre", "chunk", "class"))
+            a, b = [], []
+            for first, sets in shingle_sets(batch.column("text")):
+                for i, x in enumerate(sets, first):
+                    if (centres[i], chunks[i]) != here:
+                        here, centre = (centres[i], chunks[i]), []
+                    if classes[i] is None:
+                        centre.append(x)
+                    elif any(_linked(x, y, percent) for y in centre):
+                        a.append(classes[i])
+                        b.append(centres[i])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
 class _Side:
-    """The classes of one block of a bucket."""
+    """The classes of one block of a bucket, from row k of a column of lists of cells."""
 
-    def __init__(self, cells: list[dict]):
-        self.ids = np.array([x["class"] for x in cells], np.int64)
-        self.comp = np.array([x["comp"] for x in cells], np.int64)
-        self.signature = np.frombuffer(b"".join(x["signature"] for x in cells), np.uint8).reshape(-1, BITS, BINS // 8)
-        self.bands = np.array([x["bands"] for x in cells], np.int64)
+    def __init__(self, column, k: int):
+        offsets = np.asarray(column.offsets)
+        cells = column.values.slice(int(offsets[k]), int(offsets[k + 1] - offsets[k]))
+        own = lambda name: cells.field(cells.type.get_field_index(name))
+        self.ids, self.comp, self.n = (own(c).to_numpy(zero_copy_only=False) for c in ("class", "comp", "n_shingles"))
+        self.signature = _unpack(own("signature"))
+        self.bands = own("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
 
 
-def _candidates(band: int, left: _Side, right: _Side, same: bool, least: float):
+def _candidates(band: int, left: _Side, right: _Side, same: bool, percent: int):
     """For each class of `left`: its place and those of `right` that may link with it across components, and that
     share no band before this one."""
     for i in range(len(left.ids)):
-        at = np.flatnonzero((right.comp != left.comp[i]) & (right.ids > left.ids[i] if same else True))
+        fit = (right.comp != left.comp[i]) & (100 * np.minimum(right.n, left.n[i]) >= percent * np.maximum(right.n, left.n[i]))
+        at = np.flatnonzero(fit & (right.ids > left.ids[i]) if same else fit)
         if len(at):
             equal = right.bands[at] == left.bands[i]
             at = at[left.bands[i][equal.argmax(axis=1)] == band]
         if len(at):
-            at = at[allowed(left.signature[i], right.signature[at], least)]
+            at = at[allowed(left.signature[i], right.signature[at], left.n[i], right.n[at], percent)]
         if len(at):
             yield i, at
 
 
 def _block_rows(batch):
+    column, other = batch.column("left"), batch.column("right")
     for k in range(batch.num_rows):
-        left = _Side(batch.column("left")[k].as_py())
-        other = batch.column("right")[k].as_py()
-        yield k, left, left if other is None else _Side(other), other is None
+        left, same = _Side(column, k), not other[k].is_valid
+        yield k, left, left if same else _Side(other, k), same
 
 
-def _involved(least: float):
-    """(band, i, j, class): the classes of a pair of blocks that have a candidate there."""
+def _involved(percent: int):
+    """(band, pair, class): the classes of a pair of blocks that have a candidate there."""
 
     def run(batches):
         for batch in batches:
             for k, left, right, same in _block_rows(batch):
-                band = batch.column("band")[k].as_py()
+                band, pair = batch.column("band")[k].as_py(), batch.column("pair")[k].as_py()
                 found: set[int] = set()
-                for i, at in _candidates(band, left, right, same, least):
+                for i, at in _candidates(band, left, right, same, percent):
                     found.add(int(left.ids[i]))
                     found.update(right.ids[at].tolist())
                 n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array([band] * n, pa.int64()), *(pa.array([batch.column(c)[k].as_py()] * n, pa.int32()) for c in "ij"), pa.array(sorted(found), pa.int64())], names=["band", "i", "j", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array([band] * n, pa.int64()), pa.array([pair] * n, pa.string()), pa.array(sorted(found), pa.int64())], names=["band", "pair", "class"])
 
     return run
 
 
-def _confirm_blocks(least: float, percent: int):
+def _confirm_blocks(percent: int):
     """Links between components in a pair of blocks, confirmed on the full sets of the texts that came with it."""
 
     def run(batches):
         for batch in batches:
+            came = batch.column("texts")
+            offsets = np.asarray(came.offsets)
             for k, left, right, same in _block_rows(batch):
-                came = batch.column("texts")[k].as_py()
+                part = came.values.slice(int(offsets[k]), int(offsets[k + 1] - offsets[k]))
+                owner = part.field(part.type.get_field_index("class")).to_pylist()
                 sets: dict[int, list[np.ndarray]] = {}
-                for first, some in shingle_sets(pa.array([x["text"] for x in came], pa.string())):
+                for first, some in shingle_sets(part.field(part.type.get_field_index("text"))):
                     for i, s in enumerate(some, first):
-                        sets.setdefault(came[i]["class"], []).append(s)
+                        sets.setdefault(owner[i], []).append(s)
                 parent: dict[int, int] = {}
 
                 def find(x: int, parent=parent) -> int:
@@ -231,7 +281,7 @@ def _confirm_blocks(least: float, percent: int):
                     return x
 
                 a, b = [], []
-                for i, at in _candidates(batch.column("band")[k].as_py(), left, right, same, least):
+                for i, at in _candidates(batch.column("band")[k].as_py(), left, right, same, percent):
                     for j in at.tolist():
                         x, y = find(int(left.comp[i])), find(int(right.comp[j]))
                         p, q = int(left.ids[i]), int(right.ids[j])
@@ -252,54 +302,66 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     a doc_id are one document, linked where any of its texts is. Rows with a null doc_id stand for themselves: they
     have a null component and are kept. Other columns of `docs` are ignored; an empty table gives an empty result.
     """
-    threshold = percent / 100
+    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialize(source.mapInArrow(_sketch, "doc_id long, n_shingles long, k1 long, k2 long, signature binary, bands array<long>"), "sketch")
     filled = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # One row a distinct set, named by its least doc_id.
     unique = materialize(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("class"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "unique")
-    sig = unique.select("class", "signature")
+    sig = unique.select("class", "signature", "n_shingles")
     banded = unique.select("class", "n_shingles", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
+    buckets = banded.groupBy("band").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1")
     buckets = materialize(buckets, "buckets")  # joined from a table, a hot bucket can be split
     stars = materialize(banded.join(buckets, "band"), "stars")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a, b) of classes; hot classes are split by adaptive skew joins."""
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = materialize(source.join(wanted, "doc_id", "left_semi"), "texts")
-        with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        links = materialize(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long"), "links")
-        discard(texts)
-        return links
+    def texts_of(classes: DataFrame) -> DataFrame:
+        """(class, text) of the classes named."""
+        return materialize(source.join(classes.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "class"), "texts")
 
     pairs = stars.where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
-    signed = pairs.join(sig.select(F.col("class").alias("a"), F.col("signature").alias("sa")), "a").join(sig.select(F.col("class").alias("b"), F.col("signature").alias("sb")), "b")
-    first = materialize(signed.select("a", "b", "sa", "sb").mapInArrow(_passing(threshold), "a long, b long").distinct(), "pairs")
+    side = lambda x: sig.select(F.col("class").alias(x), F.col("signature").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
+    signed = pairs.join(side("a"), "a").join(side("b"), "b")
+    first = materialize(signed.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_passing(percent), "a long, b long").distinct(), "pairs")
+    texts = texts_of(first.select(F.col("a").alias("class")).union(first.select("b")))
+    chunks = materialize(first.groupBy(F.col("b").alias("centre")).agg(F.ceil(F.count("*") / STAR_CHUNK).cast("int").alias("chunks")), "chunks")
+    middle = chunks.select(F.col("centre"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).join(texts.withColumnRenamed("class", "centre"), "centre").select("centre", "chunk", F.lit(None).cast("long").alias("class"), "text")
+    around = first.select(F.col("a").alias("class"), F.col("b").alias("centre")).join(chunks, "centre").select("centre", F.pmod(F.xxhash64("class"), "chunks").cast("int").alias("chunk"), "class").join(texts, "class").select("centre", "chunk", "class", "text")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    met = middle.union(around).repartition(parts, "centre", "chunk").sortWithinPartitions("centre", "chunk", F.col("class").asc_nulls_first())
+    confirmed = materialize(met.mapInArrow(_confirm_stars(percent), "a long, b long"), "links")
+    discard(texts)
     # A doc_id that repeats with several sets joins their classes.
     repeated = filled.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     own = filled.select("doc_id", "k1", "k2").join(repeated, "doc_id").distinct().join(unique.select("k1", "k2", "class"), ["k1", "k2"])
-    links = verified(first).union(own.where("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b")))
+    links = confirmed.union(own.where("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b")))
     comp = components(links)
 
-    # Buckets in which several components are left.
-    placed = stars.select("band", "class", "n_shingles").join(comp.withColumnRenamed("node", "class"), "class", "left").select("band", "class", "n_shingles", F.coalesce("component", "class").alias("comp"))
-    several = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("lo < hi")
-    parts = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    several = materialize(several.select("band", parts.alias("parts")), "several")
-    cells = placed.join(several, "band").join(unique.select("class", "signature", "bands"), "class").withColumn("block", F.pmod(F.xxhash64("class"), "parts").cast("int"))
-    blocks = materialize(cells.groupBy("band", "block", "parts").agg(F.collect_list(F.struct("class", "comp", "signature", "bands")).alias("cells")), "blocks")
-    inner = blocks.select("band", F.col("block").alias("i"), F.col("block").alias("j"), F.col("cells").alias("left"), F.lit(None).cast(blocks.schema["cells"].dataType).alias("right"))
-    lefts = blocks.where("block < parts - 1").select("band", F.col("block").alias("i"), F.col("cells").alias("left"), F.explode(F.sequence(F.col("block") + 1, F.col("parts") - 1)).alias("j"))
-    outer = lefts.join(blocks.select("band", F.col("block").alias("j"), F.col("cells").alias("right")), ["band", "j"]).select("band", "i", "j", "left", "right")
+    # Buckets in which several components are left. Their least class has met all others; sets whose sizes lie more
+    # than one step of 100 / percent apart can't link, so blocks of a step meet their own and the next step's.
+    placed = stars.where("n > 2 AND class <> least").select("band", "class", "n_shingles").join(comp.withColumnRenamed("node", "class"), "class", "left").select("band", "class", "n_shingles", F.coalesce("component", "class").alias("comp"))
+    several = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    step = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
+    placed = materialize(placed.join(several, "band").withColumn("step", step), "several")
+    count = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = materialize(placed.groupBy("band", "step").agg(count.alias("parts")), "sizes")
+    above = sizes.select("band", (F.col("step") - 1).alias("step"), F.col("parts").alias("above"))
+    cells = placed.join(sizes, ["band", "step"]).join(unique.select("class", "signature", "bands"), "class").withColumn("block", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+    blocks = cells.groupBy("band", "step", "block").agg(F.collect_list(F.struct("class", "comp", "n_shingles", "signature", "bands")).alias("cells"))
+    blocks = materialize(blocks.join(sizes, ["band", "step"]).join(above, ["band", "step"], "left"), "blocks")
+    name = lambda *x: F.concat_ws("/", *x)
+    inner = blocks.select("band", name("step", "block").alias("pair"), F.col("cells").alias("left"), F.lit(None).cast(blocks.schema["cells"].dataType).alias("right"))
+    next_ = F.expr("IF(block < parts - 1, transform(sequence(block + 1, parts - 1), x -> struct(step AS step, x AS block)), array())")
+    higher = F.expr("IF(above IS NULL, array(), transform(sequence(0, above - 1), x -> struct(step + 1 AS step, x AS block)))")
+    lefts = blocks.select("band", F.col("step").alias("s"), F.col("block").alias("i"), F.col("cells").alias("left"), F.explode(F.concat(next_, higher)).alias("other"))
+    rights = blocks.select("band", F.struct("step", "block").alias("other"), F.col("cells").alias("right"))
+    outer = lefts.join(rights, ["band", "other"]).select("band", name("s", "i", "other.step", "other.block").alias("pair"), "left", "right")
     crossed = inner.union(outer)
-    least = threshold - MARGIN
-    involved = materialize(crossed.mapInArrow(_involved(least), "band long, i int, j int, class long"), "involved")
-    texts = materialize(source.join(involved.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    carried = involved.join(texts.select(F.col("doc_id").alias("class"), "text"), "class").groupBy("band", "i", "j").agg(F.collect_list(F.struct("class", "text")).alias("texts"))
-    more = materialize(crossed.join(carried, ["band", "i", "j"]).mapInArrow(_confirm_blocks(least, percent), "a long, b long").distinct(), "more-links")
-    discard(texts)
+    involved = materialize(crossed.mapInArrow(_involved(percent), "band long, pair string, class long"), "involved")
+    texts = texts_of(involved)
+    carried = involved.join(texts, "class").groupBy("band", "pair").agg(F.collect_list(F.struct("class", "text")).alias("texts"))
+    more = materialize(crossed.join(carried, ["band", "pair"]).mapInArrow(_confirm_blocks(percent), "a long, b long").distinct(), "more-links")
+    for used in (texts, involved, blocks, sizes, placed, chunks, first, stars, buckets):
+        discard(used)
     final = components(links.union(more))
 
     named = unique.select("k1", "k2", "class").join(final.withColumnRenamed("node", "class"), "class", "left").select("k1", "k2", F.coalesce("component", "class").alias("component_id"))

@@ -8,6 +8,7 @@ import pyarrow as pa
 WIDTH = 5
 BASE = 0x9E3779B97F4A7C15 | 1
 SLICE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 17
 #: Bytes 9 to 13 and 32 separate words.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
@@ -29,8 +30,8 @@ _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, at least n of each; one pair of tables a worker."""
-    if not _POWERS or len(_POWERS[0]) < n:
+    """Powers of BASE and of its inverse modulo 2**64, n of each; one pair of tables a worker."""
+    if not _POWERS:
         up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         _POWERS[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
@@ -58,12 +59,35 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES):
         at = end
 
 
-def span_hashes(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A hash of each text[start[i]:stop[i]]: differences of one running polynomial, shifted to begin at power 0."""
-    up, down = _powers(1 << max(16, int(len(text)).bit_length()))
+def _short_spans(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Polynomial of each text[start[i]:stop[i]]: differences of one running sum, shifted to begin at power 0."""
+    up, down = _powers(PIECE_BYTES)
     sums = np.zeros(len(text) + 1, np.uint64)
     np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=sums[1:])
-    return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+    return (sums[stop] - sums[start]) * down[start]
+
+
+def span_hashes(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of each text[start[i]:stop[i]] (spans in rising order, none inside another).
+
+    Spans are worked off in pieces of at most PIECE_BYTES of the text, and a longer span in parts of that size, so the
+    memory used beside the result doesn't grow with the text."""
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        base = int(start[i])
+        j = int(np.searchsorted(stop, base + PIECE_BYTES, "right"))
+        if j > i:
+            out[i:j] = _short_spans(text[base : int(stop[j - 1])], start[i:j] - base, stop[i:j] - base)
+            i = j
+            continue
+        value, factor, step = 0, 1, pow(BASE, PIECE_BYTES, 1 << 64)
+        for at in range(base, int(stop[i]), PIECE_BYTES):
+            part = text[at : min(at + PIECE_BYTES, int(stop[i]))]
+            value += factor * int(_short_spans(part, np.zeros(1, np.int64), np.array([len(part)]))[0])
+            factor = factor * step & 0xFFFFFFFFFFFFFFFF
+        out[i] = value & 0xFFFFFFFFFFFFFFFF
+        i += 1
+    return mix(out + (stop - start).astype(np.uint64))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
