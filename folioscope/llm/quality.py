@@ -94,6 +94,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     change[1:] = kinds[1:] != kinds[:-1]
     same = np.zeros(len(text), bool)
     same[1:] = text[1:] == text[:-1]
+    change[first] = same[first] = False  # a text's first byte follows none
     out[:, k + 10] = _row_sums(change, cut) / safe
     out[:, k + 11] = np.sqrt(_row_sums(same, cut) / safe)
     out[size == 0] = 0
@@ -146,6 +147,13 @@ def held_out(doc_id, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def below(hashed, share):
+    """Whether a 64-bit hash lies among the least `share` (0 to 1, number or column) of all values; exact enough for
+    shares far below one in a million, and everything at 1."""
+    share = share if hasattr(share, "cast") else F.lit(float(share))
+    return (share >= 1) | (hashed.cast("double") < share * float(1 << 64) - float(1 << 63))
+
+
 def _stats_batches(batches, extra: list[str]):
     for b in batches:
         data, offsets = string_buffers(b.column("text"))
@@ -156,14 +164,15 @@ def _stats_batches(batches, extra: list[str]):
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: int = FEATURES, ridge: float = 1e-3, seed: int = 7, excluded: tuple[int, int] = (5, 0)) -> QualityModel:
     """Fit on labelled rows whose crc32(doc_id) mod excluded[0] is not excluded[1].
 
-    At most about `rows` labelled rows are used, those with the least hashes of doc_id (the share follows from a
-    count). Every fifth of them, by another hash, is left for calibration. Rows whose labels disagree count with each;
-    null labels don't count. Without labels, or with one label only, all scores are that label's share (or 0.5)."""
+    At most `rows` labelled rows are used: about so many doc_ids with the least hashes (the share follows from a
+    count), and of the documents with those ids, which may repeat without bound, distinct ones with the least hashes.
+    Every fifth of them, by another hash, is left for calibration. Rows whose labels disagree count with each; null
+    labels don't count. Without labels, or with one label only, all scores are that label's share (or 0.5)."""
     spark = docs.sparkSession
     usable = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).where(~held_out("doc_id", *excluded)).dropDuplicates()
     n, positive = usable.agg(F.count("*"), F.sum("quality")).first()
     share = min(1.0, rows / n) if n else 1.0
-    sampled = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sampled = usable.where(below(F.xxhash64("doc_id", F.lit(seed)), share))
     # The sample's size is bounded by `rows`, so it may be broadcast.
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sampled), "doc_id")
 
@@ -171,7 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features:
         for stats, (ids, quality), _ in _stats_batches(batches, ["doc_id", "quality"]):
             yield pa.RecordBatch.from_arrays([ids, quality, pa.array(list(stats), pa.list_(pa.float64()))], names=["doc_id", "quality", "stats"])
 
-    described = materialize(text.mapInArrow(describe, "doc_id long, quality double, stats array<double>"), "quality-train")
+    rows_of = text.mapInArrow(describe, "doc_id long, quality double, stats array<double>").distinct()
+    described = materialize(rows_of.orderBy(F.xxhash64("doc_id", "stats", F.lit(seed)), "doc_id", "quality", "stats").limit(rows), "quality-train")
     moments = described.select("quality", *(F.col("stats")[i].alias(f"s{i}") for i in range(N_STATS))).agg(F.count("*").alias("n"), *(f(f"s{i}") for i in range(N_STATS) for f in (F.avg, F.stddev_pop))).first()
     rng = np.random.default_rng(seed)
     projection, phase = rng.normal(size=(N_STATS, features)) / np.sqrt(N_STATS), rng.uniform(0, 2 * np.pi, features)
@@ -236,7 +246,10 @@ def score_documents(docs: DataFrame, model: QualityModel, excluded: tuple[int, i
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that score at least `threshold`, with all their columns."""
+    """The rows of `docs` that score at least `threshold`, with all their columns.
+
+    Null and empty texts are scored as empty ones; repeated rows stay or go together; columns of any name pass
+    through; an empty table gives an empty result."""
     packed = docs.sparkSession.sparkContext.broadcast(_packed(model))
 
     def run(batches):
