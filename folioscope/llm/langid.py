@@ -15,16 +15,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from folioscope.llm.quality import held_out
+from folioscope.llm.quality import below, held_out
 from folioscope.llm.shingles import slices, string_buffers
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Documented bounds of training: at most about this many labelled documents, evenly over at most so many languages.
+#: Documented bound of training: at most about this many labelled documents (one of each language at least), evenly
+#: over the languages.
 TRAIN_DOCS = 8_000
-MAX_LANGS = 64
-STEPS = 700
+#: Steps of training for up to so many languages; more languages train in proportion longer.
+STEPS, STEP_LANGS = 700, 32
 BATCH = 64
 UND = "und"
 CHUNK = 96
@@ -129,16 +130,18 @@ def fit(windows: np.ndarray, target: np.ndarray, langs: list[str], seed: int = 1
 def train(docs: DataFrame, rows: int = TRAIN_DOCS, excluded: tuple[int, int] = (4, 2), seed: int = 11) -> LangModel | None:
     """Fit on documents with text and lang whose crc32(doc_id) mod excluded[0] is not excluded[1].
 
-    Languages are the most frequent lang values; each lends about the same number of documents, those with the least
-    hashes, and of each document at most two windows at hashed places. None where there is nothing to learn from."""
+    Every lang value is learned (one row each is gathered). Each lends about the same number of documents, those with
+    the least hashes of doc_id and text, so that a repeated doc_id neither fills nor empties the sample; of each
+    document at most two windows at hashed places, equal ones once. None where there is nothing to learn from."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").where(~held_out("doc_id", *excluded))
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = own.groupBy("lang").count().collect()
     if not counts:
         return None
     langs = sorted(r["lang"] for r in counts)
     each = max(1, rows // len(langs))
-    limits = F.create_map(*(c for r in counts for c in (F.lit(r["lang"]), F.lit(int((1 << 20) * min(1.0, each / r["count"]))))))
-    sampled = own.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < limits[F.col("lang")])
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, __share double")
+    ordered = F.xxhash64("doc_id", "text", F.lit(seed))
+    sampled = own.join(F.broadcast(shares), "lang").where(below(ordered, F.col("__share"))).select("lang", "doc_id", "text")
 
     def cut(batches):
         for b in batches:
@@ -151,16 +154,23 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS, excluded: tuple[int, int] = (
                 windows += [raw[s : s + WINDOW] for s in starts]
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(windows, pa.binary())], names=["lang", "window"])
 
-    got = sampled.mapInArrow(cut, "lang string, window binary").collect()
+    # The few languages whose expected sample is a handful may miss it by chance: their least hash is taken as well.
+    windows_of_rows = sampled.mapInArrow(cut, "lang string, window binary").distinct()
+    got = windows_of_rows.orderBy(F.xxhash64("lang", "window"), "lang", "window").limit(4 * max(rows, len(langs))).collect()
     place = {k: i for i, k in enumerate(langs)}
+    missing = sorted(set(langs).difference(r["lang"] for r in got))
+    if missing:
+        rest = own.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in missing], "lang string")), "lang")
+        least = rest.groupBy("lang").agg(F.min_by(F.struct("doc_id", "text"), ordered).alias("x"))
+        got += least.select("lang", "x.doc_id", "x.text").mapInArrow(cut, "lang string, window binary").collect()
     # One order whatever the tasks' order.
-    pairs = sorted((place[r["lang"]], bytes(r["window"])) for r in got if r["lang"] in place)
+    pairs = sorted((place[r["lang"]], bytes(r["window"])) for r in got)
     if not pairs:
         return None
     windows = np.frombuffer(b"".join(w.ljust(WINDOW, b"\0") for _, w in pairs), np.uint8).reshape(-1, WINDOW)
     target = np.array([k for k, _ in pairs])
     seen = np.unique(target)
-    return fit(windows, np.searchsorted(seen, target), [langs[k] for k in seen], seed)
+    return fit(windows, np.searchsorted(seen, target), [langs[k] for k in seen], seed, STEPS * -(-len(seen) // STEP_LANGS))
 
 
 class Predictor:
@@ -229,7 +239,11 @@ def predict(docs: DataFrame, model: LangModel | None, excluded: tuple[int, int]
 
 def keep_languages(docs: DataFrame, model: LangModel | None, least: float = 0.5, langs: tuple[str, ...] = ()) -> DataFrame:
     """The rows of `docs`, with all their columns, whose language is known with at least the score `least` (and is one
-    of `langs`, where given)."""
+    of `langs`, where given).
+
+    Null texts and texts without a letter go (their language is `und`), and so does every row where nothing could be
+    learned; repeated rows stay or go together; columns of any name pass through; an empty table gives an empty
+    result."""
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches):
