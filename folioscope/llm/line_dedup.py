@@ -1,15 +1,16 @@
 """Repeated passages: documents are aligned pair by pair and aligned common blocks leave the later document.
 
 Documents overlap where they share rare lines. A line shared by a few documents pairs them all; a line shared by more
-pairs each of them with the first alone, which is enough to find the line again in an earlier document and keeps the
-pairs of a line in proportion to its documents. Each pair is aligned by patience diff on line hashes: lines that occur
+pairs each of them with the first alone, which keeps the pairs of a line in proportion to its documents. Each pair is aligned by patience diff on line hashes: lines that occur
 once in both are matched in their longest common order, and runs between matches are aligned again. An aligned block
 of at least a few words is deleted from the document with the larger doc_id.
 
 What the pairs leave is found exactly, without pairs: every shortest run of lines that reaches the words of a block is
 hashed, from each line forward and from each line back, and leaves each document after the first that holds it. Each
 line of a common block lies in such a run inside the block, so no block that any earlier document has stays, in
-whatever order, however often and in however many documents it stands, and however short its lines are.
+whatever order, however often and in however many documents it stands, and however short its lines are. Lines and runs
+are told apart by 64-bit hashes of their bytes (a polynomial modulo 2**64, mixed): chance collisions don't matter at any
+size of corpus, but lines built to collide could pass as equal.
 """
 
 from __future__ import annotations
@@ -22,8 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from folioscope.llm.packing import count_words
-from folioscope.llm.shingles import mix, slices, span_hashes, string_buffers
+from folioscope.llm.shingles import count_words, mix, slices, span_hashes, string_buffers
 from folioscope.session import discard, materialize
 
 #: A line is rare up to so many documents; rare lines pair all of them.
@@ -152,7 +152,9 @@ def repeated_lines(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     source = source.withColumn("text_hash", F.xxhash64("text"))
     tables = materialize(source.select("doc_id", "text_hash", "text").mapInArrow(_line_table, "doc_id long, text_hash long, lines array<int>, hashes array<long>, words array<int>"), "lines")
-    lines = tables.select("doc_id", "text_hash", F.explode(F.arrays_zip("hashes", "words")).alias("x")).select("doc_id", "text_hash", F.col("x.hashes").alias("hash"), F.col("x.words").alias("n")).where(F.col("n") >= LINE_WORDS)
+    enough = F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= LINE_WORDS)
+    # A line counts once a text, however often it stands there.
+    lines = tables.select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform(enough, lambda x: x["hashes"]))).alias("hash"))
     holders = lines.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
     holders = materialize(holders, "holders")  # joined from a table, a hot line can be split
     held = lines.select("doc_id", "text_hash", "hash").join(holders, "hash")
