@@ -1,11 +1,16 @@
 """Texts as lossless WebP images, and a decoder of the whole lossless format.
 
 `encode_texts` stores payloads (UTF-8 bytes, zero-padded to rows of 64) as 16 pixels wide, four bytes a pixel; payloads
-over 64 KiB become several images one after the other. All documents use one fixed prefix code, so equal texts give
-equal files, and a batch of documents is written in a few array operations. `decode_image` reads any lossless WebP:
-simple and normal prefix codes, back-references, colour cache, several prefix groups, and the predictor, cross-colour,
-subtract-green and palette transforms. `decode_many` reads many images in step, one pixel of each at a time, with the
-same code tables; images that need more than literals fall back to `decode_image`.
+over 8 KiB become several images one after the other. An image is written in the smallest of these forms: literals of a
+fixed prefix code; back-references, colour-cache references and literals of another; or a palette of few colours with
+codes of its own. The choice follows from the image alone, so equal texts give equal files, and a batch of documents is
+written in a few array operations. Predictor, cross-colour and green transforms don't shorten text, whose bytes aren't
+near their neighbours in value: `encode_image` writes them for whoever stores pictures.
+
+`decode_image` reads any lossless WebP: simple and normal prefix codes, back-references, colour cache, several prefix
+groups, and the predictor, cross-colour, subtract-green and palette transforms. `decode_many` reads many images in
+step, one token of each at a time, with the same code tables, back-references and caches; images with transforms or
+several groups go to `decode_image`.
 """
 
 from __future__ import annotations
@@ -13,19 +18,25 @@ from __future__ import annotations
 import hashlib
 import heapq
 import zlib
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from folioscope.llm.shingles import slices, string_buffers
+from folioscope.llm.shingles import mix, slices, string_buffers
 from folioscope.session import materialize
 
 WIDTH = 16
 ROW_BYTES = 4 * WIDTH
-MAX_ROWS = 1024
-SLICE_BYTES = 2 << 20
+MAX_ROWS = 128
+SLICE_BYTES = 4 << 20
+#: The cache of texts has 2 ** CACHE_BITS colours; repeats of at least MATCH pixels become back-references.
+CACHE_BITS = 7
+MATCH = 3
+#: Images of at most so many colours are tried with a palette where other forms take over four bits a pixel.
+COLOURS = 16
 
 # Fixed values of the format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -328,11 +339,16 @@ def _frame(webp: bytes) -> bytes:
 def decode_image(webp: bytes) -> np.ndarray:
     """ARGB words (height x width) of a lossless WebP file."""
     r = BitReader(_frame(webp), 8)
-    full_width, height = r.read(14) + 1, r.read(14) + 1
+    width, height = r.read(14) + 1, r.read(14) + 1
     r.read(1)
     if r.read(3):
         raise ValueError("unknown version")
-    width, steps = full_width, []
+    return decode_stream(r, width, height)
+
+
+def decode_stream(r: BitReader, width: int, height: int) -> np.ndarray:
+    """ARGB words of an image stream from its transforms on (as files and alpha planes hold it)."""
+    steps = []
     while r.read(1):
         kind = r.read(2)
         if any(kind == s[0] for s in steps):
@@ -548,15 +564,28 @@ def encode_image(argb: np.ndarray, transforms: tuple = (), cache_bits: int = 0,
     return riff(w.bytes())
 
 
-# ---------------------------------------------------------------- the fixed code of texts
+# ---------------------------------------------------------------- the fixed codes of texts
+
+
+@dataclass
+class TextCode:
+    """Code lengths and codes of green (literals, lengths, cache), other channels and distances, and the header's bits
+    after the image size, with their number."""
+
+    green: tuple[np.ndarray, np.ndarray]
+    other: tuple[np.ndarray, np.ndarray]
+    distance: tuple[np.ndarray, np.ndarray]
+    header: int
+    header_bits: int
 
 
-@lru_cache(maxsize=1)
-def text_code() -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Code lengths and codes of the 256 bytes, and the header's bits after the image size, with their number.
+@lru_cache(maxsize=2)
+def text_code(repeats: bool) -> TextCode:
+    """The fixed code of literals alone, or with repeats (back-references and cache).
 
     Fixed weights by rule: space, small letters by a usual order of frequency, then capitals, digits and punctuation,
-    bytes of two-byte characters, and all others alike."""
+    bytes of two-byte characters, and all others alike; of repeats, cached colours make about a seventh of all tokens,
+    back-references a tenth, short ones more often, far ones more often."""
     weight = [1] * 256
     weight[32] = 800
     for rank, c in enumerate(b"etaoinshrdlcumwfgypbvkjxqz"):
@@ -569,45 +598,126 @@ def text_code() -> tuple[np.ndarray, np.ndarray, int, int]:
     weight[0xC3] = 64
     for c in range(0xA0, 0xC0):
         weight[c] = 8
+    total = sum(weight)
     lengths = code_lengths(weight, 14)
+    far = [0] * 40
+    if repeats:
+        runs = [max(1, total // 10 >> 1 + k // 2) for k in range(24)]
+        green = code_lengths([*weight, *runs, *[total // 6 >> CACHE_BITS] * (1 << CACHE_BITS)], 14)
+        far = code_lengths([1 + k if k < 26 else 0 for k in range(40)], 14)
+    else:
+        green = lengths + [0] * 24
     w = BitWriter()
-    w.write(0, 3)  # no transform, no colour cache, one prefix group
-    _write_code(w, lengths + [0] * 24)
-    for _ in range(3):
-        _write_code(w, lengths)
-    _write_code(w, [0] * 40)
-    return np.array(lengths, np.uint64), np.array(canonical(lengths), np.uint64), w.value, w.n
-
-
-def encode_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """One file for each run of whole rows data[offsets[i]:offsets[i + 1]] (multiples of 64 bytes, at most 64 KiB)."""
-    lengths, codes, header, header_bits = text_code()
-    rows = np.diff(offsets) // ROW_BYTES
-    pixels = rows * WIDTH
-    at = np.zeros(len(rows) + 1, np.int64)
-    np.cumsum(pixels, out=at[1:])
-    planes = data.reshape(-1, 4)  # R G B A
-    value = np.zeros(len(planes), np.uint64)
-    size = np.zeros(len(planes), np.uint64)
+    w.write(0, 1)  # no transform
+    w.write(int(repeats), 1)
+    if repeats:
+        w.write(CACHE_BITS, 4)
+    w.write(0, 1)  # one prefix group
+    for code in (green, lengths, lengths, lengths, far):
+        _write_code(w, code)
+    table = lambda code: (np.array(code, np.uint64), np.array(canonical(code), np.uint64))
+    return TextCode(table(green), table(lengths), table(far), w.value, w.n)
+
+
+def _prefixes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`_prefix_of` over an array: symbols, extra values and extra bits."""
+    small = v <= 4
+    x = np.where(small, 2, v - 1)
+    top = np.frexp(x.astype(np.float64))[1] - 1
+    symbol = 2 * top + (x >> (top - 1) & 1)
+    return np.where(small, v - 1, symbol), np.where(small, 0, x & ((1 << (top - 1)) - 1)), np.where(small, 0, top - 1)
+
+
+def _slots(argb: np.ndarray, bits: int) -> np.ndarray:
+    return ((argb.astype(np.uint64) * np.uint64(HASH_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.int64)
+
+
+def _repeats(argb: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of back-references within images, none over another.
+
+    Each pixel looks to the last place in its image with its MATCH next pixels; neighbours that look equally far back
+    make one reference, cut where the one before it ends."""
+    n = len(argb) - MATCH + 1
+    if n <= 0:
+        return (np.zeros(0, np.int64),) * 3
+    key = mix(image[:n].astype(np.uint64))
+    for k in range(MATCH):
+        key = mix(key * np.uint64(0xD6E8FEB86659FD93) + argb[k : n + k])
+    order = np.argsort(key, kind="stable")
+    back = np.zeros(n, np.int64)
+    here, there = order[1:], order[:-1]
+    same = (key[here] == key[there]) & (image[here] == image[there]) & (image[here] == image[here + MATCH - 1])
+    for k in range(MATCH):
+        same &= argb[here + k] == argb[there + k]
+    back[here[same]] = (here - there)[same]
+    edge = np.concatenate([[True], back[1:] != back[:-1]])
+    begin = np.flatnonzero(edge)
+    stop = np.append(begin[1:], n) + MATCH - 1
+    used = back[begin] > 0
+    begin, stop = begin[used], stop[used]
+    far = back[begin]
+    begin = np.maximum(begin, np.concatenate([[0], stop[:-1]])) if len(begin) else begin
+    used = stop - begin >= MATCH
+    return begin[used], (stop - begin)[used], far[used]
+
+
+def _tokens(planes: np.ndarray, image: np.ndarray, repeats: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits, their numbers and the image of each token of images of `planes` (pixels x R G B A)."""
+    code = text_code(repeats)
+    value, size = np.zeros(len(planes), np.uint64), np.zeros(len(planes), np.uint64)
     for k in (1, 0, 2, 3):  # green first, as read
+        length, bits = code.green if k == 1 else code.other
         b = planes[:, k]
-        value |= codes[b] << size
-        size += lengths[b]
+        value |= bits[b] << size
+        size += length[b]
+    if not repeats:
+        return value, size, image
+    wide = planes.astype(np.uint64)
+    argb = wide[:, 3] << np.uint64(24) | wide[:, 0] << np.uint64(16) | wide[:, 1] << np.uint64(8) | wide[:, 2]
+    slot = _slots(argb, CACHE_BITS)
+    order = np.argsort(image << CACHE_BITS | slot, kind="stable")
+    here, there = order[1:], order[:-1]
+    hit = here[(image[here] == image[there]) & (argb[here] == argb[there])]  # equal colours share a slot
+    length, bits = code.green
+    value[hit], size[hit] = bits[280 + slot[hit]], length[280 + slot[hit]]
+    begin, run, far = _repeats(argb, image)
+    near = np.zeros(1 << 8, np.int64)
+    for k, (dx, dy) in reversed(list(enumerate(NEAR))):
+        near[max(1, dx + dy * WIDTH)] = k + 1
+    step = np.where((far < len(near)) & (near[np.minimum(far, len(near) - 1)] > 0), near[np.minimum(far, len(near) - 1)], far + len(NEAR))
+    v, n = np.zeros(len(begin), np.uint64), np.zeros(len(begin), np.uint64)
+    for (symbol, extra, more), (length, bits), base in ((_prefixes(run), code.green, 256), (_prefixes(step), code.distance, 0)):
+        v |= bits[base + symbol] << n
+        n += length[base + symbol]
+        v |= extra.astype(np.uint64) << n
+        n += more.astype(np.uint64)
+    value[begin], size[begin] = v, n
+    inside = np.zeros(len(planes) + 1, np.int64)
+    np.add.at(inside, begin + 1, 1)
+    np.add.at(inside, begin + run, -1)
+    kept = np.cumsum(inside)[:-1] == 0
+    return value[kept], size[kept], image[kept]
+
+
+def _files(value: np.ndarray, size: np.ndarray, count: np.ndarray, rows: np.ndarray, code: TextCode) -> list[bytes]:
+    """Files of images of `rows` rows from their tokens' bits, `count` of them each, one after the other."""
+    at = np.zeros(len(rows) + 1, np.int64)
+    np.cumsum(count, out=at[1:])
     ends = np.cumsum(size.astype(np.int64))
     begins = ends - size.astype(np.int64)
     base = begins[at[:-1]]
-    bits = 40 + header_bits + ends[at[1:] - 1] - base  # of each file's chunk
+    bits = 40 + code.header_bits + ends[at[1:] - 1] - base  # of each file's chunk
     n_words = -(-bits // 64) + 1
     word_at = np.zeros(len(rows) + 1, np.int64)
     np.cumsum(n_words, out=word_at[1:])
     out = np.zeros(word_at[-1], np.uint64)
-    where = begins + np.repeat(64 * word_at[:-1] + 40 + header_bits - base, pixels)
+    where = begins + np.repeat(64 * word_at[:-1] + 40 + code.header_bits - base, count)
     word, shift = where >> 6, (where & 63).astype(np.uint64)
     firsts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     out[word[firsts]] = np.bitwise_or.reduceat(value << shift, firsts)
     over = np.flatnonzero(shift + size > np.uint64(64))
     out[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
-    head = np.frombuffer((header << 40).to_bytes(-(-(header_bits + 40) // 64) * 8, "little"), np.uint64)
+    head = np.frombuffer((code.header << 40).to_bytes(-(-(code.header_bits + 40) // 64) * 8, "little"), np.uint64)
     for i, h in enumerate(head):
         out[word_at[:-1] + i] |= h
     out[word_at[:-1]] |= np.uint64(0x2F) | np.uint64(WIDTH - 1) << np.uint64(8) | (rows - 1).astype(np.uint64) << np.uint64(22) | np.uint64(1) << np.uint64(36)
@@ -615,6 +725,33 @@ def encode_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [riff(raw[8 * w : 8 * w + n].tobytes()) for w, n in zip(word_at[:-1].tolist(), n_bytes.tolist())]
 
 
+def encode_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """One file for each run of whole rows data[offsets[i]:offsets[i + 1]] (multiples of 64 bytes, at most MAX_ROWS)."""
+    n = len(offsets) - 1
+    rows = np.diff(offsets) // ROW_BYTES
+    planes = data.reshape(-1, 4)  # R G B A
+    image = np.repeat(np.arange(n), rows * WIDTH)
+    forms = [_tokens(planes, image, repeats) for repeats in (False, True)]
+    bits = np.array([np.bincount(own, size.astype(np.float64), n) + text_code(k == 1).header_bits for k, (_, size, own) in enumerate(forms)])
+    form = bits.argmin(axis=0)
+    out: list[bytes] = [b""] * n
+    for k, (value, size, own) in enumerate(forms):
+        chosen = np.flatnonzero(form == k)
+        if len(chosen):
+            mine = form[own] == k
+            count = np.bincount(own[mine], minlength=n)[chosen]
+            for i, f in zip(chosen.tolist(), _files(value[mine], size[mine], count, rows[chosen], text_code(k == 1))):
+                out[i] = f
+    pixels = planes.copy().view("<u4").reshape(-1).astype(np.int64)
+    for i in np.flatnonzero(bits.min(axis=0) > 4 * rows * WIDTH + 1024).tolist():
+        own = pixels[offsets[i] // 4 : offsets[i + 1] // 4]
+        if len(own) >= 512 and len(np.unique(own[:64])) <= COLOURS and len(np.unique(own)) <= COLOURS:
+            argb = words(np.roll(planes[offsets[i] // 4 : offsets[i + 1] // 4].astype(np.int64), 1, axis=1)).reshape(-1, WIDTH)
+            f = encode_image(argb, (("palette", np.unique(argb)),))
+            out[i] = min(out[i], f, key=len)
+    return out
+
+
 def encode_texts(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """The stored form of each text: its images one after the other."""
     sizes = np.diff(offsets)
@@ -644,13 +781,16 @@ def split_files(media: bytes) -> list[bytes]:
 
 
 class _Header:
-    """A parsed header of a plain image (no transform, cache or second group), told by its bits."""
+    """A parsed header of a plain image (no transform or second group), told by its bits."""
 
     def __init__(self, chunk: bytes):
         r = BitReader(chunk, 40)
-        self.plain = r.read(3) == 0
+        self.plain = r.read(1) == 0
+        if self.plain:
+            self.cache_bits = r.read(4) if r.read(1) else 0
+            self.plain = self.cache_bits <= 11 and r.read(1) == 0
         if self.plain:
-            self.group = _read_group(r, 0)
+            self.group = _read_group(r, self.cache_bits)
         self.bits = r.at
         whole, rest = divmod(self.bits, 8)
         self.bytes, self.mask = chunk[5:whole], (1 << rest) - 1
@@ -680,45 +820,91 @@ def _rgba(argb: np.ndarray) -> np.ndarray:
     return np.stack([(argb >> s) & 255 for s in (16, 8, 0, 24)], axis=-1).astype(np.uint8).reshape(-1)
 
 
-def _in_step(chunks: list[bytes], pixels: list[int], header: _Header) -> list[np.ndarray | None]:
-    """Pixel bytes of plain images; None where an image has more than literals."""
-    order = sorted(range(len(chunks)), key=lambda i: -pixels[i])
-    n = np.array([pixels[i] for i in order], np.int64)
-    sizes = [-(-len(chunks[i]) // 4) * 4 for i in order]
-    starts = np.zeros(len(order) + 1, np.int64)
+def _in_step(chunks: list[bytes], widths: np.ndarray, n: np.ndarray, header: _Header) -> list[np.ndarray | None]:
+    """Pixel bytes of plain images of `widths` columns and `n` pixels with one header; None where one is damaged."""
+    sizes = [-(-len(c) // 4) * 4 for c in chunks]
+    starts = np.zeros(len(chunks) + 1, np.int64)
     np.cumsum(sizes, out=starts[1:])
-    raw = b"".join(chunks[i].ljust(s, b"\0") for i, s in zip(order, sizes)) + bytes(16)
+    raw = b"".join(c.ljust(s, b"\0") for c, s in zip(chunks, sizes)) + bytes(16)
     half = np.frombuffer(raw, "<u4").astype(np.uint64)
     pairs = half[:-1] | half[1:] << np.uint64(32)
     last = len(pairs) - 2
-    at = np.zeros(len(order) + 1, np.int64)
-    np.cumsum(n, out=at[1:])
-    out = np.zeros((at[-1], 4), np.uint8)
+    base = np.zeros(len(chunks) + 1, np.int64)
+    np.cumsum(n, out=base[1:])
+    out = np.zeros(base[-1], np.uint32)
     position = starts[:-1] * 8 + header.bits
-    limits = starts[:-1] * 8 + 8 * np.array([len(chunks[i]) for i in order], np.int64)
-    failed = np.zeros(len(order), bool)
-    tables = [(c.table, np.uint64((1 << c.bits) - 1)) for c in header.group[:4]]
-    active = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), "right")
-    for t in range(int(n[0])):
-        k = int(active[t])
-        p = position[:k]
-        where = at[:k] + t
-        for j, channel in enumerate((1, 0, 2, 3)):
-            if j % 2 == 0:
-                word = pairs[np.minimum(p >> 5, last)] >> (p & 31).astype(np.uint64)
-            table, mask = tables[j]
-            e = table[(word & mask).astype(np.int64)]
-            if j == 0:
-                failed[:k] |= e >= 256 << 4
-            used = e & 15
-            word >>= used.astype(np.uint64)
-            p += used
-            out[where, channel] = e >> 4
-    failed |= position > limits
+    limits = starts[:-1] * 8 + 8 * np.array([len(c) for c in chunks], np.int64)
+    filled = np.zeros(len(chunks), np.int64)
+    failed = np.zeros(len(chunks), bool)
+    tables = [(c.table, np.uint64((1 << c.bits) - 1)) for c in header.group]
+    cache = np.zeros((len(chunks), 1 << header.cache_bits), np.uint32) if header.cache_bits else None
+    near = np.array(NEAR)
+
+    def window(p: np.ndarray) -> np.ndarray:
+        """At least 33 bits from bit p on."""
+        return pairs[np.minimum(p >> 5, last)] >> (p & 31).astype(np.uint64)
+
+    def symbol(k: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        table, mask = tables[k]
+        e = table[(bits & mask).astype(np.int64)]
+        return e >> 4, (e & 15).astype(np.int64)
+
+    def prefixed(s: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of length or distance symbols, and the bit positions after their extra bits."""
+        s = s.astype(np.int64)
+        extra = np.maximum((s - 2) >> 1, 0)
+        more = (window(p) & ((np.uint64(1) << extra.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+        return np.where(s < 4, s + 1, ((2 + (s & 1)) << extra) + more + 1), p + extra
+
+    active = np.flatnonzero(filled < n)
+    while len(active):
+        p = position[active]
+        bits = window(p)
+        green, used = symbol(0, bits)
+        p = p + used
+        literal = np.flatnonzero(green < 256)
+        own, q = active[literal], p[literal]
+        red, used = symbol(1, bits[literal] >> used[literal].astype(np.uint64))
+        q = q + used
+        bits = window(q)
+        blue, used = symbol(2, bits)
+        alpha, more = symbol(3, bits >> used.astype(np.uint64))
+        p[literal] = q + used + more
+        argb = alpha.astype(np.uint32) << np.uint32(24) | (red << 16 | green[literal] << 8 | blue).astype(np.uint32)
+        out[base[own] + filled[own]] = argb
+        filled[own] += 1
+        if cache is not None:
+            cache[own, _slots(argb, header.cache_bits)] = argb
+            cached = np.flatnonzero(green >= 280)
+            own = active[cached]
+            out[base[own] + filled[own]] = cache[own, green[cached] - 280]
+            filled[own] += 1
+        copies = np.flatnonzero((green >= 256) & (green < 280))
+        if len(copies):
+            own = active[copies]
+            length, q = prefixed(green[copies] - 256, p[copies])
+            s, used = symbol(4, window(q))
+            far, q = prefixed(s, q + used)
+            p[copies] = q
+            code = np.minimum(far, len(near)) - 1
+            far = np.where(far > len(near), far - len(near), np.maximum(1, near[code, 0] + near[code, 1] * widths[own]))
+            wrong = (far > filled[own]) | (filled[own] + length > n[own])
+            failed[own[wrong]] = True
+            own, length, far = own[~wrong], length[~wrong], far[~wrong]
+            k = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            to = np.repeat(base[own] + filled[own], length)
+            far = np.repeat(far, length)
+            argb = out[to - far + k % far]
+            out[to + k] = argb
+            if cache is not None:
+                cache[np.repeat(own, length), _slots(argb, header.cache_bits)] = argb  # of equal slots the last stays
+            filled[own] += length
+        position[active] = p
+        failed[active] |= p > limits[active]
+        active = active[(filled[active] < n[active]) & ~failed[active]]
     done: list[np.ndarray | None] = [None] * len(chunks)
-    for lane, i in enumerate(order):
-        if not failed[lane]:
-            done[i] = out[at[lane] : at[lane + 1]].reshape(-1)
+    for i in np.flatnonzero(~failed).tolist():
+        done[i] = _rgba(out[base[i] : base[i + 1]])
     return done
 
 
@@ -732,9 +918,9 @@ def decode_many(files: list[bytes]) -> list[np.ndarray]:
         if h.plain:
             groups.setdefault(id(h), (h, []))[1].append(i)
     for h, some in groups.values():
-        size = [int.from_bytes(chunks[i][1:5], "little") for i in some]
-        pixels = [((s & 0x3FFF) + 1) * (((s >> 14) & 0x3FFF) + 1) for s in size]
-        for i, x in zip(some, _in_step([chunks[i] for i in some], pixels, h)):
+        size = np.array([int.from_bytes(chunks[i][1:5], "little") for i in some], np.int64)
+        widths, heights = (size & 0x3FFF) + 1, ((size >> 14) & 0x3FFF) + 1
+        for i, x in zip(some, _in_step([chunks[i] for i in some], widths, widths * heights, h)):
             out[i] = x
     return [_rgba(decode_image(f)) if x is None else x for f, x in zip(files, out)]
 
@@ -785,8 +971,8 @@ def decode_column(media: DataFrame, pixels: bool = True) -> DataFrame:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Store every text of `docs` as media in the shared folder, read it back and describe it.
+    """Store every text of `docs` as media in the shared folder, read it back, and give its pixel array and digests.
 
     Null and empty texts are one row of zero bytes; repeated rows give repeated results; other columns are ignored; an
     empty table gives an empty result."""
-    return decode_column(materialize(encode_column(docs), "media"), pixels=False)
+    return decode_column(materialize(encode_column(docs), "media"))

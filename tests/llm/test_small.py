@@ -50,24 +50,41 @@ def test_edits_keep_the_encoding_exact(codec):
         assert e.ids() == codec.encode(e.text)
 
 
-def test_word_cache_is_the_library():
-    own = token_files.encoder(public_tokenizers.path("word_bpe_49k.json"))
-    some = [*texts(3, 800), "", "The DON'T; x|", "ÀB ß."]
-    for text, ids in zip(some, own.encode(some)):
-        assert np.frombuffer(ids, own.dtype).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+def test_word_cache_is_the_library(monkeypatch, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = token_files.WordCachedEncoder(path)
+    some = [*texts(3, 800), "", None, "The DON'T; x|", "ÀB ß.", "x" * 200 + " y", "\xa0a \u2003b\x85c", " \u0301a"]
+    expected = [[*own.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in some]
+
+    def ids(encoder):
+        out = []
+        for _, flat, counts in encoder.encode(pa.array(some)):
+            out += [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
+        return out
+
+    assert own.by_word and ids(own) == ids(own) == expected and own.lengths(pa.array(some)).tolist() == [len(x) for x in expected]
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 10)
+    monkeypatch.setattr(token_files, "SLICE_BYTES", 100)
+    assert ids(own) == expected
+    # Another normaliser: texts go to the library whole.
+    parts = __import__("json").load(open(path))
+    parts["normalizer"] = {"type": "NFC"}
+    (tmp_path / "other.json").write_text(__import__("json").dumps(parts))
+    other = token_files.WordCachedEncoder(str(tmp_path / "other.json"))
+    assert not other.by_word and ids(other) == [[*other.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in some]
 
 
 def test_sequence_file_round_trip(tmp_path):
     docs = [np.arange(n, dtype="<u2") for n in (3, 0, 700, 1, 64)]
     with open(tmp_path / "x.arrow", "wb") as f:
         w = token_files.SequenceWriter(f, np.dtype("<u2"), 16, 4)
-        first = [w.append(d.tobytes()) for d in docs]
+        first = w.extend(np.concatenate(docs), np.array([len(d) for d in docs])).tolist()
         w.close()
     r = token_files.SequenceFile(pa.memory_map(str(tmp_path / "x.arrow")))
     assert all(r.tokens(at, len(d)).tolist() == d.tolist() for at, d in zip(first, docs))
     ids, mask = r.sequence(768 // 16 - 1)
     assert len(ids) == 16 and mask.all() and r.real_tokens() == 768
-    assert not r.sequence(0)[0].flags.owndata  # a view
+    assert not any(x.flags.owndata for x in r.sequence(0))  # views
 
 
 @settings(max_examples=40, deadline=None)
@@ -81,18 +98,66 @@ def test_webp_round_trip(colours, h, w, cache, kind, rnd):
 
 
 def test_texts_as_images():
-    some = ["", "x", "y" * 64, "é" * 70_000, *texts(4, 50)]
+    """Every form comes back byte for byte, by the decoder in step and by the plain one."""
+    rnd = random.Random(9)
+    few = ["abcd", "efgh", "ijkl", "mnop", "qrst"]
+    line = "a line of text that comes back again and again, "
+    some = ["", "x", "y" * 64, "é" * 70_000, *texts(4, 50), line * 300, "".join(rnd.choice(few) for _ in range(2000)), "".join(rnd.choice(["lorem ", "ipsum ", "dolor ", line]) for _ in range(3000)), "".join(chr(rnd.randint(1, 0x2FF)) for _ in range(5000))]
     raw = [t.encode() for t in some]
     offsets = np.cumsum([0, *map(len, raw)])
     media = webp.encode_texts(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    headers, transforms = set(), 0
     for t, m in zip(raw, media):
         files = webp.split_files(m)
         got = np.concatenate(webp.decode_many(files)).tobytes()
         assert got == t.ljust(max(64, -(-len(t) // 64) * 64), b"\0")
-        assert webp._rgba(webp.decode_image(files[0])).tobytes() == got[: 64 * 1024]
+        assert b"".join(webp._rgba(webp.decode_image(f)).tobytes() for f in files[:4]) == got[: 4 * 64 * webp.MAX_ROWS]
+        for f in files:
+            h = webp._Header(webp._frame(f))
+            transforms += not h.plain
+            headers.add(h.plain and h.cache_bits)
+        alone = webp.encode_texts(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
+        assert alone == m  # whatever stands beside it in its batch
+    assert headers == {False, 0, webp.CACHE_BITS} and transforms and len(media[-4]) < len(raw[-4]) / 20
     for bad in (b"", b"RIFF", media[2][:-70]):
         with pytest.raises(ValueError):
             webp.decode_image(bad)
+    f = webp.split_files(media[-2])[0]
+    broken = f[:300] + bytes(len(f) - 300)
+    try:
+        webp.decode_many([broken])
+    except ValueError:
+        pass  # damaged data is told or gives other pixels, never an endless loop
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_images_in_step(seed):
+    """Files of the general encoder (codes of their own, caches and references of any size) by the decoder in step."""
+    rnd = np.random.default_rng(seed)
+    files, truth = [], []
+    for _ in range(6):
+        a = rnd.choice(rnd.integers(0, 2**32, 4).astype(np.uint32), (int(rnd.integers(1, 20)), int(rnd.integers(1, 30))))
+        files.append(webp.encode_image(a, (), int(rnd.integers(0, 12)), bool(rnd.integers(0, 2))))
+        truth.append(webp._rgba(a).tobytes())
+    assert [x.tobytes() for x in webp.decode_many(files)] == truth
+
+
+def test_image_of_another_encoder():
+    """The alpha plane of a picture from Python's own test data, a lossless stream that this library didn't write."""
+    email = pytest.importorskip("test.test_email")
+    path = __import__("pathlib").Path(email.__file__).parent / "data" / "python.webp"
+    if not path.exists():
+        pytest.skip("Python's test data isn't installed")
+    data, at = path.read_bytes(), 12
+    while data[at : at + 4] != b"ALPH":
+        at += 8 + (int.from_bytes(data[at + 4 : at + 8], "little") + 1 & ~1)
+    size = int.from_bytes(data[at + 4 : at + 8], "little")
+    if data[at + 8] & 3 != 1:
+        pytest.skip("not a lossless plane")
+    r = webp.BitReader(data[at + 9 : at + 8 + size])
+    alpha = webp.decode_stream(r, 16, 16) >> 8 & 255
+    assert r.size - r.at < 32 and r.read(r.size - r.at) == 0  # the whole stream, to its last bits
+    assert alpha.min() == 0 and alpha.max() == 255 and len(np.unique(alpha)) > 2
 
 
 def shingle_set(text, width=5):
@@ -139,6 +204,51 @@ def test_packing_plan_is_best_fit():
     assert packing.plan_packing({}).bins == 0
 
 
+def test_packing_equals_piece_by_piece():
+    """The plan by runs has the bins of the plain algorithm: each piece into the fullest bin with room, or a new one."""
+    rnd, sizes = random.Random(4), (16, 32, 64)
+    for _ in range(120):
+        h = {rnd.randint(1, 64): rnd.randint(1, 25) for _ in range(rnd.randint(1, 25))}
+        lighter, room, size = sum(n * c for n, c in h.items()), [], []
+        for n in sorted(h, reverse=True):
+            lighter -= n * h[n]
+            left = h[n]
+            while left:
+                fit = [b for b in range(len(room)) if room[b] >= n]
+                if not fit:
+                    opened = packing.cheapest(n, left, lighter, sizes)
+                    for _ in range(max(1, left // (opened // n))):
+                        room.append(opened)
+                        size.append(opened)
+                    continue
+                at = min(fit, key=lambda b: (room[b], b))
+                room[at] -= n
+                left -= 1
+        held = sorted((s - r, min(x for x in sizes if x >= s - r)) for s, r in zip(size, room) if r < s)
+        p = packing.plan_packing(h, sizes)
+        used = dict.fromkeys(range(p.bins), 0)
+        ends = [*p.first[1:], sum(h.values())]
+        for k, end in enumerate(ends):
+            for r in range(end - p.first[k]):
+                used[p.bin[k] + r // p.per[k]] += p.length[k]
+        own = sorted((u, p.capacity[np.searchsorted(p.bin_first, b, "right") - 1]) for b, u in used.items())
+        assert own == held
+
+
+def test_opened_size_is_the_cheapest():
+    """Among the sizes that hold the piece, none costs less a token for what can still fill the bins."""
+    rnd = random.Random(6)
+    for _ in range(300):
+        n, count, lighter = rnd.randint(1, 64), rnd.randint(1, 30), rnd.choice([0, rnd.randint(0, 900)])
+        costs = {}
+        for s in (16, 32, 64):
+            if s >= n:
+                own = min(s // n, count)
+                bins = -(-count // own)
+                costs[s] = (s + packing.OVERHEAD) / (own * n + min(s - own * n, lighter / bins))
+        assert costs[packing.cheapest(n, count, lighter, (16, 32, 64))] == min(costs.values())
+
+
 def test_patience():
     assert line_dedup.patience(list("abcdefg"), list("abxdefg")) == [(0, 0), (1, 1), (3, 3), (4, 4), (5, 5), (6, 6)]
     assert line_dedup.patience(list("xaby"), list("pabq")) == [(1, 1), (2, 2)] and line_dedup.patience([], [1]) == []
