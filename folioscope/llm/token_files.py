@@ -1,16 +1,17 @@
 """Token IDs as Arrow IPC files of fixed-size-list batches, with random access and masks.
 
-A file holds record batches of `FixedSizeList<uint16|uint32>[length]` ids and `FixedSizeList<bool>[length]` masks;
-every batch but the last has the same number of sequences, so sequence r is row r mod B of batch r div B and is read
-from a memory map without copying. The documents of a file, in ascending doc_id order, fill its sequences without
-gaps; only the last sequence is padded (mask false). A second small Arrow file beside it holds each document's id,
-first token and token count. Files are named by task attempt and listed in a manifest that only finished tasks reach,
-so lost or repeated tasks leave no visible trace.
+A file holds record batches of `FixedSizeList<uint16|uint32>[length]` ids and `FixedSizeList<uint8>[length / 8]` masks
+(a bit for each token, least first, 1 for real tokens); every batch but the last has the same number of sequences, so
+sequence r is row r mod B of batch r div B, and both its ids and its mask are views of a memory map. Files on an object store are not mapped: their
+batches are read as they are asked for, and are views of what was read. The documents of a file, in ascending doc_id
+order, fill its sequences without gaps; only the last sequence is padded (mask bits 0). A second small Arrow file beside it
+holds each document's id, first token and token count. Files are named by task attempt and listed in a manifest that
+only finished tasks reach, so lost or repeated tasks leave no visible trace.
 """
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from array import array
 from functools import lru_cache
@@ -21,123 +22,199 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from folioscope.llm.shingles import LOWER, SEPARATOR, slices, span_hashes, string_buffers
 from folioscope.session import fanout, materialize, work_path
 
-#: White space to str.split() but not to the tokenizer's pattern.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Western letters, then closing ASCII marks other than the apostrophe (which can begin a contraction).
-LETTERS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+#: Bytes of Western letters: ASCII ones, and C3 with what may follow it but for the signs of times and division.
+ASCII_LETTER, AFTER_C3, MARK = (np.zeros(256, bool) for _ in range(3))
+ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
+AFTER_C3[0x80:0xC0] = True
+AFTER_C3[[0x97, 0xB7]] = False
+#: Closing ASCII marks other than the apostrophe (which can begin a contraction).
+MARK[33:48] = MARK[58:65] = MARK[91:97] = MARK[123:127] = True
+MARK[39] = False
 JOINED = 64
-CACHE_WORDS = 900_000
-SLICE_CHARS = 4 << 20
+CACHE_WORDS = 700_000
+#: Longer words go to the library each time they come.
+CACHED_BYTES = 64
+SLICE_BYTES = 2 << 20
+
+# The parts of a tokenizer file under which texts may be encoded word by word. White space is dropped,
+# and neither the normaliser nor the pattern nor the byte mapping looks across it; a piece of letters is one match of
+# the pattern, and the last of its tokens, and no other, carries the end-of-word mark.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+WORD_END = "</w>"
 
 
 class WordCachedEncoder:
-    """The tokenizers library behind a cache of white-space-delimited chunks.
+    """The tokenizers library behind a cache of words (runs of bytes other than ASCII white space).
 
-    The vocabulary drops white space and its pattern, normaliser and byte mapping never look across it, so a text's
-    ids are those of its chunks one after the other. Texts with separators on which Python and the pattern disagree
-    go to the library whole.
-    """
+    Where the file's normaliser, pre-tokeniser and model are those stated above, a text's ids are those of its words
+    one after the other, and those of a word of Western letters and closing marks are those of its letters (ASCII ones
+    in lower case) and of its marks. Each distinct part goes to the library once (as long as it stays in the cache)
+    and is known by a 64-bit hash of its at most 64 bytes. With any other tokenizer file every text goes to the library whole."""
 
-    def __init__(self, path: str, dtype=None):
+    def __init__(self, path: str, end_id: int = 1, dtype=None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(dtype or ("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) < 1 << 16 else "<u4"))
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        with open(path) as f:
+            parts = json.load(f)
+        model = parts["model"]
+        self.by_word = (parts["normalizer"], parts["pre_tokenizer"], model["type"], model.get("end_of_word_suffix"), model.get("unk_token"), model.get("continuing_subword_prefix")) == (NORMALIZER, PRE_TOKENIZER, "BPE", WORD_END, None, None)
+        self.by_word &= not any(t["single_word"] or t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in parts["added_tokens"])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.end_id = end_id
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.place, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.array([self.end_id], self.dtype)  # the end id stands first
+        self.used = 1
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [array(self.code, e.ids).tobytes() for e in encode(texts, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters only: each is one piece, and a piece ends at a token with the word-end mark, so
-        many go to the library in one text."""
+        """Ids of words of letters only, many to a text: each ends at a token with the word-end mark."""
         texts = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
         ids = np.frombuffer(b"".join(self._library(texts)), self.dtype)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words):
-            return self._library(words)
+            raise ValueError("the tokenizer file marks other word ends than its parts say")
         packed, cuts = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
         return [packed[a:b] for a, b in zip([0, *cuts], cuts)]
 
-    def _learn(self, new) -> None:
-        """Cache chunks; letters before closing punctuation are two pieces and learnt apart."""
-        split, rest = [], []
-        for w in new:
-            m = LETTERS.fullmatch(w)
-            if m:
-                letters, marks = m.groups()
-                split.append((w, letters.lower() if letters.isascii() else letters, marks))
-            else:
-                rest.append(w)
-        parts = list({x[1] for x in split}.difference(self.parts))
-        self.parts.update(zip(parts, self._letters(parts)))
-        marks = list({x[2] for x in split}.difference(self.parts))
-        self.parts.update(zip(marks, self._library(marks)))
-        self.cache.update((w, self.parts[a] + self.parts[b]) for w, a, b in split)
-        self.cache.update(zip(rest, self._library(rest)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if SEPARATORS.search(t)]
-        for i, ids in zip(odd, self._library([texts[i] for i in odd])):
-            out[i] = ids
-        at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) <= SLICE_CHARS):
-                chars, end = chars + len(texts[end]), end + 1
-            words = [texts[i].split() if out[i] is None else [] for i in range(at, end)]
-            new = set().union(*words).difference(self.cache)
-            if len(self.cache) + len(self.parts) + len(new) > CACHE_WORDS:
-                self.cache.clear()
-                self.parts.clear()
-                new = set().union(*words)
-            self._learn(new)
-            get = self.cache.__getitem__
-            for i, w in zip(range(at, end), words):
-                if out[i] is None:
-                    out[i] = b"".join(map(get, w))
-            at = end
-        return out
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordCachedEncoder:
-    return WordCachedEncoder(path)
+    def _add(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Put ids behind those held; their places and numbers."""
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        total = int(size.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(self.used, total), self.dtype)])
+        self.ids[self.used : self.used + total] = np.frombuffer(b"".join(found), self.dtype)
+        place = self.used + np.cumsum(size) - size
+        self.used += total
+        return place, size
+
+    def _words(self, text: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and numbers of the ids of each part of `text`, whose rows begin at `cut`, and the rows' first parts."""
+        inside = ~SEPARATOR[text]
+        begins, stops = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        row = cut[cut < len(text)]
+        begins[row] = inside[row]
+        stops[:-1] &= begins[1:] | ~inside[1:]
+        start, stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        # Where each word's letters end, and whether only marks follow.
+        letter = ASCII_LETTER[text]
+        lead = text == 0xC3
+        letter |= lead
+        letter[1:] |= AFTER_C3[text[1:]] & lead[:-1]
+        until = lambda kind, at: np.append(np.flatnonzero(~kind), len(text))[np.searchsorted(np.flatnonzero(~kind), at)]
+        core = np.minimum(until(letter, start), stop)
+        clean = (core > start) & (until(MARK[text], core) >= stop)
+        two = np.flatnonzero(clean & (core < stop))
+        lettered = np.insert(clean, two + 1, False)
+        start, stop = np.insert(start, two + 1, core[two]), np.insert(stop, two, core[two])
+        # Letters are known in lower case, all else as it stands.
+        lower = LOWER[text]
+        other = np.flatnonzero(~lettered)
+        size = stop[other] - start[other]
+        at = np.repeat(start[other] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        lower[at] = text[at]
+        raw = lower.tobytes()
+        part = lambda which: [raw[a:b].decode() for a, b in zip(start[which].tolist(), stop[which].tolist())]
+        short = np.flatnonzero(stop - start <= CACHED_BYTES)
+        place, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        hashes, first, which = np.unique(span_hashes(lower, start, stop)[short], return_index=True, return_inverse=True)
+        if len(self.keys) + len(hashes) > CACHE_WORDS:
+            self._forget()
+        at = np.searchsorted(self.keys, hashes)
+        known = np.zeros(len(hashes), bool)
+        near = np.flatnonzero(at < len(self.keys))
+        known[near] = self.keys[at[near]] == hashes[near]
+        own, n = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        own[known], n[known] = self.place[at[known]], self.count[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            of_letters = lettered[short[first[new]]]
+            for some, learn in ((new[of_letters], self._letters), (new[~of_letters], self._library)):
+                own[some], n[some] = self._add(learn(part(short[first[some]])))
+            order = np.argsort(np.concatenate([self.keys, hashes[new]]), kind="stable")
+            self.keys, self.place, self.count = (np.concatenate([a, b[new]])[order] for a, b in ((self.keys, hashes), (self.place, own), (self.count, n)))
+        place[short], count[short] = own[which], n[which]
+        long = np.flatnonzero(stop - start > CACHED_BYTES)
+        if len(long):
+            place[long], count[long] = self._add(self._library(part(long)))
+        return place, count, np.searchsorted(start, cut)
+
+    def _slices(self, column):
+        """For slices of a column of texts: first row, and places, numbers and rows of the words' ids."""
+        data, offsets = string_buffers(column)
+        for lo, hi in slices(offsets, SLICE_BYTES):
+            base, cut = int(offsets[lo]), offsets[lo : hi + 1] - offsets[lo]
+            if self.by_word:
+                yield lo, *self._words(data[base : int(offsets[hi])], cut)
+                continue
+            self._forget()
+            raw = data[base : int(offsets[hi])].tobytes()
+            yield lo, *self._add(self._library([raw[a:b].decode() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())])), np.arange(hi - lo + 1)
+
+    def lengths(self, column) -> np.ndarray:
+        """Ids of each text of a column, its end id among them; a null text is empty."""
+        out = [np.zeros(0, np.int64)]
+        for _, _, count, rows in self._slices(column):
+            total = np.concatenate([[0], np.cumsum(count)])
+            out.append(np.diff(total[rows]) + 1)
+        return np.concatenate(out)
+
+    def encode(self, column):
+        """For slices of a column: first row, the ids of its texts one after the other, each with its end id, and the
+        numbers of ids."""
+        for lo, place, count, rows in self._slices(column):
+            place, count = np.insert(place, rows[1:], 0), np.insert(count, rows[1:], 1)
+            total = np.concatenate([[0], np.cumsum(count)])
+            ids = self.ids[np.repeat(place - total[:-1], count) + np.arange(total[-1])]
+            yield lo, ids, np.diff(total[rows + np.arange(len(rows))])
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, end_id: int = 1) -> WordCachedEncoder:
+    return WordCachedEncoder(path, end_id)
 
 
 class SequenceWriter:
     """Writes a stream of tokens as equal-length sequences; `batch` sequences make a record batch."""
 
     def __init__(self, sink, dtype: np.dtype, length: int, batch: int):
+        if length % 8:
+            raise ValueError("sequences are a multiple of 8 tokens long")
         self.dtype, self.length, self.batch = dtype, length, batch
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("input_ids", pa.list_(pa.field("item", kind, False), length)), ("mask", pa.list_(pa.field("item", pa.bool_(), False), length))])
+        self.schema = pa.schema([("input_ids", pa.list_(pa.field("item", kind, False), length)), ("mask", pa.list_(pa.field("item", pa.uint8(), False), length // 8))])
         self.out = pa.ipc.new_file(sink, self.schema)
-        self.waiting: list[bytes] = []
+        self.waiting: list[np.ndarray] = []
         self.held = self.tokens = 0
 
-    def append(self, ids: bytes) -> int:
-        """Add a document's packed ids; returns its first token's position in the file."""
-        first = self.tokens
+    def extend(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Add documents' ids, one after the other; returns each one's first position in the file."""
+        first = self.tokens + np.cumsum(counts) - counts
         self.waiting.append(ids)
         self.held += len(ids)
-        self.tokens += len(ids) // self.dtype.itemsize
-        if self.held >= self.batch * self.length * self.dtype.itemsize:
+        self.tokens += len(ids)
+        if self.held >= self.batch * self.length:
             self._flush(False)
         return first
 
     def _flush(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.waiting), self.dtype)
+        ids = np.concatenate([np.zeros(0, self.dtype), *self.waiting])
         full = self.batch * self.length
         end = len(ids) // full * full
         for at in range(0, end, full):
@@ -148,11 +225,11 @@ class SequenceWriter:
             padded[: len(rest)] = rest
             self._write(padded, len(rest))
             rest = rest[:0]
-        self.waiting, self.held = [rest.tobytes()], len(rest) * self.dtype.itemsize
+        self.waiting, self.held = [rest.copy()], len(rest)
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = pa.array(np.arange(len(ids)) < real)
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x) if isinstance(x, np.ndarray) else x, type=f.type) for x, f in zip((ids, mask), self.schema)]
+        mask = np.packbits(np.arange(len(ids)) < real, bitorder="little")
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((ids, mask), self.schema)]
         self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def close(self) -> None:
@@ -178,10 +255,14 @@ class SequenceFile:
         return self._batch(k).column(column).flatten()
 
     def sequence(self, r: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view) and mask of sequence r."""
+        """Ids and mask of sequence r, both views; the mask is packed (`unpack` makes booleans of it)."""
         k, row = divmod(r, self.batch)
-        ids = self._values(k, "input_ids").slice(row * self.length, self.length).to_numpy(zero_copy_only=True)
-        return ids, self._values(k, "mask").slice(row * self.length, self.length).to_numpy(zero_copy_only=False)
+        ids, mask = (self._values(k, c).slice(row * n, n).to_numpy(zero_copy_only=True) for c, n in (("input_ids", self.length), ("mask", self.length // 8)))
+        return ids, mask
+
+    @staticmethod
+    def unpack(mask: np.ndarray) -> np.ndarray:
+        return np.unpackbits(mask, bitorder="little").astype(bool)
 
     def tokens(self, first: int, n: int) -> np.ndarray:
         """n tokens from position `first` of the file's stream."""
@@ -195,7 +276,7 @@ class SequenceFile:
 
     def real_tokens(self) -> int:
         """Tokens under true masks."""
-        return sum(int(np.count_nonzero(self._values(k, "mask").to_numpy(zero_copy_only=False))) for k in range(self.reader.num_record_batches))
+        return sum(int(np.bitwise_count(self._values(k, "mask").to_numpy(zero_copy_only=True)).sum()) for k in range(self.reader.num_record_batches))
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
@@ -214,11 +295,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, uri: str, end_id: int = 1, le
     rows = rows.repartitionByRange(fanout(docs), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches):
-        own = encoder(vocabulary)
+        own = encoder(vocabulary, end_id)
         task = TaskContext.get()
         store, base = fs.FileSystem.from_uri(uri)
         name = f"tokens-{task.partitionId():07d}-{task.taskAttemptId()}"
-        end = np.array([end_id], own.dtype).tobytes()
         sink, kept = None, []
         for b in batches:
             if not b.num_rows:
@@ -230,9 +310,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, uri: str, end_id: int = 1, le
                 index_sink = store.open_output_stream(f"{base}/{name}.docs.arrow")
                 index = pa.ipc.new_file(index_sink, INDEX)
                 n_docs = 0
-            ids = [x + end for x in own.encode(b.column("text").to_pylist())]
-            first = [writer.append(x) for x in ids]
-            index.write_batch(pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(first, pa.int64()), pa.array([len(x) // own.dtype.itemsize for x in ids], pa.int64())], schema=INDEX))
+            for lo, ids, counts in own.encode(b.column("text")):
+                index.write_batch(pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, len(counts)), pa.array(writer.extend(ids, counts)), pa.array(counts)], schema=INDEX))
             n_docs += b.num_rows
         if sink is not None:
             for x in (writer, sink, index, index_sink):
