@@ -5,6 +5,9 @@ room, a bin is opened whose size costs least for what can still fill it. At the
 permitted size that holds its contents. Lengths are at most the largest size, so the histogram of lengths (one row a
 length, whatever the corpus) decides the whole packing: equal pieces are placed in runs on the driver, and a piece
 finds its bin from its length and its rank among pieces of that length.
+
+Lengths are numbers of token ids, as `token_files` writes them: a piece (doc_id, start, length) is those ids of its
+document, so `fill` cuts them out of the ids and lays them into their bins.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope.llm.sharding import row_numbers
-from folioscope.llm.shingles import SEPARATOR, string_buffers
+from folioscope.llm.token_files import encoder
 from folioscope.session import materialize
 
 SIZES = (512, 1024, 2048)
@@ -110,26 +113,13 @@ def plan_packing(histogram: dict[int, int], sizes: tuple[int, ...] = SIZES, over
     return plan
 
 
-def count_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """White-space-delimited words of each text."""
-    lo = int(offsets[0])
-    inside = ~SEPARATOR[data[lo : int(offsets[-1])]]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    cut = offsets[:-1] - lo
-    cut = cut[cut < len(inside)]
-    begins[cut] = inside[cut]
-    total = np.concatenate([[0], np.cumsum(begins)])
-    return total[offsets[1:] - lo] - total[offsets[:-1] - lo]
-
-
-def word_lengths(docs: DataFrame) -> DataFrame:
-    """(doc_id, length): the words of each text and one end token; null text is empty."""
+def token_lengths(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
+    """(doc_id, length): the token ids of each text and its end id; null text is empty."""
 
     def run(batches):
+        own = encoder(vocabulary, end_id)
         for b in batches:
-            data, offsets = string_buffers(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(count_words(data, offsets) + 1)], names=["doc_id", "length"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own.lengths(b.column("text")))], names=["doc_id", "length"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, length long")
 
@@ -166,6 +156,21 @@ def pack(lengths: DataFrame, sizes: tuple[int, ...] = SIZES, overhead: int = OVE
     return numbered.select("doc_id", "piece", "length", "__row").mapInArrow(place, "doc_id long, piece long, start long, length long, bin long, bin_offset long, capacity long")
 
 
-def pack_documents(docs: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
-    """Pack the texts of `docs`, measured in words and one end token each; other columns are ignored."""
-    return pack(materialize(word_lengths(docs), "lengths"), sizes)
+def pack_documents(docs: DataFrame, vocabulary: str, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """Pack the texts of `docs` by their token ids under the tokenizer file `vocabulary`, each with one end id; null
+    texts are empty (the end id alone), other columns are ignored."""
+    return pack(materialize(token_lengths(docs, vocabulary), "lengths"), sizes)
+
+
+def fill(placed: list[tuple[int, int, int, int, np.ndarray]], pad: int = 0) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Bins (ids and, for each id, 1 + the place of its piece in the bin, 0 for padding) from pieces (bin, capacity,
+    bin_offset, length, ids)."""
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    number: dict[int, int] = {}
+    for at, capacity, offset, length, ids in sorted(placed, key=lambda p: (p[0], p[2])):
+        if at not in out:
+            out[at] = np.full(capacity, pad, np.uint32), np.zeros(capacity, np.int32)
+        number[at] = number.get(at, 0) + 1
+        out[at][0][offset : offset + length] = ids
+        out[at][1][offset : offset + length] = number[at]
+    return out

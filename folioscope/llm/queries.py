@@ -62,9 +62,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from folioscope.llm.packing import pack_documents
 
-    return pack_documents(texts(spark, sf_dir, "documents"))
+    return pack_documents(texts(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,41 @@ def test_language(spark, docs, none):
     assert langid.train(none) is None and {r["lang_pred"] for r in langid.predict(docs, None).collect()} == {"und"}
 
 
+def test_quality_against_a_direct_solve(spark, monkeypatch):
+    """The partitions' summed normal equations give the weights of a ridge regression on all rows at once."""
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choice(["rain", "Sun!", "|", "12", "of the", "X"]) for _ in range(rnd.randint(1, 30)))) for i in range(150)]
+    labels = [(i, i % 3 % 2) for i, _ in rows]
+    model = quality.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(labels, "doc_id long, quality int"))
+    fold = {r[0] for r in spark.createDataFrame(rows, "doc_id long, text string").where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(5)) == 0).collect()}
+    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    raw = [t.encode() for _, t in train]
+    stats = quality.statistics(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    scale = stats.std(axis=0)
+    scale[scale < 1e-9] = 1
+    assert np.allclose(model.mean, stats.mean(axis=0)) and np.allclose(model.scale, scale)
+    fit = np.array([i not in fold for i, _ in train])
+    z = np.concatenate([np.cos(((stats - model.mean) / model.scale)[fit] @ model.projection + model.phase) * np.sqrt(2 / len(model.phase)), np.ones((fit.sum(), 1))], axis=1)
+    y = np.array([dict(labels)[i] for i, _ in train], float)[fit]
+    penalty = np.full(z.shape[1], 1e-3 * fit.sum())
+    penalty[-1] = 1e-9
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + np.diag(penalty), z.T @ y), atol=1e-7)
+
+
+def test_samples_are_bounded(spark):
+    """Hot ids, null ids and tiny shares leave a bounded sample with every class in it."""
+    hot = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("the rain falls on "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    others = spark.createDataFrame([(None, "der Regen", "de"), (None, "der Regen", "de"), *((1000 + i, f"word{i} " * 9, f"l{i:02}") for i in range(65))], "doc_id long, text string, lang string")
+    docs = hot.union(others)
+    model = langid.train(docs, rows=130)
+    assert model.langs == sorted({"en", "de", *(f"l{i:02}" for i in range(65) if zlib.crc32(str(1000 + i).encode()) % 4 != 2)} - ({"en"} if zlib.crc32(b"7") % 4 == 2 else set()))
+    assert quality.train(docs, spark.createDataFrame([(7, 1), (1001, 0)], "doc_id long, quality int"), rows=50).weights.shape == (quality.FEATURES + 1,)
+    ids = spark.range(200_000)
+    share = 2.0**-12
+    assert 20 <= ids.where(quality.below(F.xxhash64("id"), share)).count() <= 90
+    assert ids.where(quality.below(F.xxhash64("id"), 1.0)).count() == 200_000 and ids.where(quality.below(F.xxhash64("id"), 2.0**-40)).count() == 0
+
+
 def test_line_dedup(spark, none):
     block = "one two three four five\nsix seven eight nine ten"
     rows = [(1, f"start of it\n{block}\nend"), (2, f"other words here\n\n{block}\nmore"), (3, block), (4, "one two three four five"), (5, None), (6, ""), (7, f"x\n{block}"), (7, f"x\n{block}"), (None, block), (8, "end")]
@@ -142,6 +177,16 @@ def test_hot_lines(spark):
     assert got == brute_repeats(texts) and got[2] == [1, 3]
 
 
+def test_other_holders_bring_nothing_back(spark):
+    """A block that stands whole in two documents leaves the later one, whoever else has its lines scattered."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(7)) for x in "abc")
+    texts = {1: f"{a}\nx\n{b}\ny\n{c}", 2: f"p\n{a}\n{b}\n{c}\nq", 3: f"r\n{a}\n{b}\n{c}\ns"} | {i: f"{c}\n{i}\n{a}\n{i}\n{b}" for i in (10, 11, 12)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for some in (d, d.where("doc_id < 10")):
+        got = {r["doc_id"]: r["lines"] for r in line_dedup.repeated_lines(some).collect()}
+        assert got[3] == [1, 2, 3] and got == brute_repeats({i: t for i, t in texts.items() if some is d or i < 10})
+
+
 def test_short_lines(spark):
     """A passage of one or two words a line leaves the later documents, and only whole blocks do."""
     verse = "\n".join(f"v{i} x" if i % 3 else f"v{i}" for i in range(40))
@@ -151,7 +196,9 @@ def test_short_lines(spark):
 
 
 def test_packing(docs, none):
-    rows = packing.pack_documents(docs, (16, 32, 64)).collect()
+    rows = packing.pack_documents(docs, WORD, (16, 32, 64)).collect()
+    own = token_files.encoder(WORD)
+    ids = {i: [*own.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in ROWS}
     bins, by_doc = {}, {}
     for r in rows:
         bins.setdefault((r["bin"], r["capacity"]), []).append((r["bin_offset"], r["length"]))
@@ -162,8 +209,10 @@ def test_packing(docs, none):
             assert offset == at
             at += n
         assert at <= capacity and capacity == min(s for s in (16, 32, 64) if s >= at)
-    assert by_doc[3] == 60_001 and by_doc[1] == 1 and by_doc[7] == 14 and len({b for b, _ in bins}) == len(bins)
-    assert packing.pack_documents(none).count() == 0
+    assert by_doc[3] == len(ids[3]) and by_doc[1] == 1 and by_doc[7] == 2 * len(ids[7]) and len({b for b, _ in bins}) == len(bins)
+    filled = packing.fill([(r["bin"], r["capacity"], r["bin_offset"], r["length"], np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]])) for r in rows])
+    assert len(filled) == len(bins) and sum(int((owner > 0).sum()) for _, owner in filled.values()) == sum(len(ids[i]) for i, _ in ROWS)
+    assert packing.pack_documents(none, WORD).count() == 0
 
 
 def brute_components(texts):
