@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioscope.functions.text import ancestors
@@ -57,22 +56,16 @@ def tree_info(units: DataFrame, doc: str, rank: str, idx: str = "idx", deepest:
     return units.withColumn("parent", parent)
 
 
-def scopes(units: DataFrame) -> DataFrame:
-    """The Act that governs each unit (doc, idx, depth, names): a unit that names an Act governs those below it until
-    the depth returns."""
+def scopes(units: DataFrame, deepest: int = 9) -> DataFrame:
+    """Adds `governed_by` to units (doc, idx, depth, names): the names of the nearest unit above that names an Act.
 
-    def walk(p: pd.DataFrame) -> pd.DataFrame:
-        stack, out = [], []
-        for r in p.sort_values("idx").itertuples():
-            while stack and stack[-1][0] >= r.depth:
-                stack.pop()
-            out.append((r.doc, r.idx, stack[-1][1] if stack else None))
-            if isinstance(r.names, str) and r.names:
-                stack.append((r.depth, r.names))
-        return pd.DataFrame(out, columns=["doc", "idx", "governed_by"])
-
-    kind = lambda c: units.schema[c].dataType.simpleString()
-    return units.select("doc", "idx", "depth", "names").groupBy("doc").applyInPandas(walk, f"doc {kind('doc')}, idx {kind('idx')}, governed_by string")
+    Above a unit stand, for each shallower depth, the last unit before of at most that depth, where it has just that
+    depth; so one window with a column a depth finds them all (depths are small numbers, 0 the shallowest)."""
+    w = Window.partitionBy("doc").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    depth = F.col("depth")
+    above = [F.last(F.when(depth <= k, F.struct(depth.alias("depth"), F.nullif(F.col("names"), F.lit("")).alias("names"))), ignorenulls=True).over(w) for k in range(deepest)]
+    named = [F.when((depth > k) & (a["depth"] == k), a["names"]) for k, a in enumerate(above)]
+    return units.select("doc", "idx", F.coalesce(*reversed(named)).alias("governed_by"))
 
 
 def row_gap_cut(gaps: DataFrame, key: str, ratio: float = 1.22) -> DataFrame:

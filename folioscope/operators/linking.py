@@ -133,14 +133,17 @@ def resolve_terms(spans: DataFrame, index: DataFrame) -> DataFrame:
 def resolve_act_titles(texts: DataFrame, known: DataFrame, registry: DataFrame) -> DataFrame:
     """Act named by a text: exact title among the known, then in the registry; else a text that ends with a title.
 
-    The suffix step blocks on the title's last three words."""
+    The suffix step joins on the title's last words, three or as many as it has."""
     norm = lambda c: F.lower(F.trim(c))
-    tail = lambda c: F.array_join(F.slice(F.split(c, " "), F.greatest(F.lit(1), F.size(F.split(c, " ")) - 2), 3), " ")
-    titles = known.select(norm("title").alias("title_key"), F.lit(1).alias("tier")).unionByName(registry.select(norm("title").alias("title_key"), F.lit(2).alias("tier"))).groupBy("title_key").agg(F.min("tier").alias("tier")).withColumn("__tail", tail(F.col("title_key")))
-    t = texts.withColumn("__t", norm("text")).withColumn("__tail", tail(F.col("__t")))
-    hit = t.join(titles, "__tail").where(F.col("__t").endswith(F.col("title_key")))
+    last = lambda c, n: F.array_join(F.slice(F.split(c, " "), F.size(F.split(c, " ")) - n + 1, n), " ")
+    words = lambda c: F.size(F.split(c, " "))
+    titles = known.select(norm("title").alias("title_key"), F.lit(1).alias("tier")).unionByName(registry.select(norm("title").alias("title_key"), F.lit(2).alias("tier"))).groupBy("title_key").agg(F.min("tier").alias("tier"))
+    titles = titles.withColumn("__n", F.least(F.lit(3), words(F.col("title_key")))).withColumn("__tail", last(F.col("title_key"), F.col("__n")))
+    t = texts.withColumn("__t", norm("text"))
+    ends = t.withColumn("__n", F.explode(F.sequence(F.lit(1), F.least(F.lit(3), words(F.col("__t")))))).withColumn("__tail", last(F.col("__t"), F.col("__n")))
+    hit = ends.join(titles, ["__n", "__tail"]).where(F.col("__t").endswith(F.col("title_key"))).drop("__n")
     best = F.row_number().over(Window.partitionBy("text_id").orderBy(F.desc(F.col("__t") == F.col("title_key")), "tier", F.desc(F.length("title_key")), "title_key"))
-    return t.join(hit.withColumn("__n", best).where("__n = 1").select("text_id", "title_key", "tier"), "text_id", "left").drop("__t", "__tail")
+    return t.join(hit.withColumn("__n", best).where("__n = 1").select("text_id", "title_key", "tier"), "text_id", "left").drop("__t")
 
 
 def note_targets_changed(older: DataFrame, newer: DataFrame) -> DataFrame:

@@ -223,6 +223,49 @@ def bm25_from_postings(posting: DataFrame, lengths: DataFrame, terms: list[str],
     return scored.groupBy("node_id").agg((-F.sum(part)).alias("rank"))
 
 
+def index_postings(nodes: DataFrame) -> DataFrame:
+    """Postings as an index stores them: with each node's number of tokens, so that a query joins nothing."""
+    t = with_tokens(nodes).withColumn("dl", F.size("heading_tokens") + F.size("body_tokens"))
+    side = lambda c, h: t.select("node_id", "dl", F.explode(c).alias("term"), F.lit(h).alias("h"))
+    both = side("heading_tokens", 1).unionByName(side("body_tokens", 0))
+    return both.groupBy("term", "node_id", "dl").agg(F.sum("h").alias("tf_heading"), F.sum(1 - F.col("h")).alias("tf_body"))
+
+
+def _scored(hits: DataFrame, by: list[str], heading: float, body: float) -> DataFrame:
+    """Ranks of `hits` (term, df, n, avgdl, dl, tf_heading, tf_body and the columns `by`)."""
+    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    f = F.col("tf_heading") * heading + F.col("tf_body") * body
+    part = F.when(raw > 0, raw).otherwise(LEAST_IDF) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.groupBy(*by).agg((-F.sum(part)).alias("rank"))
+
+
+def bm25_stored(index: dict[str, DataFrame], terms: list[str], heading: float = HEADING_WEIGHT, body: float = BODY_WEIGHT) -> DataFrame:
+    """(node_id, rank) from a stored index: only the row groups of the query's terms are read."""
+    own = list(dict.fromkeys(terms))
+    hits = index["posting"].where(F.col("term").isin(own))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    known = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(index["statistics"]))  # a row a term of the query, and one row
+    return _scored(known, ["node_id"], heading, body)
+
+
+def rank_queries(index: dict[str, DataFrame], queries: DataFrame, top: int = 20, heading: float = HEADING_WEIGHT, body: float = BODY_WEIGHT) -> DataFrame:
+    """(query_id, node_id, rank, place) of the best `top` nodes of many queries (query_id, term) at once."""
+    asked = queries.select("query_id", "term").distinct()
+    df = index["posting"].join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    hits = index["posting"].join(df, "term").join(asked, "term").crossJoin(F.broadcast(index["statistics"]))  # one row
+    ranked = _scored(hits, ["query_id", "node_id"], heading, body)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("rank", 6), "node_id"))
+    return ranked.withColumn("place", place).where(F.col("place") <= top)
+
+
+def fetch(nodes: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of `nodes` for a page of at most a few hundred ids, by a filter that reaches the scan."""
+    some = ids.select("node_id", *columns).collect()  # a pool, a few hundred rows
+    spark = nodes.sparkSession
+    found = spark.createDataFrame(some, ids.select("node_id", *columns).schema)
+    return nodes.where(F.col("node_id").isin([r["node_id"] for r in some])).join(F.broadcast(found), "node_id")
+
+
 def answers(heading: Column, query: Query) -> Column:
     """The heading opens with the question's own word and shares a word with its subject."""
     if not query.asks or not query.subject:
@@ -252,19 +295,28 @@ def reranked(rows: DataFrame, query: Query) -> DataFrame:
     return rows.withColumn("score", score)
 
 
-def heading_rows(nodes: DataFrame, query: Query, top: int = HEADING_POOL) -> DataFrame:
+def heading_rows(nodes: DataFrame, query: Query, top: int = HEADING_POOL, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """Nodes whose heading has the question's word and one of its subject, by their own BM25."""
     if not query.asks or not query.subject:
         return nodes.where("false").withColumn("rank", F.lit(0.0))
+    if index is not None:
+        asked = F.col("term") == query.asks
+        in_heading = index["posting"].where(F.col("term").isin([query.asks, *query.subject]) & (F.col("tf_heading") > 0))
+        both = in_heading.groupBy("node_id").agg(F.bool_or(asked).alias("a"), F.bool_or(F.col("term").isin(query.subject)).alias("s")).where("a AND s")
+        best = bm25_stored(index, [query.asks, *query.subject]).join(both.select("node_id"), "node_id", "left_semi").orderBy("rank", "node_id").limit(top)
+        return fetch(nodes, best, ["rank"])
     ranked = bm25(nodes, [query.asks, *query.subject])
     h = search_tokens(F.coalesce("heading", F.lit("")))
     both = F.array_contains(h, query.asks) & F.arrays_overlap(h, F.array(*map(F.lit, query.subject)))
     return ranked.where(both).orderBy("rank", "node_id").limit(top)
 
 
-def search(nodes: DataFrame, query: Query, scope: Column | None = None, limit: int = 20, offset: int = 0, semantic: DataFrame | None = None) -> DataFrame:
+def search(nodes: DataFrame, query: Query, scope: Column | None = None, limit: int = 20, offset: int = 0, semantic: DataFrame | None = None, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """The ranked page of a query: node columns with score and place (from 1).
 
+    With a stored `index`, whose nodes `nodes` are, a query reads the postings of its own terms, the columns that the
+    scope and order need, and the texts of its pool; without, it counts terms in two scans of all texts.
+
     A pool of the best lexical rows, current ones first on ties; below it the rows whose heading answers the question;
     the structural re-rank; fusion with `semantic` (node_id, place) where given. Verbatim queries filter by their
     grammar and are neither re-ranked nor fused."""
@@ -272,7 +324,7 @@ def search(nodes: DataFrame, query: Query, scope: Column | None = None, limit: i
     terms = query.terms if query.verbatim is None else [w for c in query.verbatim if not isinstance(c, str) for w in c[1]]
     if not terms:
         return nodes.where("false").withColumns({"score": F.lit(0.0), "place": F.lit(0)})
-    hits = bm25(nodes, terms).where(keep)
+    hits = (bm25(nodes, terms) if index is None else nodes.join(bm25_stored(index, terms), "node_id")).where(keep)
     if query.verbatim is not None:
         # A row may match by a prefix alone, and then has no rank of its own.
         tokens = F.concat(search_tokens(F.coalesce("heading", F.lit(""))), search_tokens(F.coalesce("body", F.lit(""))))
@@ -280,10 +332,11 @@ def search(nodes: DataFrame, query: Query, scope: Column | None = None, limit: i
         hits = exact.join(hits.select("node_id", "rank"), "node_id", "left").withColumn("rank", F.coalesce("rank", F.lit(0.0)))
     order = [F.col("rank"), *([F.desc("is_current")] if "is_current" in nodes.columns else []), F.col("node_id")]
     # The pool is a few hundred rows: written once, the steps below don't scan the index again.
-    pool = materialize(hits.orderBy(*order).limit(max(POOL, offset + 3 * limit)), "pool")
+    best = hits.orderBy(*order).limit(max(POOL, offset + 3 * limit))
+    pool = materialize(best if index is None else fetch(nodes, best, ["rank"]), "pool")
     if query.verbatim is None and query.asks:
         floor = pool.agg(F.max("rank").alias("floor"))
-        extra = materialize(heading_rows(nodes, query), "headings").where(keep).join(pool.select("node_id"), "node_id", "left_anti")
+        extra = materialize(heading_rows(nodes, query, index=index), "headings").where(keep).join(pool.select("node_id"), "node_id", "left_anti")
         placed = extra.withColumn("__p", F.row_number().over(Window.orderBy("rank", "node_id"))).crossJoin(F.broadcast(floor))  # at most 40 rows and one
         pool = pool.unionByName(placed.withColumn("rank", F.coalesce("floor", F.lit(0.0)) + 0.001 * F.col("__p")).drop("__p", "floor"))
     scored = reranked(pool, query) if query.verbatim is None else pool.withColumn("score", -F.col("rank"))

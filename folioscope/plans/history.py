@@ -64,10 +64,13 @@ def unit_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.tree_info(u, "conv_id", "rank", deepest=3)
 
 
-@query(None)
+@query("""WITH u AS (SELECT conv_id AS doc, turn AS idx, turn % 3 AS depth, CASE WHEN role = 'user' THEN nullif(text, '') END AS names FROM conversations),
+a AS (SELECT *, last_value(CASE WHEN depth <= 0 THEN {'d': depth, 'n': names} END IGNORE NULLS) OVER w AS a0, last_value(CASE WHEN depth <= 1 THEN {'d': depth, 'n': names} END IGNORE NULLS) OVER w AS a1 FROM u
+WINDOW w AS (PARTITION BY doc ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT doc, idx, coalesce(CASE WHEN depth > 1 AND a1.d = 1 THEN a1.n END, CASE WHEN depth > 0 AND a0.d = 0 THEN a0.n END) AS governed_by FROM a""")
 def governing_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    return H.scopes(c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("idx"), (F.col("turn") % 3).alias("depth"), F.when(F.col("role") == "user", F.substring("text", 1, 12)).alias("names")))
+    return H.scopes(c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("idx"), (F.col("turn") % 3).alias("depth"), F.when(F.col("role") == "user", F.col("text")).alias("names")), deepest=2)
 
 
 @query("""WITH g AS (SELECT DISTINCT o_custkey AS k, (o_orderkey % 97)::DOUBLE AS gap FROM orders), l AS (SELECT k, gap, lag(gap) OVER (PARTITION BY k ORDER BY gap) AS was FROM g)
@@ -77,9 +80,9 @@ def row_gap_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.row_gap_cut(o.select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 97).cast("double").alias("gap")), "k")
 
 
-@query("SELECT p_name AS title, p_size AS year FROM part WHERE contains(lower(p_name), 'part') ORDER BY starts_with(lower(p_name), 'part') DESC, p_size DESC, p_name LIMIT 20")
+@query("SELECT p_name AS title, p_size AS year FROM part WHERE contains(lower(p_name), 'cold') ORDER BY starts_with(lower(p_name), 'cold') DESC, p_size DESC, p_name LIMIT 20")
 def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.catalogue(table(spark, sf_dir, "part").select(F.col("p_name").alias("title"), F.col("p_size").alias("year")), "part")
+    return H.catalogue(table(spark, sf_dir, "part").select(F.col("p_name").alias("title"), F.col("p_size").alias("year")), "cold")
 
 
 @query("""SELECT c_name AS title, c_nationkey::VARCHAR AS resolved_year, count(DISTINCT o_orderkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 2 = 0 GROUP BY ALL""")

@@ -151,14 +151,14 @@ def outermost_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.outermost(path_names(spark, sf_dir).select("name"))
 
 
-@query(f"WITH {PATHS}, d AS (SELECT DISTINCT name FROM paths WHERE doc_id % 6 = 0) SELECT name, count(*) AS pieces FROM (SELECT d.name FROM d JOIN paths p ON p.name = d.name OR starts_with(p.name, d.name || '/')) GROUP BY name")
+@query(f"WITH {PATHS}, d AS (SELECT DISTINCT name FROM paths) SELECT name, count(*) AS pieces FROM (SELECT d.name FROM d JOIN paths p ON p.name = d.name OR starts_with(p.name, d.name || '/')) GROUP BY name")
 def subtree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces at or below each chosen name: an equi-join on ancestors, not a prefix scan."""
+    """Pieces at or below each name: an equi-join on ancestors, not a prefix scan."""
     from folioscope.functions.text import ancestors
 
     p = path_names(spark, sf_dir)
     up = p.select("doc_id", F.explode(ancestors(F.col("name"))).alias("name"))
-    return up.join(p.where("doc_id % 6 = 0").select("name").distinct(), "name").groupBy("name").agg(F.count("*").alias("pieces"))
+    return up.join(p.select("name").distinct(), "name").groupBy("name").agg(F.count("*").alias("pieces"))
 
 
 @query(None)

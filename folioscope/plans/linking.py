@@ -21,8 +21,8 @@ def clause_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT l_orderkey AS id, l_linenumber AS line, (l_partkey % 400)::VARCHAR AS act_no, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE (1990 + l_suppkey % 4)::VARCHAR END AS year FROM lineitem),
-acts AS (SELECT p_partkey AS pos, (p_partkey % 250)::VARCHAR AS act_no, (1990 + p_size % 4)::VARCHAR AS year, p_name AS title FROM part WHERE p_partkey <= 200),
-reg AS (SELECT c_custkey, (c_custkey % 397)::VARCHAR AS act_no, (1990 + c_nationkey % 4)::VARCHAR AS year, c_name AS title FROM customer WHERE c_custkey <= 600),
+acts AS (SELECT p_partkey AS pos, (p_partkey % 250)::VARCHAR AS act_no, (1990 + p_size % 4)::VARCHAR AS year, p_name AS title FROM part),
+reg AS (SELECT c_custkey, (c_custkey % 397)::VARCHAR AS act_no, (1990 + c_nationkey % 4)::VARCHAR AS year, c_name AS title FROM customer),
 f1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY act_no, year ORDER BY pos) AS n FROM acts) WHERE n = 1), f2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY act_no ORDER BY pos) AS n FROM acts) WHERE n = 1),
 r1 AS (SELECT act_no, year, any_value(title) AS title FROM reg GROUP BY act_no, year HAVING count(*) = 1), r2 AS (SELECT act_no, any_value(title) AS title FROM reg GROUP BY act_no HAVING count(*) = 1)
 SELECT id, line, c.act_no, c.year, coalesce(f1.title, CASE WHEN c.year IS NULL OR c.year = f2.year THEN f2.title END, r1.title, CASE WHEN c.year IS NULL THEN r2.title END) AS title
@@ -30,8 +30,8 @@ FROM c LEFT JOIN f1 ON c.act_no = f1.act_no AND c.year = f1.year LEFT JOIN f2 ON
 def citation_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     cites = line.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 400).cast("string").alias("act_no"), F.when(F.col("l_linenumber") % 3 != 0, (1990 + F.col("l_suppkey") % 4).cast("string")).alias("year"))
-    acts = table(spark, sf_dir, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("pos"), (F.col("p_partkey") % 250).cast("string").alias("act_no"), (1990 + F.col("p_size") % 4).cast("string").alias("year"), F.col("p_name").alias("title"))
-    registry = table(spark, sf_dir, "customer").where("c_custkey <= 600").select((F.col("c_custkey") % 397).cast("string").alias("act_no"), (1990 + F.col("c_nationkey") % 4).cast("string").alias("year"), F.col("c_name").alias("title"))
+    acts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), (F.col("p_partkey") % 250).cast("string").alias("act_no"), (1990 + F.col("p_size") % 4).cast("string").alias("year"), F.col("p_name").alias("title"))
+    registry = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 397).cast("string").alias("act_no"), (1990 + F.col("c_nationkey") % 4).cast("string").alias("year"), F.col("c_name").alias("title"))
     return K.resolve_citations(cites, acts, registry).select("id", "line", "act_no", "year", "title")
 
 
@@ -41,7 +41,7 @@ def asof_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.carry_forward(e, "user_id", F.when(F.col("event_type") == "purchase", F.col("event_id")), "event_id").select("user_id", "event_id", "target")
 
 
-@query("""WITH links AS (SELECT 'b' || l_suppkey % 5 AS bill, l_orderkey AS pos, (l_partkey % 90)::VARCHAR AS cn, (l_suppkey % 60)::VARCHAR AS an, round(l_discount * 10, 2) AS sim, CASE WHEN l_discount >= 0.05 THEN 'matched' ELSE 'flagged' END AS status FROM lineitem WHERE l_linenumber = 1),
+@query("""WITH links AS (SELECT 'b' || l_suppkey % 5 AS bill, l_orderkey * 10 + l_linenumber AS pos, (l_partkey % 90)::VARCHAR AS cn, (l_suppkey % 60)::VARCHAR AS an, round(l_discount * 10, 2) AS sim, CASE WHEN l_discount >= 0.05 THEN 'matched' ELSE 'flagged' END AS status FROM lineitem),
 best AS (SELECT *, row_number() OVER (PARTITION BY bill, cn, an ORDER BY status = 'matched' DESC, sim DESC, pos) AS n FROM links),
 rows_ AS (SELECT an AS number, 'bill' AS route, bill AS source, cn AS entry FROM best WHERE n = 1),
 map AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bill, cn ORDER BY pos) AS m FROM links) WHERE m = 1),
@@ -51,8 +51,8 @@ UNION ALL SELECT ref, kind, 'em1', entry::VARCHAR FROM em WHERE kind <> 'bill_cl
 def commentary_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections to the clauses and memorandum entries behind them, by one and two hops."""
     none = F.lit(None).cast("string")
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    links = li.select(F.concat(F.lit("b"), (F.col("l_suppkey") % 5).cast("string")).alias("bill"), F.lit("w-v1").alias("act"), none.alias("clause_schedule"), (F.col("l_partkey") % 90).cast("string").alias("clause_number"), none.alias("act_schedule"), (F.col("l_suppkey") % 60).cast("string").alias("act_number"), F.round(F.col("l_discount") * 10, 2).alias("similarity"), F.when(F.col("l_discount") >= 0.05, "matched").otherwise("flagged").alias("status"), F.col("l_orderkey").alias("pos"))
+    li = table(spark, sf_dir, "lineitem")
+    links = li.select(F.concat(F.lit("b"), (F.col("l_suppkey") % 5).cast("string")).alias("bill"), F.lit("w-v1").alias("act"), none.alias("clause_schedule"), (F.col("l_partkey") % 90).cast("string").alias("clause_number"), none.alias("act_schedule"), (F.col("l_suppkey") % 60).cast("string").alias("act_number"), F.round(F.col("l_discount") * 10, 2).alias("similarity"), F.when(F.col("l_discount") >= 0.05, "matched").otherwise("flagged").alias("status"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
     kind = F.when(F.col("o_orderkey") % 3 == 0, "bill_clause").when(F.col("o_orderkey") % 3 == 1, "act_section").otherwise("reviewed")
     em = table(spark, sf_dir, "orders").select(F.lit("em1").alias("em"), F.concat(F.lit("b"), (F.col("o_custkey") % 5).cast("string")).alias("bill"), F.col("o_orderkey").alias("entry"), kind.alias("kind"), F.lit("w-v2").alias("act"), none.alias("schedule"), (F.col("o_custkey") % 90).cast("string").alias("clause_number"), (F.col("o_custkey") % 60).cast("string").alias("section_ref"))
     return K.commentary(links, em, "w").select("number", "route", "source", "entry")
@@ -72,17 +72,17 @@ def box_line_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.lines_in_boxes(_lines(spark, sf_dir), boxes).select("l_orderkey", "l_linenumber", "box_id")
 
 
-@query("""WITH n AS (SELECT o_custkey AS doc, o_orderkey AS idx, o_orderdate AS at FROM orders), f AS (SELECT o_custkey AS doc, l_orderkey || '-' || l_linenumber AS figure_id, l_shipdate AS at FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 2)
-SELECT f.doc, f.figure_id, (SELECT arg_max(n.idx, (n.at, n.idx)) FROM n WHERE n.doc = f.doc AND n.at <= f.at) AS after_idx FROM f""")
+@query("""WITH n AS (SELECT o_custkey AS doc, o_orderkey::INT AS idx, (epoch(o_orderdate) // 86400)::INT AS page, (o_orderkey % 7)::INT AS y FROM orders),
+f AS (SELECT o_custkey AS doc, l_orderkey || '-' || l_linenumber AS figure_id, (epoch(l_shipdate) // 86400)::INT AS page, l_linenumber::INT AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+b AS (SELECT doc, page, y, idx, NULL AS figure_id FROM n UNION ALL SELECT doc, page, y, NULL, figure_id FROM f)
+SELECT doc, figure_id, after_idx FROM (SELECT *, last_value(idx IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page, y, figure_id IS NOT NULL, idx, figure_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS after_idx FROM b) WHERE figure_id IS NOT NULL""")
 def figure_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of: the last node at or before each figure."""
+    """As-of: the last node at or above each figure."""
+    day = lambda c: F.unix_date(F.col(c).cast("date"))
     o = table(spark, sf_dir, "orders")
-    n = o.select(F.col("o_custkey").alias("doc"), F.col("o_orderdate").alias("page"), F.lit(0).alias("y"), F.col("o_orderkey").alias("idx"))
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 2")
-    f = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("doc"), F.col("l_shipdate").alias("page"), F.lit(0).alias("y"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("figure_id"))
-    both = n.select("doc", "page", "idx", F.lit(None).cast("string").alias("figure_id")).unionByName(f.select("doc", "page", F.lit(None).cast("long").alias("idx"), "figure_id"))
-    w = Window.partitionBy("doc").orderBy("page", F.col("figure_id").isNotNull(), "idx", "figure_id")
-    return both.withColumn("after_idx", F.last("idx", ignorenulls=True).over(w)).where("figure_id IS NOT NULL").select("doc", "figure_id", "after_idx")
+    n = o.select(F.col("o_custkey").alias("doc"), day("o_orderdate").alias("page"), (F.col("o_orderkey") % 7).cast("int").alias("y"), F.col("o_orderkey").cast("int").alias("idx"))
+    f = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("doc"), day("l_shipdate").alias("page"), F.col("l_linenumber").cast("int").alias("y"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("figure_id"))
+    return K.place_figures(n, f).select("doc", "figure_id", "after_idx")
 
 
 @query("""WITH n AS (SELECT l_orderkey % 50 || '/' || l_linenumber AS name, (l_partkey % 30)::VARCHAR AS target, (l_suppkey % 20)::VARCHAR AS act, CASE l_linenumber % 3 WHEN 0 THEN 'changed' WHEN 1 THEN 'inserted' ELSE 'repealed' END AS kind FROM lineitem WHERE year(l_shipdate) >= 1998),
@@ -96,10 +96,57 @@ def note_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name", "kind", F.size("acts").alias("acts"))
 
 
-@query("""SELECT c_nationkey AS nation, c_mktsegment AS term, arg_min(c_custkey, c_custkey) AS idx FROM customer GROUP BY ALL""")
+@query("""SELECT lower(trim(c_mktsegment)) AS term, min(c_custkey) AS idx FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1""")
 def definition_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    return c.groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("term")).agg(F.min("c_custkey").alias("idx"))
+    return K.definition_index(c.select(F.when(F.col("c_nationkey") % 2 == 0, "definition").otherwise("section").alias("type"), F.col("c_mktsegment").alias("heading"), F.col("c_custkey").alias("idx")))
+
+
+@query("""WITH i AS (SELECT lower(trim(c_mktsegment)) AS term, min(c_custkey) AS idx FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1), s AS (SELECT o_orderkey AS span_id, CASE WHEN o_orderkey % 3 = 0 THEN 'BUILDING ' WHEN o_orderkey % 3 = 1 THEN 'Machinery' ELSE 'none' END AS text FROM orders)
+SELECT span_id, lower(trim(s.text)) AS term, i.idx FROM s LEFT JOIN i ON i.term = lower(trim(s.text))""")
+def definition_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans to the definitions of their terms."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    index = K.definition_index(c.where("c_nationkey % 2 = 0").select(F.lit("definition").alias("type"), F.col("c_mktsegment").alias("heading"), F.col("c_custkey").alias("idx")))
+    text = F.when(F.col("o_orderkey") % 3 == 0, "BUILDING ").when(F.col("o_orderkey") % 3 == 1, "Machinery").otherwise("none")
+    return K.resolve_terms(o.select(F.col("o_orderkey").alias("span_id"), text.alias("text")), index).select("span_id", "term", "idx")
+
+
+@query("""SELECT l_orderkey, l_linenumber, c.act_no, c.year FROM lineitem, LATERAL (SELECT (l_partkey % 90)::VARCHAR AS act_no, year(l_shipdate)::VARCHAR AS year UNION ALL SELECT (l_suppkey % 70 + 100)::VARCHAR, '2001') c""")
+def note_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a note and Act it cites."""
+    li = table(spark, sf_dir, "lineitem")
+    raw = F.concat(F.lit("S. 3 amended by Nos "), (F.col("l_partkey") % 90).cast("string"), F.lit("/"), F.year("l_shipdate").cast("string"), F.lit(" s. 3, "), (F.col("l_suppkey") % 70 + 100).cast("string"), F.lit("/2001 s. 5."))
+    return K.note_citations(li.select("l_orderkey", "l_linenumber", raw.alias("raw"))).select("l_orderkey", "l_linenumber", "act_no", "year")
+
+
+@query("""WITH e AS (SELECT o_custkey AS em, o_orderkey AS entry, 'act_section' AS kind, NULL::VARCHAR AS schedule, (o_orderkey % 40)::VARCHAR AS section_ref FROM orders), r AS (SELECT o_custkey AS em, o_orderkey AS entry, 'sch' AS schedule, CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE 'R' || o_orderkey % 5 END AS section_ref FROM orders WHERE o_orderkey % 4 = 0)
+SELECT em, entry, CASE WHEN r.entry IS NOT NULL THEN 'reviewed' ELSE kind END AS kind, CASE WHEN r.entry IS NOT NULL THEN r.schedule ELSE e.schedule END AS schedule, CASE WHEN r.entry IS NOT NULL THEN r.section_ref ELSE e.section_ref END AS section_ref FROM e LEFT JOIN r USING (em, entry)""")
+def reviewed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reviewer's targets replace the guesses, an empty target too."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("em"), F.col("o_orderkey").alias("entry"))
+    links = o.select("em", "entry", F.lit("act_section").alias("kind"), F.lit(None).cast("string").alias("schedule"), (F.col("entry") % 40).cast("string").alias("section_ref"))
+    reviewed = o.where("entry % 4 = 0").select("em", "entry", F.lit("sch").alias("schedule"), F.when(F.col("entry") % 8 != 0, F.concat(F.lit("R"), (F.col("entry") % 5).cast("string"))).alias("section_ref"))
+    return K.with_reviewed_links(links, reviewed).select("em", "entry", "kind", "schedule", "section_ref")
+
+
+@query("""WITH t AS (SELECT DISTINCT lower(trim(p_type)) AS k FROM part), x AS (SELECT o_orderkey AS text_id, 'under the ' || CASE o_orderkey % 3 WHEN 0 THEN (SELECT min(p_type) FROM part) WHEN 1 THEN (SELECT max(p_type) FROM part) ELSE 'nothing known here' END AS text FROM orders)
+SELECT text_id, (SELECT k FROM t WHERE ends_with(lower(text), k) ORDER BY length(k) DESC, k LIMIT 1) AS title_key FROM x""")
+def act_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts to the known title they end with."""
+    p, o = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
+    ends = p.agg(F.min("p_type").alias("lo"), F.max("p_type").alias("hi"))
+    text = F.concat(F.lit("under the "), F.when(F.col("o_orderkey") % 3 == 0, F.col("lo")).when(F.col("o_orderkey") % 3 == 1, F.col("hi")).otherwise("nothing known here"))
+    texts = o.crossJoin(F.broadcast(ends)).select(F.col("o_orderkey").alias("text_id"), text.alias("text"))  # one row
+    return K.resolve_act_titles(texts, p.select(F.col("p_type").alias("title")), p.select(F.col("p_type").alias("title"))).select("text_id", "title_key")
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_orderkey % 40 AS page, (l_partkey % 700)::INT AS ry FROM lineitem), k AS (SELECT s_suppkey AS key_id, s_suppkey % 40 AS page, (s_suppkey * 13 % 600)::INT AS ry FROM supplier)
+SELECT key_id, l_orderkey, l_linenumber FROM k JOIN l ON k.page = l.page AND abs(k.ry - l.ry) <= 1""")
+def lines_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a page at a height or one beside it."""
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key_id"), (F.col("s_suppkey") % 40).cast("int").alias("page"), (F.col("s_suppkey") * 13 % 600).cast("double").alias("y"))
+    return K.lookup_near(_lines(spark, sf_dir), keys).select("key_id", "l_orderkey", "l_linenumber")
 
 
 @query(None)

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from folioscope.functions.text import body_of, heading_of, search_tokens, vocabulary_tokens
 from folioscope.operators import search as S
 from folioscope.plans import query
-from folioscope.session import table, texts
+from folioscope.session import table, texts, work_path
+from folioscope.sources import writers
 
 TERMS = ["the", "erst", "zu", "para", "and", "eranea"]
 SQL_TERMS = ", ".join(f"('{t}')" for t in TERMS)
@@ -20,6 +21,13 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("node_id"), heading_of("text").alias("heading"), body_of(F.col("text")).alias("body"), "lang", "source", (F.col("source") != "src0").alias("is_current"))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """An index of the nodes, written and opened."""
+    root = work_path(spark, "index")
+    writers.build_index(nodes(spark, sf_dir), root, "one")
+    return writers.open_index(spark, root)
+
+
 NODES = """nodes AS (SELECT doc_id AS node_id, split_part(text, chr(10), 1) AS heading,
     CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS body,
     lang, source, source <> 'src0' AS is_current FROM documents)"""
@@ -66,16 +74,14 @@ def bm25_unweighted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {bm25_sql(TERMS)} SELECT node_id, round(rank, 6) AS rank FROM ranked WHERE is_current AND lang <> 'de' ORDER BY round(ranked.rank, 6), node_id LIMIT 50""")
 def bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scope filters results; statistics stay those of the whole index."""
-    hits = S.bm25(nodes(spark, sf_dir), TERMS).where("is_current AND lang <> 'de'")
+    hits = S.bm25(nodes(spark, sf_dir), TERMS).where(S.Scope().condition(F.when(F.col("lang") == "de", "bill").otherwise("act"), F.col("is_current")))
     return hits.orderBy(F.round("rank", 6), "node_id").limit(50).select("node_id", F.round("rank", 6).alias("rank"))
 
 
 @query(f"""WITH {bm25_sql(TERMS)} SELECT node_id, round(rank, 6) AS rank FROM ranked""")
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same ranks from index tables."""
-    n = nodes(spark, sf_dir)
-    lengths = S.with_tokens(n).select("node_id", (F.size("heading_tokens") + F.size("body_tokens")).alias("dl"))
-    return S.bm25_from_postings(S.postings(n), lengths, TERMS).select("node_id", F.round("rank", 6).alias("rank"))
+    """The same ranks from a stored index."""
+    return S.bm25_stored(stored(spark, sf_dir), TERMS).select("node_id", F.round("rank", 6).alias("rank"))
 
 
 @query(f"""WITH {TOKENS}, both_ AS (SELECT node_id, unnest(ht) AS term, 1 AS h FROM tok UNION ALL SELECT node_id, unnest(bt), 0 FROM tok)
@@ -91,7 +97,8 @@ def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {bm25_sql(TERMS)} SELECT count(*) AS matches, count(*) FILTER (WHERE is_current) AS matches_current FROM ranked""")
 def match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.bm25(nodes(spark, sf_dir), TERMS).agg(F.count("*").alias("matches"), F.count_if("is_current").alias("matches_current"))
+    n, q = nodes(spark, sf_dir), S.Query("", terms=TERMS)
+    return spark.createDataFrame([(S.match_count(n, q), S.match_count(n, q, F.col("is_current")))], "matches long, matches_current long")
 
 
 SPELL_SQL = r"""WITH vocab AS (SELECT w AS term, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}{2,}')) AS w FROM documents) GROUP BY w),
@@ -141,15 +148,29 @@ def verbatim_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where(S.verbatim_condition(grammar, F.concat("heading_tokens", "body_tokens"))).select("node_id")
 
 
+QUESTION = "who can appeal erst and para"
+
+
+@query(f"""WITH {bm25_sql(["appeal", "erst", "para"])}, pool AS (SELECT * FROM ranked WHERE is_current ORDER BY ranked.rank, node_id LIMIT 300),
+scored AS (SELECT node_id, -rank + CASE WHEN lower(heading) LIKE 'who %' AND list_has_any(regexp_extract_all(lower(heading), '[\\p{{L}}\\p{{N}}]+'), ['appeal', 'erst', 'para']) THEN 20.0 ELSE 0.0 END AS score FROM pool)
+SELECT node_id, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, node_id))::INT AS place FROM scored ORDER BY scored.score DESC, node_id LIMIT 20""")
+def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A typed question over a stored index: analysis with the index's words, pool, heading rows, re-rank, page."""
+    index = stored(spark, sf_dir)
+    q = S.analyse(QUESTION)
+    return S.search(index["node"], q, F.col("is_current"), limit=20, index=index).select("node_id", F.round("score", 6).alias("score"), "place")
+
+
 @query(None)
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole pipeline for one question: analysis, pool, heading rows, re-rank, vectors, fusion, page."""
-    n = nodes(spark, sf_dir)
-    q = S.Query("where of the erst", ["erst", "the"], ["erst", "the", "and"], ["erst", "of"], asks="the")
+    """The whole pipeline for one question: analysis with the index's words, pool, heading rows, re-rank, vectors,
+    fusion, page with snippets."""
+    index = stored(spark, sf_dir)
+    q = S.analyse("where does the erst annd para", index["word"], {"para": ["eranea"]})
     vectors = table(spark, sf_dir, "embeddings")
     probe = vectors.where("vec_id = 0").first()["embedding"]
     semantic = S.nearest(vectors, [float(x) for x in probe]).select(F.col("vec_id").alias("node_id"), "place")
-    page = S.search(n, q, F.col("is_current"), limit=20, semantic=semantic)
+    page = S.search(index["node"], q, F.col("is_current"), limit=20, semantic=semantic, index=index)
     return page.select("node_id", "place", F.round("score", 6).alias("score"), S.snippet(F.concat_ws(" ", "heading", "body"), q.terms).alias("snippet"))
 
 
@@ -177,23 +198,29 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fuse(lex, sem).select("node_id", F.round("rrf", 6).alias("rrf"))
 
 
-MRR = r"""WITH tok AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM documents),
-q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:8]) AS w FROM benchmark),
-post AS (SELECT doc_id, unnest(t) AS term FROM tok), qw AS (SELECT item_id, unnest(w) AS term FROM q),
-hits AS (SELECT item_id, doc_id, count(*) AS shared FROM qw JOIN post USING (term) GROUP BY item_id, doc_id),
-ranked AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS place FROM hits),
-expected AS (SELECT item_id, item_id AS doc_id, item_id % 2 AS grp FROM benchmark),
-r AS (SELECT grp, expected.item_id, min(ranked.place) AS place FROM expected LEFT JOIN ranked ON expected.item_id = ranked.item_id AND expected.doc_id = ranked.doc_id AND ranked.place <= 20 GROUP BY grp, expected.item_id)"""
+MRR = f"""WITH {TOKENS}, stats AS (SELECT count(*) AS n, avg(len(ht) + len(bt)) AS avgdl FROM tok),
+both_ AS (SELECT node_id, len(ht) + len(bt) AS dl, unnest(ht) AS term, 1 AS h FROM tok UNION ALL SELECT node_id, len(ht) + len(bt), unnest(bt), 0 FROM tok),
+post AS (SELECT term, node_id, dl, sum(h) AS h, sum(1 - h) AS b FROM both_ GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+qw AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark),
+parts AS (SELECT item_id, node_id, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * (8.0 * h + b) * 2.2 / ((8.0 * h + b) + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS part FROM qw JOIN post USING (term) JOIN df USING (term), stats),
+sums AS (SELECT item_id, node_id, -sum(part) AS rank FROM parts GROUP BY ALL),
+ranked AS (SELECT item_id, node_id, row_number() OVER (PARTITION BY item_id ORDER BY round(rank, 6), node_id) AS place FROM sums),
+expected AS (SELECT item_id, min(doc_id) AS node_id, item_id % 2 AS grp FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) GROUP BY item_id),
+r AS (SELECT grp, expected.item_id, min(ranked.place) AS place FROM expected LEFT JOIN ranked ON expected.item_id = ranked.item_id AND expected.node_id = ranked.node_id AND ranked.place <= 20 GROUP BY grp, expected.item_id)"""
 
 
 @query(MRR + """ SELECT grp, count(*) AS queries, round(avg(coalesce(1.0 / place, 0)), 6) AS mrr, count(*) FILTER (WHERE place <= 1) AS at_1, count(*) FILTER (WHERE place <= 5) AS at_5, count(*) FILTER (WHERE place IS NULL) AS missed FROM r GROUP BY grp""")
 def mrr_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each item's first words as a query over all documents, scored against a fixed expectation, in two groups."""
-    post = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.explode(F.array_distinct(search_tokens(F.col("text")))).alias("term"))
-    b = table(spark, sf_dir, "benchmark")
-    words = b.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.slice(search_tokens(F.col("text")), 1, 8))).alias("term"))
-    hits = words.join(post, "term").groupBy("query_id", "node_id").agg(F.count("*").alias("shared"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "node_id"))
-    results = hits.withColumn("place", place)
-    expected = b.select(F.col("item_id").alias("query_id"), F.col("item_id").alias("node_id"), (F.col("item_id") % 2).alias("grp"))
-    return S.evaluation(S.ranks_of(results, expected), ["grp"])
+    """Each benchmark passage as a query of all its words against the stored index; the expected hit is the first
+    document that holds the passage whole. Passages are found by a join on their first words."""
+    index = stored(spark, sf_dir)
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    words = b.select("query_id", F.explode(F.array_distinct(search_tokens(F.col("passage")))).alias("term"))
+    opening = lambda c: F.array_join(F.slice(c, 1, 4), " ")
+    starts = b.withColumn("opening", opening(search_tokens(F.col("passage"))))
+    tokens = texts(spark, sf_dir, "documents").select("doc_id", search_tokens(F.col("text")).alias("t"))
+    places = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 3, F.lit(1))), lambda i: F.array_join(F.slice("t", i, 4), " "))))
+    may = tokens.select("doc_id", places.alias("opening")).join(starts.select("query_id", "opening"), "opening").select("doc_id", "query_id").distinct()
+    held = may.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(b, "query_id").where(F.col("text").contains(F.col("passage")))
+    expected = held.groupBy("query_id").agg(F.min("doc_id").alias("node_id")).withColumn("grp", F.col("query_id") % 2)
+    return S.evaluation(S.ranks_of(S.rank_queries(index, words), expected), ["grp"])

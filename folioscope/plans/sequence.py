@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.operators import sequence as Q
 from folioscope.plans import query
-from folioscope.session import table, texts
+from folioscope.session import table
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +32,12 @@ def unit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.unit_texts(unit_rows(spark, sf_dir), ["conv_id"])
 
 
-@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 40) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS governing FROM conversations")
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS governing FROM conversations")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Q.in_order("conv_id", "turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.substring("text", 1, 40)), ignorenulls=True).over(w).alias("governing"))
+    from folioscope.operators.linking import carry_forward as carried
+
+    c = table(spark, sf_dir, "conversations")
+    return carried(c, "conv_id", F.when(F.col("role") == "user", F.col("text")), "turn", "governing").select("conv_id", "turn", "governing")
 
 
 @query("""WITH m AS (SELECT *, sum(CASE WHEN role = 'system' THEN 1 ELSE 0 END) OVER w AS i1, sum(CASE WHEN role IN ('system', 'user') THEN 1 ELSE 0 END) OVER w AS i2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
@@ -62,9 +64,9 @@ def duplicate_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT source, doc_id, CASE WHEN n = 1 THEN slug ELSE slug || '-' || (n - 1) END AS anchor FROM
-(SELECT source, doc_id, left(text, 2) AS slug, row_number() OVER (PARTITION BY source, left(text, 2) ORDER BY doc_id) AS n FROM documents)""")
+(SELECT source, doc_id, lang AS slug, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents)""")
 def anchor_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.substring("text", 1, 2).alias("slug"))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("lang").alias("slug"))
     return Q.slug_names(d, "source", "slug", idx="doc_id").select("source", "doc_id", "anchor")
 
 
@@ -95,23 +97,23 @@ def page_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.neighbours(turns(spark, sf_dir), "conv_id", "role").select("conv_id", "idx", "previous", "next")
 
 
-@query("""SELECT line, docs FROM (SELECT line, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(unnest(string_split(text, chr(10))), '[0-9]', '#', 'g'), '\\s+', ' ', 'g')) AS line FROM documents) GROUP BY line)
-WHERE line <> '' AND docs >= 0.01 * (SELECT count(*) FROM documents)""")
+@query(r"""WITH l AS (SELECT conv_id, turn // 2 AS page, trim(regexp_replace(regexp_replace(unnest(string_split(role || chr(10) || text, chr(10))), '[0-9]', '#', 'g'), '\s+', ' ', 'g')) AS masked FROM conversations),
+p AS (SELECT conv_id, count(DISTINCT page) AS pages FROM l GROUP BY conv_id), s AS (SELECT conv_id, masked, count(DISTINCT page) AS n FROM l GROUP BY conv_id, masked)
+SELECT conv_id AS doc, masked FROM s JOIN p USING (conv_id) WHERE pages > 1 AND n >= 0.5 * pages AND masked <> ''""")
 def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masked lines that a hundredth of all documents have."""
-    from folioscope.functions.text import digit_mask
+    """Masked lines that stand on half of a document's pages (two turns a page)."""
+    from folioscope.operators.parsing import repeated_heads
 
-    d = texts(spark, sf_dir, "documents")
-    lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", digit_mask(F.col("line")).alias("line")).where("line <> ''")
-    counted = lines.groupBy("line", "doc_id").agg(F.lit(1).alias("x")).groupBy("line").agg(F.count("*").alias("docs"))
-    total = d.agg((F.count("*") * 0.01).alias("least"))
-    return counted.join(F.broadcast(total), F.col("docs") >= F.col("least")).select("line", "docs")
+    c = table(spark, sf_dir, "conversations")
+    lines = c.select(F.col("conv_id").alias("doc"), F.floor(F.col("turn") / 2).alias("page"), F.explode(F.split(F.concat("role", F.lit("\n"), "text"), "\n")).alias("text"))
+    return repeated_heads(lines)
 
 
-@query("""SELECT role, mode AS commonest FROM (SELECT role, len AS mode, row_number() OVER (PARTITION BY role ORDER BY n DESC, len) AS k FROM (SELECT role, length(text) // 10 AS len, count(*) AS n FROM conversations GROUP BY role, length(text) // 10)) WHERE k = 1""")
+@query("""WITH l AS (SELECT role, round(length(text) / 10.0, 1) AS size, turn % 4 = 3 AS bold FROM conversations), n AS (SELECT role, size, count(*) AS n FROM l WHERE NOT bold GROUP BY ALL)
+SELECT role AS doc, size AS body FROM n QUALIFY row_number() OVER (PARTITION BY role ORDER BY n DESC, size) = 1""")
 def rounded_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Most frequent value, the smaller on ties."""
-    n = table(spark, sf_dir, "conversations").groupBy("role", F.floor(F.length("text") / 10).alias("v")).agg(F.count("*").alias("n"))
-    return n.groupBy("role").agg(F.max_by("v", F.struct("n", (-F.col("v")).alias("neg"))).alias("commonest"))
-
+    """Most frequent size of lines that aren't bold, the smaller on ties."""
+    from folioscope.operators.parsing import body_size
 
+    c = table(spark, sf_dir, "conversations")
+    return body_size(c.select(F.col("role").alias("doc"), (F.length("text") / F.lit(10.0)).alias("size"), (F.col("turn") % 4 == 3).alias("bold")))

@@ -38,13 +38,13 @@ RULES = [
 ]
 
 
-@query(r"""WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS t FROM documents), f AS (SELECT *, len(regexp_extract_all(t, '[^ \t\n\r\f\v]+')) AS words, t = upper(t) AS shout FROM d)
-SELECT doc_id, CASE WHEN contains(t, '|') THEN 'table' WHEN shout THEN 'shout' WHEN regexp_matches(t, '^[A-Z]') AND words BETWEEN 1 AND 40 THEN 'heading' END AS recognised FROM f""")
+@query(r"""WITH d AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS t FROM documents), f AS (SELECT *, len(regexp_extract_all(t, '[^ \t\n\r\f\v]+')) AS words, t = upper(t) AS shout FROM d)
+SELECT doc_id, line_no::INT AS line_no, CASE WHEN contains(t, '|') THEN 'table' WHEN shout THEN 'shout' WHEN regexp_matches(t, '^[A-Z]') AND words BETWEEN 1 AND 40 THEN 'heading' END AS recognised FROM f""")
 def recognise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules by (priority, id): the first that holds names the line."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("text"))
+    """Rules by (priority, id): the first that holds names the line; every line of every document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     f = d.withColumn("words", F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f\v]+"), F.lit(0)))).withColumn("shout", F.col("text") == F.upper("text"))
-    return T.first_rule(f, RULES).select("doc_id", "recognised")
+    return T.first_rule(f, RULES).select("doc_id", "line_no", "recognised")
 
 
 @query(None)

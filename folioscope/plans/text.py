@@ -14,10 +14,13 @@ def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalise(F.col("text")).cast("binary"), 256).alias("digest"), F.length(T.reflow(F.col("text"))).cast("long").alias("reflowed"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(lower(regexp_replace(left(text, 60), '[^A-Za-z0-9]+', '-', 'g')), '^-+|-+$', '', 'g') AS slug, trim(regexp_replace(regexp_replace(left(text, 60), '[0-9]', '#', 'g'), '\s+', ' ', 'g')) AS masked FROM documents""")
+@query(r"""WITH s AS (SELECT doc_id, regexp_replace(lower(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g')), '^-+|-+$', '', 'g') AS slug, trim(regexp_replace(regexp_replace(text, '[0-9]', '#', 'g'), '\s+', ' ', 'g')) AS masked FROM documents)
+SELECT doc_id, length(slug) AS slug_length, sha256(slug) AS slug, sha256(masked) AS masked FROM s""")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 60)
-    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(head).alias("slug"), T.digit_mask(head).alias("masked"))
+    """Whole texts: their slugs and what is left of them with digits masked, as digests beside their lengths."""
+    t = F.col("text")
+    d = table(spark, sf_dir, "documents").select("doc_id", T.slugify(t).alias("slug"), T.digit_mask(t).alias("masked"))
+    return d.select("doc_id", F.length("slug").cast("long").alias("slug_length"), F.sha2(F.col("slug").cast("binary"), 256).alias("slug"), F.sha2(F.col("masked").cast("binary"), 256).alias("masked"))
 
 
 @query("SELECT o_orderkey, o_orderdate::DATE AS as_at, 'w' || o_custkey AS work, (o_orderkey % 90)::INT AS version FROM orders")
@@ -83,4 +86,7 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, left(sha256(role || chr(31) || '' || chr(31) || left(regexp_replace(text, '[ \\t]*\\n+[ \\t]*', ' ', 'g'), 120)), 6) AS digest FROM conversations")
 def content_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.content_digest(F.col("role"), F.lit(""), F.col("text")).alias("digest"))
+    from folioscope.operators.review import digests
+
+    nodes = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("type"), F.lit("").alias("heading"), "text")
+    return digests(nodes).select("conv_id", "turn", "digest")

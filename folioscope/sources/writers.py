@@ -40,22 +40,23 @@ def published(spark: SparkSession, root: str) -> tuple[str, str] | None:
 
 
 def build_index(nodes: DataFrame, root: str, signature: str) -> str:
-    """Search tables: postings by term, node lengths, words. Nothing is done where the signature is already published."""
+    """Search tables: nodes by id, postings by term with node lengths, words, one row of statistics. Nothing is done
+    where the signature is already published."""
     now = published(nodes.sparkSession, root)
     if now and now[1] == signature:
         return now[0]
-    tokens = S.with_tokens(nodes)
-    lengths = tokens.select("node_id", (F.size("heading_tokens") + F.size("body_tokens")).alias("dl"))
-    # Terms lie together, so a query reads only the row groups of its own.
-    posting = S.postings(nodes).repartitionByRange("term").sortWithinPartitions("term", "node_id")
-    return publish({"node": nodes, "posting": posting, "length": lengths, "word": S.vocabulary(nodes)}, root, signature)
+    # Terms and ids lie together, so a query reads only the row groups of its own terms and of its page.
+    posting = S.index_postings(nodes).repartitionByRange("term", "node_id").sortWithinPartitions("term", "node_id")
+    by_id = nodes.repartitionByRange("node_id").sortWithinPartitions("node_id")
+    statistics = S.index_stats(nodes).select(F.col("n_nodes").alias("n"), F.coalesce(F.nullif("avgdl", F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+    return publish({"node": by_id, "posting": posting, "statistics": statistics, "word": S.vocabulary(nodes)}, root, signature)
 
 
 def open_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     now = published(spark, root)
     if now is None:
         raise ValueError(f"no index under {root}")
-    return {t: spark.read.parquet(f"{now[0]}/{t}") for t in ("node", "posting", "length", "word")}
+    return {t: spark.read.parquet(f"{now[0]}/{t}") for t in ("node", "posting", "statistics", "word")}
 
 
 def section_texts(nodes: DataFrame) -> DataFrame:

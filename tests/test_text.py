@@ -3,8 +3,8 @@ import datetime
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.functions.diff import node_diff, is_reordering, segments, word_diff
-from folioscope.functions.html import main_text, sanitise
+from folioscope.functions.diff import diff_markup, is_reordering, node_diff, side_text, spans, word_diff
+from folioscope.functions.html import main_text, main_text_of, sanitise
 from folioscope.functions.instructions import match_instructions, read
 
 
@@ -56,9 +56,11 @@ def test_names(spark):
 
 
 def test_word_diff(spark, frame):
-    assert segments("the old law", "the new law") == [{"op": "equal", "text": "the"}, {"op": "delete", "text": "old"}, {"op": "insert", "text": "new"}, {"op": "equal", "text": "law"}]
-    d = frame([("a b", "a b"), ("a b c", "c a b"), ("a", None), (None, None)], "old string, new string").withColumn("d", word_diff(F.col("old"), F.col("new")))
-    got = d.select("d", is_reordering(F.col("d")).alias("r")).collect()
+    assert spans("the old law".split(), "the new law".split()) == [(True, 0, 1, 0, 1), (False, 1, 1, 1, 1), (True, 2, 1, 2, 1)]
+    d = frame([("a b", "a b"), ("a b c", "c a b"), ("a", None), (None, None), ("the old law", "the <new> law")], "old string, new string").withColumn("d", word_diff(F.col("old"), F.col("new")))
+    got = d.select("d", is_reordering(F.col("d")).alias("r"), diff_markup(F.col("d")).alias("m"), side_text(F.col("d"), "old").alias("o"), side_text(F.col("d"), "new").alias("n")).collect()
+    assert [tuple(x) for x in got[4]["d"]] == [("equal", "the"), ("delete", "old"), ("insert", "<new>"), ("equal", "law")]
+    assert (got[4]["m"], got[4]["o"], got[4]["n"]) == ("the <del>old</del> <ins>&lt;new&gt;</ins> law", "the old law", "the <new> law")
     assert [x["op"] for x in got[0]["d"]] == ["equal"] and not got[0]["r"] and got[1]["r"]
     assert [x["op"] for x in got[2]["d"]] == ["delete"] and got[3]["d"] == []
 
@@ -69,11 +71,13 @@ def test_node_diff(frame):
     assert ops == [("changed", 0, 0), ("delete", 1, None), ("insert", None, 1)]
 
 
-def test_html():
-    assert sanitise('<div><p>a<script>x("</p>")</script><p>b &amp; <b onclick=1>c</div>') == "<p>a</p><p>b &amp; <b>c</b></p>"
-    assert sanitise(None) == ""
-    page = "<body><nav><p>menu</p></nav><div><p>one</p></div><article><p>two words</p><p>three</article></body>"
-    assert main_text(page) == "two words\nthree"
+def test_html(spark):
+    assert sanitise('<div><p>a<script>x("</p>")</script><p>b &amp; <b onclick=1>c</div>') == "<p>a</p>\n<p>b &amp; <b>c</b></p>"
+    assert sanitise(None) == "" and sanitise("<h1>T</h1>one<br><br>two<br>three<ul><li>x</li><li> </li></ul><p><br></p>") == "<h3>T</h3>\n<p>one</p>\n<p>two<br>three</p>\n<ul><li>x</li></ul>"
+    page = "<body><nav><p>menu</p></nav><div><p>one</p></div><article><p>two words</p><p>three</p></article></body>"
+    assert main_text(page) == "<p>two words</p>\n<p>three</p>" and main_text("<div>no paragraphs</div>") == ""
+    assert one(spark, main_text_of(F.lit("<title>Request Rejected</title>"))) is None
+    assert sanitise("<div>" * 3000 + "<b>" * 3000 + "deep").count("<b>") == 3000
 
 
 def test_instructions(frame):
