@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from folioscope.llm.memory import trimmed
 from folioscope.session import fanout, materialize
 
 SHARD_ROWS = 8192
@@ -276,7 +277,7 @@ def _blocks(batches):
 def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int = 20, size: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the `k` nearest found for each usable row of `queries`."""
     asked = usable(queries).groupBy("vec_id", "dim").agg(F.min("embedding").alias("embedding"))
-    blocks = materialize(asked.select("vec_id", "dim", "embedding").mapInArrow(_blocks, "dim int, block binary"), "queries")
+    blocks = materialize(asked.select("vec_id", "dim", "embedding").mapInArrow(trimmed(_blocks), "dim int, block binary"), "queries")
     visits = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def visit(batches):
@@ -314,7 +315,7 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int = 20,
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (q, v, s)], names=["query_id", "vec_id", "score"])
 
     met = visits.join(index, ["dim", "shard"]).select("dim", "shard", "block", "index")
-    found = met.mapInArrow(visit, "query_id long, vec_id long, score double")
+    found = met.mapInArrow(trimmed(visit), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from folioscope.llm.memory import trimmed
 from folioscope.llm.quality import below, held_out
 from folioscope.llm.shingles import slices, string_buffers
 
@@ -155,14 +156,14 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS, excluded: tuple[int, int] = (
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(windows, pa.binary())], names=["lang", "window"])
 
     # The few languages whose expected sample is a handful may miss it by chance: their least hash is taken as well.
-    windows_of_rows = sampled.mapInArrow(cut, "lang string, window binary").distinct()
+    windows_of_rows = sampled.mapInArrow(trimmed(cut), "lang string, window binary").distinct()
     got = windows_of_rows.orderBy(F.xxhash64("lang", "window"), "lang", "window").limit(4 * max(rows, len(langs))).collect()
     place = {k: i for i, k in enumerate(langs)}
     missing = sorted(set(langs).difference(r["lang"] for r in got))
     if missing:
         rest = own.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in missing], "lang string")), "lang")
         least = rest.groupBy("lang").agg(F.min_by(F.struct("doc_id", "text"), ordered).alias("x"))
-        got += least.select("lang", "x.doc_id", "x.text").mapInArrow(cut, "lang string, window binary").collect()
+        got += least.select("lang", "x.doc_id", "x.text").mapInArrow(trimmed(cut), "lang string, window binary").collect()
     # One order whatever the tasks' order.
     pairs = sorted((place[r["lang"]], bytes(r["window"])) for r in got)
     if not pairs:
@@ -234,7 +235,7 @@ def predict(docs: DataFrame, model: LangModel | None, excluded: tuple[int, int]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out("doc_id", *excluded))
-    return rows.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.select("doc_id", "held_out", "text").mapInArrow(trimmed(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_languages(docs: DataFrame, model: LangModel | None, least: float = 0.5, langs: tuple[str, ...] = ()) -> DataFrame:
@@ -252,4 +253,4 @@ def keep_languages(docs: DataFrame, model: LangModel | None, least: float = 0.5,
             lang, score = own(b.column("text"))
             yield b.filter(pa.array([k != UND and s >= least and (not langs or k in langs) for k, s in zip(lang, score.tolist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from folioscope.llm.memory import trimmed
 from folioscope.llm.shingles import count_words, mix, slices, span_hashes, string_buffers
 from folioscope.session import discard, materialize
 
@@ -151,7 +152,7 @@ def repeated_lines(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, text_hash, lines): numbers (from 0) of the lines to delete; one row for each text that loses any."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     source = source.withColumn("text_hash", F.xxhash64("text"))
-    tables = materialize(source.select("doc_id", "text_hash", "text").mapInArrow(_line_table, "doc_id long, text_hash long, lines array<int>, hashes array<long>, words array<int>"), "lines")
+    tables = materialize(source.select("doc_id", "text_hash", "text").mapInArrow(trimmed(_line_table), "doc_id long, text_hash long, lines array<int>, hashes array<long>, words array<int>"), "lines")
     enough = F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= LINE_WORDS)
     # A line counts once a text, however often it stands there.
     lines = tables.select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform(enough, lambda x: x["hashes"]))).alias("hash"))
@@ -178,8 +179,8 @@ def repeated_lines(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
                     lists.append([numbers[j] for j in at])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "lines"])
 
-    aligned = both.select("doc_id", "text_hash", "a", "b", "b_lines", "b_words").mapInArrow(align, "doc_id long, text_hash long, lines array<int>")
-    runs = materialize(tables.mapInArrow(_runs(least), "doc_id long, text_hash long, hash long, lines array<int>"), "runs")
+    aligned = both.select("doc_id", "text_hash", "a", "b", "b_lines", "b_words").mapInArrow(trimmed(align), "doc_id long, text_hash long, lines array<int>")
+    runs = materialize(tables.mapInArrow(trimmed(_runs(least)), "doc_id long, text_hash long, hash long, lines array<int>"), "runs")
     firsts = materialize(runs.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first"), "firsts")
     left = runs.join(firsts, "hash").where("doc_id > first").select("doc_id", "text_hash", "lines")
     found = aligned.union(left).select("doc_id", "text_hash", F.explode("lines").alias("line")).distinct().groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("line")).alias("lines"))
@@ -216,4 +217,4 @@ def remove_repeated_lines(docs: DataFrame, least: int = BLOCK_WORDS, drop_emptie
             columns = [pa.array(new, b.column(at).type) if i == at and new is not None else b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1]).filter(pa.array(keep))
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(trimmed(cut), schema)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope.llm.components import components
+from folioscope.llm.memory import trimmed
 from folioscope.llm.shingles import mix, shingle_sets
 from folioscope.session import discard, materialize
 
@@ -304,7 +305,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = materialize(source.mapInArrow(_sketch, "doc_id long, n_shingles long, k1 long, k2 long, signature binary, bands array<long>"), "sketch")
+    sketch = materialize(source.mapInArrow(trimmed(_sketch), "doc_id long, n_shingles long, k1 long, k2 long, signature binary, bands array<long>"), "sketch")
     filled = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # One row a distinct set, named by its least doc_id.
     unique = materialize(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("class"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "unique")
@@ -321,14 +322,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     pairs = stars.where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
     side = lambda x: sig.select(F.col("class").alias(x), F.col("signature").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
     signed = pairs.join(side("a"), "a").join(side("b"), "b")
-    first = materialize(signed.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_passing(percent), "a long, b long").distinct(), "pairs")
+    first = materialize(signed.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(trimmed(_passing(percent)), "a long, b long").distinct(), "pairs")
     texts = texts_of(first.select(F.col("a").alias("class")).union(first.select("b")))
     chunks = materialize(first.groupBy(F.col("b").alias("centre")).agg(F.ceil(F.count("*") / STAR_CHUNK).cast("int").alias("chunks")), "chunks")
     middle = chunks.select(F.col("centre"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).join(texts.withColumnRenamed("class", "centre"), "centre").select("centre", "chunk", F.lit(None).cast("long").alias("class"), "text")
     around = first.select(F.col("a").alias("class"), F.col("b").alias("centre")).join(chunks, "centre").select("centre", F.pmod(F.xxhash64("class"), "chunks").cast("int").alias("chunk"), "class").join(texts, "class").select("centre", "chunk", "class", "text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     met = middle.union(around).repartition(parts, "centre", "chunk").sortWithinPartitions("centre", "chunk", F.col("class").asc_nulls_first())
-    confirmed = materialize(met.mapInArrow(_confirm_stars(percent), "a long, b long"), "links")
+    confirmed = materialize(met.mapInArrow(trimmed(_confirm_stars(percent)), "a long, b long"), "links")
     discard(texts)
     # A doc_id that repeats with several sets joins their classes.
     repeated = filled.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
@@ -356,10 +357,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     rights = blocks.select("band", F.struct("step", "block").alias("other"), F.col("cells").alias("right"))
     outer = lefts.join(rights, ["band", "other"]).select("band", name("s", "i", "other.step", "other.block").alias("pair"), "left", "right")
     crossed = inner.union(outer)
-    involved = materialize(crossed.mapInArrow(_involved(percent), "band long, pair string, class long"), "involved")
+    involved = materialize(crossed.mapInArrow(trimmed(_involved(percent)), "band long, pair string, class long"), "involved")
     texts = texts_of(involved)
     carried = involved.join(texts, "class").groupBy("band", "pair").agg(F.collect_list(F.struct("class", "text")).alias("texts"))
-    more = materialize(crossed.join(carried, ["band", "pair"]).mapInArrow(_confirm_blocks(percent), "a long, b long").distinct(), "more-links")
+    more = materialize(crossed.join(carried, ["band", "pair"]).mapInArrow(trimmed(_confirm_blocks(percent)), "a long, b long").distinct(), "more-links")
     for used in (texts, involved, blocks, sizes, placed, chunks, first, stars, buckets):
         discard(used)
     final = components(links.union(more))

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from folioscope.llm.memory import trimmed
 from folioscope.llm.sharding import row_numbers
 from folioscope.llm.token_files import encoder
 from folioscope.session import materialize
@@ -121,7 +122,7 @@ def token_lengths(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFram
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own.lengths(b.column("text")))], names=["doc_id", "length"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, length long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, length long")
 
 
 def pack(lengths: DataFrame, sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD) -> DataFrame:
@@ -153,7 +154,7 @@ def pack(lengths: DataFrame, sizes: tuple[int, ...] = SIZES, overhead: int = OVE
             piece = b.column("piece").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("piece"), pa.array(piece * most), b.column("length"), pa.array(at), pa.array(offset), pa.array(capacity)], names=["doc_id", "piece", "start", "length", "bin", "bin_offset", "capacity"])
 
-    return numbered.select("doc_id", "piece", "length", "__row").mapInArrow(place, "doc_id long, piece long, start long, length long, bin long, bin_offset long, capacity long")
+    return numbered.select("doc_id", "piece", "length", "__row").mapInArrow(trimmed(place), "doc_id long, piece long, start long, length long, bin long, bin_offset long, capacity long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, sizes: tuple[int, ...] = SIZES) -> DataFrame:

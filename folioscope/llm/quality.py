@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from folioscope.llm.memory import trimmed
 from folioscope.llm.shingles import SEPARATOR, slices, string_buffers, word_hashes
 from folioscope.session import discard, materialize
 
@@ -180,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features:
         for stats, (ids, quality), _ in _stats_batches(batches, ["doc_id", "quality"]):
             yield pa.RecordBatch.from_arrays([ids, quality, pa.array(list(stats), pa.list_(pa.float64()))], names=["doc_id", "quality", "stats"])
 
-    rows_of = text.mapInArrow(describe, "doc_id long, quality double, stats array<double>").distinct()
+    rows_of = text.mapInArrow(trimmed(describe), "doc_id long, quality double, stats array<double>").distinct()
     described = materialize(rows_of.orderBy(F.xxhash64("doc_id", "stats", F.lit(seed)), "doc_id", "quality", "stats").limit(rows), "quality-train")
     moments = described.select("quality", *(F.col("stats")[i].alias(f"s{i}") for i in range(N_STATS))).agg(F.count("*").alias("n"), *(f(f"s{i}") for i in range(N_STATS) for f in (F.avg, F.stddev_pop))).first()
     rng = np.random.default_rng(seed)
@@ -207,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features:
 
     size = features + 1
     gram, moment = np.zeros((size, size)), np.zeros(size)
-    for r in parts.mapInArrow(sums, "gram binary, moment binary").toLocalIterator():
+    for r in parts.mapInArrow(trimmed(sums), "gram binary, moment binary").toLocalIterator():
         gram += np.frombuffer(r["gram"]).reshape(size, size)
         moment += np.frombuffer(r["moment"])
     penalty = np.full(size, ridge * max(gram[-1, -1], 1.0))
@@ -242,7 +243,7 @@ def score_documents(docs: DataFrame, model: QualityModel, excluded: tuple[int, i
             yield pa.RecordBatch.from_arrays([ids, held, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out("doc_id", *excluded))
-    return rows.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.select("doc_id", "held_out", "text").mapInArrow(trimmed(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -257,4 +258,4 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD
         for stats, _, batch in _stats_batches(batches, []):
             yield batch.filter(pa.array(own.score(stats) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from folioscope.llm.memory import trimmed
 from folioscope.session import fanout, materialize
 
 ROUNDS = 6
@@ -128,4 +129,4 @@ def shard_by_rows(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame
                 names=["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
             )
 
-    return numbered.mapInArrow(place, "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")
+    return numbered.mapInArrow(trimmed(place), "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")

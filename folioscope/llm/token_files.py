@@ -22,6 +22,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from folioscope.llm.memory import trimmed
 from folioscope.llm.shingles import LOWER, SEPARATOR, slices, span_hashes, string_buffers
 from folioscope.session import fanout, materialize, work_path
 
@@ -319,7 +320,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, uri: str, end_id: int = 1, le
             kept.append((task.partitionId(), f"{base}/{name}", n_docs, writer.tokens))
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["file_no", "path", "n_docs", "n_tokens"])
 
-    return materialize(rows.mapInArrow(write, MANIFEST), "manifest")
+    return materialize(rows.mapInArrow(trimmed(write), MANIFEST), "manifest")
 
 
 def read_tokens(manifest: DataFrame, uri: str) -> DataFrame:
@@ -344,7 +345,7 @@ def read_tokens(manifest: DataFrame, uri: str) -> DataFrame:
                     crc = [zlib.crc32(tokens.tokens(f, c).astype("<u4").tobytes()) for f, c in zip(first.tolist(), n.tolist())]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(first + start), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(trimmed(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digests(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = 2048) -> DataFrame:

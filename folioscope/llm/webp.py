@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from folioscope.llm.memory import trimmed
 from folioscope.llm.shingles import mix, slices, string_buffers
 from folioscope.session import materialize
 
@@ -938,7 +939,7 @@ def encode_column(docs: DataFrame) -> DataFrame:
                 media = encode_texts(data, offsets[lo : hi + 1])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, n_bytes long, media binary")
 
 
 def decode_column(media: DataFrame, pixels: bool = True) -> DataFrame:
@@ -967,7 +968,7 @@ def decode_column(media: DataFrame, pixels: bool = True) -> DataFrame:
                     lo, size = i, 0
                 size += len(m)
 
-    return media.mapInArrow(run, schema)
+    return media.mapInArrow(trimmed(run), schema)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
