@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from folioscope.plans import documents, history, lineage, linking, review, search, sequence, teaching, text  # noqa: E402, F401
+from folioscope.plans import documents, edits, history, library, lineage, linking, review, search, sequence, teaching, text  # noqa: E402, F401
