@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from folioscope.functions import diff as D
 from folioscope.functions.text import normalise, provision_kind
 from folioscope.operators.sequence import ROOT_TYPES, BOUNDARY_TYPES, enclosing_schedule
-from folioscope.session import materialize
+from folioscope.session import discard, materialize
 
 CONTAINERS = ("schedule", "chapter", "part", "division", "subdivision")
 KEY = ["kind", "schedule", "number"]
@@ -113,22 +113,22 @@ def chains(states: DataFrame, links: DataFrame) -> DataFrame:
     """Adds `chain_key`: the key a provision had where its chain began, followed through renames.
 
     States: work, version, key; links: work, version, new_key, old_key (a rename on the way into the version). A chain
-    goes on only where the next version has the provision; versions are walked in order, one join each."""
-    order = [r[0] for r in states.select("version").distinct().orderBy("version").collect()]  # one row a version
-    done, before, previous = None, None, None
-    for v in order:
-        here = states.where(F.col("version") == v)
-        if before is None:
-            named = here.withColumn("chain_key", F.concat_ws("@", "key", F.col("version").cast("string")))
-        else:
-            carried = here.join(links.where(F.col("version") == v).select("work", F.col("new_key").alias("key"), "old_key"), ["work", "key"], "left")
-            carried = carried.withColumn("__was", F.coalesce("old_key", "key"))
-            back = before.select("work", F.col("key").alias("__was"), "chain_key")
-            named = carried.join(back, ["work", "__was"], "left").withColumn("chain_key", F.coalesce("chain_key", F.concat_ws("@", "key", F.col("version").cast("string"))))
-        named = materialize(named.select("work", "version", "key", "chain_key"), "chain")
-        done = named if done is None else done.unionByName(named)
-        before, previous = named, v
-    return done
+    goes on only where the version before has the provision. Each state points to the one before it, and pointers are
+    doubled: so many joins as the number of versions has binary digits."""
+    versions = states.select("version").distinct()  # one row a version
+    before = versions.withColumn("__before", F.lag("version").over(Window.orderBy("version")))
+    came = states.join(links.select("work", "version", F.col("new_key").alias("key"), "old_key"), ["work", "version", "key"], "left").join(F.broadcast(before), "version")
+    came = came.select("work", "version", "key", F.col("__before").alias("up_version"), F.coalesce("old_key", "key").alias("up_key"))
+    had = states.select("work", F.col("version").alias("up_version"), F.col("key").alias("up_key"), F.lit(True).alias("__had")).distinct()
+    start = came.join(had, ["work", "up_version", "up_key"], "left")
+    own = lambda c: F.when(F.col("__had"), F.col(f"up_{c}")).otherwise(F.col(c)).alias(f"up_{c}")
+    now = materialize(start.select("work", "version", "key", own("version"), own("key")), "chain")
+    for _ in range(max(1, versions.count()).bit_length()):
+        above = now.select("work", F.col("version").alias("up_version"), F.col("key").alias("up_key"), F.col("up_version").alias("__v"), F.col("up_key").alias("__k"))
+        further = materialize(now.join(above, ["work", "up_version", "up_key"]).select("work", "version", "key", F.col("__v").alias("up_version"), F.col("__k").alias("up_key")), "chain")
+        discard(now)
+        now = further
+    return now.select("work", "version", "key", F.concat_ws("@", "up_key", F.col("up_version").cast("string")).alias("chain_key"))
 
 
 def review_status(states: DataFrame, reviewed: DataFrame) -> DataFrame:
@@ -166,9 +166,10 @@ def ghosts(states: DataFrame) -> DataFrame:
     versions = states.select("work", "version").distinct()
     last = states.groupBy("work", "key").agg(F.min("version").alias("first_version"))
     grid = versions.join(last, "work").where("version > first_version")
-    gone = grid.join(states.select("work", "version", "key"), ["work", "version", "key"], "left_anti")
-    earlier = states.select("work", "key", F.col("version").alias("had"))
-    return gone.join(earlier, ["work", "key"]).where("had < version").groupBy("work", "version", "key").agg(F.max("had").alias("last_version"))
+    held = grid.select("work", "key", "version").unionByName(last.select("work", "key", F.col("first_version").alias("version"))).join(states.select("work", "version", "key", F.lit(True).alias("__had")), ["work", "version", "key"], "left")
+    before = Window.partitionBy("work", "key").orderBy("version")
+    seen = held.withColumn("last_version", F.last(F.when(F.col("__had"), F.col("version")), ignorenulls=True).over(before))
+    return seen.where("__had IS NULL").select("work", "version", "key", "last_version")
 
 
 def superseded(versions: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioscope.functions.text import content_digest
+from folioscope.session import fanout, materialize
 
 # Node types that open units, close units, and levels in order with those sharing a rank.
 ROOT_TYPES = ("section", "clause", "item", "preamble")
@@ -116,3 +117,19 @@ def merge_blocks(blocks: DataFrame, doc: str, opens: Column, text: str = "text",
 def neighbours(rows: DataFrame, doc: str, value: str, idx: str = "idx") -> DataFrame:
     w = in_order(doc, idx)
     return rows.withColumn("previous", F.lag(value).over(w)).withColumn("next", F.lead(value).over(w))
+
+
+def with_previous(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """Adds `previous`: the value of `order` in the row before, of the same group (null for a group's first).
+
+    A group may hold most of the rows, so none is a task: rows are dealt to sorted ranges, each range looks back inside
+    itself, and its first row to the last of the range before (one row a range)."""
+    key = F.struct(group, order)
+    dealt = rows.repartitionByRange(fanout(rows), group, order).withColumn("__range", F.spark_partition_id())
+    dealt = materialize(dealt, "ranges")
+    ends = dealt.groupBy("__range").agg(F.max(key).alias("__end"))  # one row a range
+    ends = ends.select("__range", F.lag("__end").over(Window.orderBy("__range")).alias("__end"))
+    inside = F.lag(key).over(Window.partitionBy("__range").orderBy(group, order))
+    found = dealt.withColumn("__last", inside).join(F.broadcast(ends), "__range").withColumn("__last", F.coalesce("__last", "__end"))
+    previous = F.when(F.col("__last")[group].eqNullSafe(F.col(group)), F.col("__last")[order])
+    return found.withColumn("previous", previous).drop("__range", "__last", "__end")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.functions import diff as D
 from folioscope.operators import delta as X
 from folioscope.operators import lineage as L
 from folioscope.plans import query
-from folioscope.session import fanout, table
+from folioscope.session import table
 
 #: Event times dealt to five versions of each user's log.
 VERSIONS = 5
@@ -161,13 +161,21 @@ def subtree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return up.join(p.select("name").distinct(), "name").groupBy("name").agg(F.count("*").alias("pieces"))
 
 
+def consecutive_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, old): each document with the text of the one before it in its source. Neighbours are found on
+    ids alone; texts join after."""
+    from folioscope.operators.sequence import with_previous
+
+    d = table(spark, sf_dir, "documents")
+    ids = with_previous(d.select("source", "doc_id"), "source", "doc_id").where("previous IS NOT NULL").select("doc_id", "previous")
+    old = d.select(F.col("doc_id").alias("previous"), F.col("text").alias("old"))
+    return ids.join(d.select("doc_id", "text"), "doc_id").join(old, "previous").select("doc_id", "text", "old")
+
+
 @query(None)
 def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against the one before it in its source, whole texts: segments of the difference, counted by kind."""
-    d = table(spark, sf_dir, "documents")
-    w = Window.partitionBy("source").orderBy("doc_id")
-    pairs = d.select("doc_id", "text", F.lag("text").over(w).alias("old"), F.row_number().over(w).alias("n")).where("n > 1")
-    pairs = pairs.repartition(fanout(pairs), "doc_id")  # there are few sources
+    pairs = consecutive_texts(spark, sf_dir)
     diff = pairs.withColumn("diff", D.word_diff(F.col("old"), F.col("text")))
     count = lambda op: F.size(F.filter("diff", lambda s: s["op"] == op))
     return diff.select("doc_id", *(count(op).alias(op) for op in ("equal", "delete", "insert")), D.is_reordering(F.col("diff")).alias("reordered"))
@@ -181,11 +189,11 @@ def delta_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.changed_names(version, p.where("doc_id % 11 <> 0").select("name", F.lit("old").alias("text")))
 
 
-@query(f"WITH {PATHS} SELECT name, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'old' END AS text, (row_number() OVER (ORDER BY doc_id) - 1)::INT AS idx FROM paths WHERE doc_id % 7 <> 0")
+@query(f"WITH {PATHS} SELECT split_part(name, '/', 1) || '/' || split_part(name, '/', 2) AS doc, name, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'old' END AS text, (row_number() OVER (PARTITION BY split_part(name, '/', 1) || '/' || split_part(name, '/', 2) ORDER BY doc_id) - 1)::INT AS idx FROM paths WHERE doc_id % 7 <> 0")
 def delta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A version cut down against its neighbour and put together again is the version."""
-    p = path_names(spark, sf_dir)
-    version = p.where("doc_id % 7 <> 0").select("name", F.when(F.col("doc_id") % 5 == 0, "new").otherwise("old").alias("text"), F.col("doc_id").alias("idx"))
-    neighbour = p.where("doc_id % 11 <> 0").select("name", F.lit("old").alias("text"), F.col("doc_id").alias("idx"))
+    """Versions cut down against their neighbours and put together again are the versions."""
+    p = path_names(spark, sf_dir).withColumn("doc", F.substring_index("name", "/", 2))
+    version = p.where("doc_id % 7 <> 0").select("doc", "name", F.when(F.col("doc_id") % 5 == 0, "new").otherwise("old").alias("text"), F.col("doc_id").alias("idx"))
+    neighbour = p.where("doc_id % 11 <> 0").select("doc", "name", F.lit("old").alias("text"), F.col("doc_id").alias("idx"))
     pieces, removed = X.slim(version, neighbour)
     return X.assemble(neighbour, pieces, removed)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.operators import linking as K
 from folioscope.plans import query
-from folioscope.session import fanout, table
+from folioscope.session import table
 
 
 @query("""WITH b AS (SELECT o_orderkey AS idx, (o_custkey % 500)::VARCHAR AS number, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderstatus END AS schedule FROM orders),
@@ -154,8 +154,7 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's whole text against that of the one before it in its source; a null text counts as empty."""
     from folioscope.functions.diff import similarity
 
-    w = Window.partitionBy("source").orderBy("doc_id")
-    d = table(spark, sf_dir, "documents")
-    pairs = d.select("doc_id", "text", F.lag("text").over(w).alias("prev"), F.row_number().over(w).alias("n")).where("n > 1")
-    pairs = pairs.repartition(fanout(pairs), "doc_id")  # there are few sources
-    return pairs.select("doc_id", F.round(similarity(F.col("prev"), F.col("text")), 6).alias("similarity"))
+    from folioscope.plans.lineage import consecutive_texts
+
+    pairs = consecutive_texts(spark, sf_dir)
+    return pairs.select("doc_id", F.round(similarity(F.col("old"), F.col("text")), 6).alias("similarity"))

@@ -177,3 +177,25 @@ def test_notes_attach(frame):
 def test_islands(frame):
     d = frame([(1, 1, "a"), (1, 2, None), (1, 3, None), (1, 4, "a")], "k int, o int, v string")
     assert [r["island"] for r in Q.islands(d, ["k"], "o", F.col("v")).orderBy("o").collect()] == [1, 2, 2, 3]
+
+
+def test_previous_across_ranges(spark):
+    """The row before, in a group that fills most ranges, in small groups, and where a group begins a range."""
+    from pyspark.sql import functions as F
+
+    from folioscope.operators.sequence import with_previous
+
+    rows = spark.range(500).select(F.when(F.col("id") < 400, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"), (F.col("id") * 3).alias("o"))
+    expected, last = set(), {}
+    for r in sorted(map(tuple, rows.collect())):
+        expected.add((*r, last.get(r[0])))
+        last[r[0]] = r[1]
+    assert {tuple(r) for r in with_previous(rows.repartition(5), "g", "o").select("g", "o", "previous").collect()} == expected
+    assert with_previous(rows.where("false"), "g", "o").count() == 0
+
+
+def test_long_and_circular_ways(spark):
+    pointers = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)] + [(100, 101), (101, 100), (200, 999)], "version int, toward int")
+    from folioscope.operators.delta import delta_chain
+
+    assert {(r["version"], r["base"], r["steps"]) for r in delta_chain(pointers).collect()} == {(i, 0, i) for i in range(40)}
