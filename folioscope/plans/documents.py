@@ -55,3 +55,33 @@ def instruction_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber").cast("string")
     text = F.concat(F.lit("In section "), F.col("l_orderkey").cast("string"), F.lit("("), n, F.lit(') of the Principal Act, for "'), F.lower("l_returnflag"), F.lit('" substitute "'), F.lower("l_linestatus"), F.lit('".'))
     return I.read_instructions(li.select("l_orderkey", "l_linenumber", text.alias("text")))
+
+
+def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as printed lines: two turns a page, contents marks on the first pages of some."""
+    c = table(spark, sf_dir, "conversations")
+    k = F.col("turn")
+    text = F.when((k < 2) & (F.col("conv_id") % 2 == 0), "Contents").when(k == 5, "Endnotes").otherwise(F.col("role"))
+    return c.select(F.col("conv_id").alias("doc"), k.cast("int").alias("line_no"), text.alias("text"), F.floor(k / 2).cast("int").alias("page"), (k >= 4).alias("bold"), F.when(k % 3 == 2, 16.0).otherwise(12.0).alias("size"), (k * k * 3 % 50).cast("double").alias("y0"), (F.length("text") % 90 + 400).cast("double").alias("x1"))
+
+
+LINES = """lines AS (SELECT conv_id AS doc, turn AS line_no, CASE WHEN turn < 2 AND conv_id % 2 = 0 THEN 'Contents' WHEN turn = 5 THEN 'Endnotes' ELSE role END AS text, turn // 2 AS page, turn >= 4 AS bold, CASE WHEN turn % 3 = 2 THEN 16.0 ELSE 12.0 END AS size, (turn * turn * 3 % 50)::DOUBLE AS y0, (length(text) % 90 + 400)::DOUBLE AS x1 FROM conversations)"""
+
+
+@query(f"""WITH {LINES}, p AS (SELECT doc, page, max(CASE WHEN regexp_matches(lower(text), '^\\s*contents\\b') THEN 1 ELSE 0 END) AS toc FROM lines GROUP BY ALL), r AS (SELECT *, min(toc) OVER (PARTITION BY doc ORDER BY page) AS run FROM p)
+SELECT doc, coalesce(min(page) FILTER (WHERE run = 0), max(page) + 1)::INT AS page FROM r GROUP BY doc""")
+def body_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the leading pages of contents end."""
+    return P.body_start(turn_lines(spark, sf_dir))
+
+
+@query(f"WITH {LINES} SELECT doc, min(page)::INT AS page FROM lines WHERE bold AND size >= 14 AND lower(trim(text)) = 'endnotes' GROUP BY doc")
+def endnote_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.endnotes_start(turn_lines(spark, sf_dir))
+
+
+@query(f"""WITH {LINES}, g AS (SELECT *, y0 - lag(y0) OVER w AS gap, lag(x1) OVER w AS last_x1 FROM lines WINDOW w AS (PARTITION BY doc ORDER BY line_no)),
+u AS (SELECT doc, quantile_cont(gap, 0.5) AS median, quantile_cont(x1, 0.9) AS edge FROM g GROUP BY doc)
+SELECT doc, line_no::INT AS line_no, gap IS NULL OR gap < 0 OR (gap > 1.4 * median AND last_x1 < edge - 10) AS starts FROM g JOIN u USING (doc)""")
+def paragraph_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.paragraph_starts(turn_lines(spark, sf_dir)).select("doc", "line_no", "starts")

@@ -102,3 +102,9 @@ def document_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("idx"), F.col("role").alias("type"), F.lit(None).cast("string").alias("number"), F.lit(None).cast("string").alias("heading"), "text")
     return R.parse_fingerprint(c)
+
+
+@query("SELECT user_id AS doc, array_to_string(list_sort(list(DISTINCT event_id % 20)), ',') AS units FROM events WHERE value > 60 GROUP BY 1")
+def finished_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), (F.col("event_id") % 20).alias("unit"), (F.col("value") > 60).alias("done"))
+    return R.finished_units(e).withColumn("units", F.array_join(F.transform("units", lambda u: u.cast("string")), ","))

@@ -64,3 +64,22 @@ def fixed_and_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     of = lambda t: d.select(F.col("doc_id").alias("line"), t.alias("type"))
     return T.fixed_and_broken(of(F.when(F.col("doc_id") % 3 == 0, "en").otherwise(F.col("lang"))), of(F.when(F.col("doc_id") % 4 == 0, "fr").otherwise(F.col("lang"))), of(F.col("lang")))
+
+
+@query(r"""WITH l AS (SELECT conv_id, turn, trim(text) AS t, CASE WHEN turn % 3 = 2 THEN 16.0 ELSE 12.0 END AS size, turn * 3.4 AS x0 FROM conversations)
+SELECT conv_id, turn, round(size / 10.0, 2) AS size_ratio, round(x0, 0) AS indent, regexp_matches(t, '[.;:—]$') AS ends_clean, len(regexp_extract_all(t, '\S+'))::INT AS words, upper(t) = t AND regexp_matches(t, '\p{L}') AS caps FROM l""")
+def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of printed lines."""
+    k = F.col("turn")
+    seen = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.when(k % 3 == 2, 16.0).otherwise(12.0).alias("size"), F.lit(10.0).alias("body"), (k * F.lit(3.4)).alias("x0"))
+    return T.line_features(seen).select("conv_id", "turn", "size_ratio", "indent", "ends_clean", "words", "caps")
+
+
+@query(r"""SELECT p_partkey, '1' || ',' || CASE WHEN p_size > 25 THEN '1' ELSE '0' END || ',' || CASE WHEN p_size BETWEEN 10 AND 20 AND p_partkey % 2 = 0 THEN '1' ELSE '0' END AS verdicts FROM part""")
+def rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule says of a line."""
+    rules = [{"id": "a", "pattern": r"^Brand#"}, {"id": "b", "flags": {"bold": True}}, {"id": "c", "ranges": {"size": (10, 20)}, "parents": ["even"]}]
+    p = table(spark, sf_dir, "part")
+    rows = p.select("p_partkey", F.col("p_brand").alias("text"), (F.col("p_size") > 25).alias("bold"), F.col("p_size").alias("size"), F.when(F.col("p_partkey") % 2 == 0, "even").alias("parent"))
+    said = F.transform("verdicts", lambda v: F.when(v["holds"], "1").otherwise("0"))
+    return T.explain_rules(rows, rules).select("p_partkey", F.array_join(said, ",").alias("verdicts"))

@@ -90,3 +90,41 @@ def content_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     nodes = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("type"), F.lit("").alias("heading"), "text")
     return digests(nodes).select("conv_id", "turn", "digest")
+
+
+@query("""SELECT l_orderkey, l_linenumber, 's. ' || l_orderkey || '(' || l_linenumber || ')' || CASE WHEN l_linenumber % 2 = 0 THEN '(a)' ELSE '' END AS label, CASE WHEN l_suppkey % 2 = 0 THEN 'sch 1/' ELSE '-/' END || l_partkey || 'a' AS key,
+CASE l_linenumber % 3 WHEN 0 THEN 'provision' WHEN 1 THEN 'provision' ELSE 'part' END AS kind, (l_partkey % 30)::VARCHAR AS base, CASE WHEN l_partkey % 3 = 0 THEN 'AB' ELSE '' END AS suffix FROM lineitem""")
+def provision_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels, keys and kinds of provisions, and the parts of an inserted number."""
+    n, string = F.col("l_linenumber"), lambda c: c.cast("string")
+    path = F.struct(string(F.col("l_orderkey")).alias("section"), string(n).alias("subsection"), F.when(n % 2 == 0, "a").alias("paragraph"), F.lit(None).cast("string").alias("subparagraph"))
+    key = T.provision_key(F.when(F.col("l_suppkey") % 2 == 0, "Sch 1").otherwise(""), F.concat(string(F.col("l_partkey")), F.lit("A")))
+    parts = T.insertion_parts(F.concat(string(F.col("l_partkey") % 30), F.when(F.col("l_partkey") % 3 == 0, "AB").otherwise("")))
+    kind = T.provision_kind(F.when(n % 3 == 0, "section").when(n % 3 == 1, "item").otherwise("part"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.provision_label(path).alias("label"), F.concat(F.coalesce(key["schedule"], F.lit("-")), F.lit("/"), key["number"]).alias("key"), kind.alias("kind"), parts["base"].alias("base"), parts["suffix"].alias("suffix"))
+
+
+@query(r"""SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name || ' (' || p_brand || ')')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS field, left(lower(regexp_replace(regexp_replace(p_brand || '.5 ' || p_type, '[^A-Za-z0-9.]+', '-', 'g'), '^-+|-+$', '', 'g')), 40) AS segment,
+CASE WHEN p_size % 2 = 0 THEN p_size || '/1990' END AS cite, '"' || p_name || '"-x' AS cleaned, '<mark>' || p_name || '</mark> &lt;&amp;' AS marked, CASE WHEN p_size % 2 = 0 THEN 'Act ' ELSE 'Act' || chr(61472) END AS symbols FROM part""")
+def printed_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field names, name segments, citations of titles, cleaned instructions, marked snippets, symbol fonts."""
+    p, even = table(spark, sf_dir, "part"), F.col("p_size") % 2 == 0
+    title = F.concat("p_name", F.lit(" Act, No. 1/1985, "), F.when(even, F.concat(F.lit("No. "), F.col("p_size").cast("string"), F.lit("/1990"))).otherwise(""))
+    cite = F.when(even, T.title_citation(title))
+    return p.select(
+        "p_partkey", T.field_name(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("field"), T.name_slug(F.concat("p_brand", F.lit(".5 "), "p_type")).alias("segment"), cite.alias("cite"),
+        T.clean_instruction(F.concat(F.lit("“"), "p_name", F.lit("”—x"))).alias("cleaned"), T.snippet_html(F.concat(F.lit("\x02"), "p_name", F.lit("\x03 <&"))).alias("marked"),
+        T.symbol_font_text(F.lit("Act\uf020"), F.when(even, "SymbolMT").otherwise("Times")).alias("symbols"),
+    )
+
+
+@query("""SELECT c_custkey, c_custkey % 3 = 0 AS starts, c_custkey % 2 = 0 AS looks, CASE WHEN c_nationkey % 4 = 0 THEN 'part' WHEN c_nationkey % 4 = 1 THEN 'act' END AS scope, CASE WHEN c_custkey % 3 = 0 THEN 'sch1/cl' || c_nationkey || '/p2' ELSE 'pt1/s' || c_nationkey END AS name FROM customer""")
+def definition_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether lines begin and headings announce definitions, for which part of an Act, and canonical names."""
+    from folioscope.operators.delta import canonical
+
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    line = F.when(k % 3 == 0, F.concat(F.lower("c_mktsegment"), F.lit(" means a thing"))).otherwise("it is so")
+    lead = F.when(n % 4 == 0, "In this Part—").when(n % 4 == 1, "in this act").otherwise("In that Part")
+    name = F.when(k % 3 == 0, F.concat(F.lit("sch1/"), F.when(k % 2 == 0, "item").otherwise("s"), n.cast("string"), F.lit("/p2"))).otherwise(F.concat(F.lit("pt1/s"), n.cast("string")))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.is_definition_start(line).alias("starts"), T.looks_like_definitions(F.when(k % 2 == 0, "Definitions").otherwise("Purposes")).alias("looks"), T.definition_scope(lead).alias("scope"), canonical(name).alias("name"))
