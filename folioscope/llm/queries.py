@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.llm import spelling, trie
 from folioscope.session import table, texts
 
 
@@ -75,6 +76,19 @@ def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.spelling import spelling_groups
+
+    return spelling_groups(texts(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_sharding": op1_sharding, "op3_token_files": op3_token_files, "op5_bpe": op5_bpe, "op7_media": op7_media, "op10_minhash": op10_minhash, "op4_quality": op4_quality, "op8_langid": op8_langid, "op2_line_dedup": op2_line_dedup, "op9_packing": op9_packing, "op6_hnsw": op6_hnsw}
+QUERIES |= {"op12_conversation_trie": op12_conversation_trie, "op13_spelling_groups": op13_spelling_groups}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_conversation_trie": trie.SQL, "op13_spelling_groups": spelling.SQL}
