@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import spelling, trie
+from folioscope.llm import metric_join, spelling, trie
 from folioscope.session import table, texts
 
 
@@ -76,6 +76,12 @@ def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op11_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.metric_join import similar_classes
+
+    return similar_classes(texts(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.trie import conversation_trie
 
@@ -89,6 +95,6 @@ def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_sharding": op1_sharding, "op3_token_files": op3_token_files, "op5_bpe": op5_bpe, "op7_media": op7_media, "op10_minhash": op10_minhash, "op4_quality": op4_quality, "op8_langid": op8_langid, "op2_line_dedup": op2_line_dedup, "op9_packing": op9_packing, "op6_hnsw": op6_hnsw}
-QUERIES |= {"op12_conversation_trie": op12_conversation_trie, "op13_spelling_groups": op13_spelling_groups}
+QUERIES |= {"op11_metric_join": op11_metric_join, "op12_conversation_trie": op12_conversation_trie, "op13_spelling_groups": op13_spelling_groups}
 
-SQL: dict[str, str] = {"op12_conversation_trie": trie.SQL, "op13_spelling_groups": spelling.SQL}
+SQL: dict[str, str] = {"op11_metric_join": metric_join.SQL, "op12_conversation_trie": trie.SQL, "op13_spelling_groups": spelling.SQL}
