@@ -33,7 +33,8 @@ def split_text(nodes: DataFrame, splits: DataFrame) -> DataFrame:
     heads = good.select("doc", "idx", F.trim(F.substr("text", F.lit(1), F.col("at"))).alias("__head"))
     tails = good.groupBy("doc", F.col("target").alias("idx")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("idx").alias("from"), tail.alias("t")))), lambda x: x["t"]), "\n").alias("__tail"))
     out = nodes.join(heads, ["doc", "idx"], "left").join(tails, ["doc", "idx"], "left")
-    return out.withColumn("text", F.concat_ws("\n", F.nullif(F.coalesce("__head", "text"), F.lit("")), "__tail")).drop("__head", "__tail")
+    edited = F.concat_ws("\n", F.nullif(F.coalesce("__head", "text"), F.lit("")), "__tail")
+    return out.withColumn("text", F.when(F.coalesce("__head", "__tail").isNotNull(), edited).otherwise(F.col("text"))).drop("__head", "__tail")
 
 
 def merge_refusals(nodes: DataFrame, merges: DataFrame) -> DataFrame:
@@ -56,7 +57,8 @@ def merged(nodes: DataFrame, merges: DataFrame) -> DataFrame:
     more = texts.groupBy("doc", F.col("target").alias("idx")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "t"))), lambda x: x["t"]), "\n").alias("__more"))
     gone = ok.select("doc", F.col("source").alias("idx"), F.lit(True).alias("__gone")).distinct()
     out = nodes.join(more, ["doc", "idx"], "left").join(gone, ["doc", "idx"], "left")
-    return out.withColumn("text", F.concat_ws("\n", F.nullif("text", F.lit("")), "__more")).withColumn("live", F.col("live") & F.col("__gone").isNull()).drop("__more", "__gone")
+    joined = F.when(F.col("__more").isNotNull(), F.concat_ws("\n", F.nullif("text", F.lit("")), "__more")).otherwise(F.col("text"))
+    return out.withColumn("text", joined).withColumn("live", F.col("live") & F.col("__gone").isNull()).drop("__more", "__gone")
 
 
 def tombstones(nodes: DataFrame, edits: DataFrame) -> DataFrame:
@@ -67,9 +69,14 @@ def tombstones(nodes: DataFrame, edits: DataFrame) -> DataFrame:
 
 def block_under(nodes: DataFrame, picked: DataFrame, rank: str = "rank") -> DataFrame:
     """(doc, root, idx): each picked node (doc, idx) and the nodes nested under it: those after it up to the next node
-    of its own or a shallower rank."""
-    higher = [F.min(F.when(F.col(rank) <= k, F.col("idx"))).over(Window.partitionBy("doc").orderBy("idx").rowsBetween(1, Window.unboundedFollowing)) for k in range(10)]
-    end = F.get(F.array(*higher), F.col(rank))
+    of its own or a shallower rank.
+
+    Ranks may be any numbers; the different ones (a few: one a type of node) are read first, and one window looks ahead
+    for each. A node without a rank has nothing under it and ends no block."""
+    ranks = sorted(r[0] for r in nodes.select(rank).where(F.col(rank).isNotNull()).distinct().collect())
+    ahead = Window.partitionBy("doc").orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
+    after = [F.when(F.col(rank) == k, F.min(F.when(F.col(rank) <= k, F.col("idx"))).over(ahead)) for k in ranks]
+    end = F.coalesce(*after, F.when(F.col(rank).isNull(), F.col("idx") + 1))
     last = F.max("idx").over(Window.partitionBy("doc")) + 1
     ends = nodes.withColumn("__end", F.coalesce(end, last)).join(picked, ["doc", "idx"], "left_semi")
     # A row for each place inside, so that the range is an equi-join.

@@ -113,17 +113,17 @@ def chains(states: DataFrame, links: DataFrame) -> DataFrame:
     """Adds `chain_key`: the key a provision had where its chain began, followed through renames.
 
     States: work, version, key; links: work, version, new_key, old_key (a rename on the way into the version). A chain
-    goes on only where the version before has the provision. Each state points to the one before it, and pointers are
-    doubled: so many joins as the number of versions has binary digits."""
-    versions = states.select("version").distinct()  # one row a version
-    before = versions.withColumn("__before", F.lag("version").over(Window.orderBy("version")))
-    came = states.join(links.select("work", "version", F.col("new_key").alias("key"), "old_key"), ["work", "version", "key"], "left").join(F.broadcast(before), "version")
-    came = came.select("work", "version", "key", F.col("__before").alias("up_version"), F.coalesce("old_key", "key").alias("up_key"))
+    goes on only where the work's own version before has the provision. Each state points to the one before it, and
+    pointers are doubled: so many joins as the largest number of versions of a work has binary digits."""
+    before = version_pairs(states)
+    came = states.join(links.select("work", "version", F.col("new_key").alias("key"), "old_key"), ["work", "version", "key"], "left").join(before, ["work", "version"], "left")
+    came = came.select("work", "version", "key", F.col("previous").alias("up_version"), F.coalesce("old_key", "key").alias("up_key"))
     had = states.select("work", F.col("version").alias("up_version"), F.col("key").alias("up_key"), F.lit(True).alias("__had")).distinct()
     start = came.join(had, ["work", "up_version", "up_key"], "left")
     own = lambda c: F.when(F.col("__had"), F.col(f"up_{c}")).otherwise(F.col(c)).alias(f"up_{c}")
     now = materialize(start.select("work", "version", "key", own("version"), own("key")), "chain")
-    for _ in range(max(1, versions.count()).bit_length()):
+    most = before.groupBy("work").count().agg(F.max("count")).first()[0] or 0
+    for _ in range((most + 1).bit_length()):
         above = now.select("work", F.col("version").alias("up_version"), F.col("key").alias("up_key"), F.col("up_version").alias("__v"), F.col("up_key").alias("__k"))
         further = materialize(now.join(above, ["work", "up_version", "up_key"]).select("work", "version", "key", F.col("__v").alias("up_version"), F.col("__k").alias("up_key")), "chain")
         discard(now)

@@ -42,3 +42,21 @@ def test_refused_split_changes_nothing(frame):
         assert {r["idx"]: r["text"] for r in out.collect()} == {0: "head", 1: "abc def", 2: "gone"}
     out = E.split_text(nodes, frame([(1, 1, 3, 0)], "doc int, idx int, at int, target int"))
     assert {r["idx"]: r["text"] for r in out.collect()} == {0: "head\ndef", 1: "abc", 2: "gone"}
+
+
+def test_untouched_rows_keep_null_texts(frame):
+    nodes = frame([(1, 0, None, None, True), (1, 1, None, "abc def", True), (1, 2, None, None, True), (1, 3, 1, "", True)], "doc int, idx int, unit int, text string, live boolean")
+    out = E.split_text(nodes, frame([(1, 1, 3, 0)], "doc int, idx int, at int, target int"))
+    assert {r["idx"]: r["text"] for r in out.collect()} == {0: "def", 1: "abc", 2: None, 3: ""}
+    units = nodes.withColumn("unit", F.lit(1))
+    out = E.merged(units, frame([(1, 0, 1)], "doc int, target int, source int"))
+    assert {r["idx"]: (r["text"], r["live"]) for r in out.collect()} == {0: ("abc def", True), 1: ("abc def", False), 2: (None, True), 3: ("", True)}
+
+
+def test_blocks_of_any_rank(frame):
+    ranks = [12, 12, 3, 40, 41, None, 3, 0]
+    nodes = frame([(1, i, r) for i, r in enumerate(ranks)], "doc int, idx int, rank int")
+    got = {}
+    for r in E.block_under(nodes, nodes.select("doc", "idx")).collect():
+        got.setdefault(r["root"], []).append(r["idx"])
+    assert {k: sorted(v) for k, v in got.items()} == {0: [0], 1: [1], 2: [2, 3, 4, 5], 3: [3, 4, 5], 4: [4, 5], 5: [5], 6: [6], 7: [7]}

@@ -69,6 +69,9 @@ def test_chains_through_renames(frame):
     links = frame([("w", 2, "b", "a"), ("w", 3, "c", "b")], "work string, version int, new_key string, old_key string")
     assert {(r["version"], r["key"]): r["chain_key"] for r in L.chains(s, links).collect()} == {(1, "a"): "a@1", (2, "b"): "a@1", (3, "c"): "a@1", (3, "a"): "a@3"}
 
+    skips = frame([("a", 0, "k"), ("a", 2, "k"), ("b", 0, "k"), ("b", 1, "k"), ("b", 2, "k")], "work string, version int, key string")
+    assert {r["chain_key"] for r in L.chains(skips, links.where("false")).collect()} == {"k@0"}
+
 
 def test_clause_match(frame):
     side = "idx int, number string, schedule string, text string"
