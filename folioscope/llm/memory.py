@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import pyarrow as pa
 
@@ -25,3 +26,10 @@ def trimmed(run):
             release()
 
     return wrapped
+
+
+def free_shuffles(spark) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more: it does so when the driver's garbage is
+    collected, which on its own may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -3,9 +3,9 @@
 d(x, y) = 1 - |x & y| / |x | y| is a metric, and documents link within a radius r. Sets that are equal are one class.
 
 Pivots and regions. Documents within r of each other share one of their rarest shingles (as many as a set can lose and
-still reach the similarity, and one more). Of the documents with a rare shingle the least is its pivot, and a pivot's
-region are the documents that have one of its rare shingles: every link lies in a region, and documents that share no
-rare shingle lie in none. Distances of a region's documents to the pivot are exact; those within r are links.
+still reach the similarity, and one more), and their sizes are within a step. Of the documents of two neighbouring steps
+with a rare shingle the least is its pivot, and a pivot's region are the documents that it is a pivot of: every link lies
+in a region, and documents that share no rare shingle with one of about their size lie in none. Distances of a region's documents to the pivot are exact; those within r are links.
 
 Windows. By the triangle inequality d(x, y) >= |d(x, p) - d(y, p)|, and d(x, y) >= 1 - min / max of the sizes. A region is
 cut into cells by rings of width r around its pivot and by steps of size; documents are at home in one cell and are
@@ -31,10 +31,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscope.llm.components import components
-from folioscope.llm.memory import trimmed
+from folioscope.llm.memory import free_shuffles, trimmed
 from folioscope.llm.shingles import mix, shingle_sets
 from folioscope.session import discard, materialize
 
@@ -191,23 +191,38 @@ class _Join:
         sketch = materialize(self.source.mapInArrow(trimmed(rare), "doc_id long, n_shingles long, k1 long, k2 long, rare array<long>"), "sketch")
         filled = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
         unique = filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("class"), F.first("rare").alias("rare"), F.first("n_shingles").alias("n_shingles"))
-        return sketch, materialize(unique, "unique")
+        unique = materialize(unique, "unique")
+        slim = materialize(sketch.drop("rare"), "sets")
+        discard(sketch)
+        free_shuffles(self.spark)
+        return slim, unique
+
+    def step(self) -> Column:
+        """A number for each size of a set; sets that link differ by one at most."""
+        return F.floor(F.log(F.col("n_shingles").cast("double")) / -math.log(self.percent / 100) + SLACK).cast("int")
 
     def regions(self, unique: DataFrame) -> DataFrame:
-        """(cell, class, n_shingles): the documents of each pivot's region (cell: the pivot), without the pivot."""
+        """(cell, class, n_shingles): the documents of each pivot's region (cell: the pivot), without the pivot.
+
+        A rare shingle's documents are first parted by size: a step's documents and the next step's have a pivot."""
         tokens = unique.select("class", "n_shingles", F.explode("rare").alias("token"))
-        pivots = materialize(tokens.groupBy("token").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot < last").select("token", "pivot"), "pivots")
-        held = tokens.join(pivots, "token").where("class <> pivot").groupBy(F.col("pivot").alias("cell"), "class").agg(F.max("n_shingles").alias("n_shingles"))
+        shared = materialize(tokens.groupBy("token").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("token"), "shared")
+        sized = tokens.join(shared, "token").select("token", "class", "n_shingles", F.explode(F.array(self.step(), self.step() - 1)).alias("step"))
+        sized = materialize(sized, "sized")
+        discard(shared)
+        pivots = materialize(sized.groupBy("token", "step").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot < last").drop("last"), "pivots")
+        held = sized.join(pivots, ["token", "step"]).where("class <> pivot").groupBy(F.col("pivot").alias("cell"), "class").agg(F.max("n_shingles").alias("n_shingles"))
         held = materialize(held, "regions")
-        discard(pivots)
+        for used in (pivots, sized):
+            discard(used)
+        free_shuffles(self.spark)
         return held
 
     def cells(self, members: DataFrame) -> DataFrame:
         """Cells (cell, class, home, comp, n_shingles, was) of regions (cell, class, comp, n_shingles, d).
 
         Documents none of whose windows has another component are done and left out."""
-        step = F.floor(F.log(F.col("n_shingles").cast("double")) / -math.log(self.percent / 100) + SLACK).cast("int")
-        placed = members.withColumn("ring", F.floor(F.col("d") / (self.radius + SLACK)).cast("int")).withColumn("step", step)
+        placed = members.withColumn("ring", F.floor(F.col("d") / (self.radius + SLACK)).cast("int")).withColumn("step", self.step())
         seen = placed.groupBy("cell", "ring", "step").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         near = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
         at = lambda pairs: F.array(*[F.struct((F.col("ring") + i).alias("ring"), (F.col("step") + j).alias("step")) for i, j in pairs])
@@ -270,6 +285,7 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     pivots_ = members.select("cell", F.col("cell").alias("class"), F.col("cell").alias("comp")).distinct()
     stars = join.meet(pivots_, members.select("cell", F.lit(1).alias("role"), "class", F.col("class").alias("comp")), texts, False)
     discard(texts)
+    free_shuffles(docs.sparkSession)
     links = stars.where("linked").select(F.col("class").alias("a"), F.col("anchor").alias("b"))
     # A doc_id that repeats with several sets joins their classes.
     filled = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "k1", "k2")
