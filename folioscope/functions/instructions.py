@@ -1,78 +1,8 @@
-"""Amending instructions: drafting forms to typed rows, and whether a change of wording is what one asks for.
-
-Rules of the common forms: "In section 4(1) of the Principal Act, for "x" substitute "y"", "after "x" insert "y"",
-"omit "x"", "insert at the end", "section 4 is repealed", "after section 4 insert ...", "for section 4 substitute ...".
-"""
+"""Whether a change of wording is what an amending instruction asks for (the instructions are read by `amending`)."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
-
-_KINDS = {"path": T.ArrayType(T.StringType()), "heading": T.BooleanType()}
-SCHEMA = T.ArrayType(T.StructType([T.StructField(n, _KINDS.get(n, T.StringType())) for n in ("action", "section", "path", "schedule", "heading", "old", "new")]))
-
-_PLACE = re.compile(r"(?P<kind>section|clause|Schedule)\s+(?P<number>\d+[A-Z]*)(?P<path>(?:\([^()]+\))*)", re.I)
-_QUOTED = r'"(?P<{0}>[^"]*)"'
-#: Drafting forms in the order they are tried: action and pattern of an operation.
-FORMS = [
-    ("substitute_words", re.compile(rf"for\s+{_QUOTED.format('old')}\s+(?:\(.*?\)\s+)?substitute\s+{_QUOTED.format('new')}", re.I)),
-    ("insert_after_words", re.compile(rf"after\s+{_QUOTED.format('old')}\s+insert\s+{_QUOTED.format('new')}", re.I)),
-    ("insert_before_words", re.compile(rf"before\s+{_QUOTED.format('old')}\s+insert\s+{_QUOTED.format('new')}", re.I)),
-    ("omit_words", re.compile(rf"(?:omit|delete)\s+{_QUOTED.format('old')}", re.I)),
-    ("insert_at_end", re.compile(rf"at the end(?: of .*?)?,?\s+insert\s*(?:{_QUOTED.format('new')})?", re.I)),
-    ("insert_provision", re.compile(r"after\s+(?:sub)?(?:section|clause|paragraph)\s+\S+\s+insert", re.I)),
-    ("substitute_provision", re.compile(r"for\s+(?:sub)?(?:section|clause|paragraph)\s+\S+\s+substitute", re.I)),
-    ("repeal", re.compile(r"(?:is|are)\s+(?:repealed|revoked)|\brepeal\b", re.I)),
-    ("renumber", re.compile(r"(?:is|are)\s+re-?numbered", re.I)),
-]
-
-
-def split_operations(text: str) -> list[str]:
-    """Operations of one instruction: parts between ";" or " and " before a verb, never inside quotes."""
-    out, start, quoted, i = [], 0, False, 0
-    while i < len(text):
-        if text[i] == '"':
-            quoted = not quoted
-        elif not quoted and text[i] == ";":
-            out.append(text[start:i])
-            start = i + 1
-        i += 1
-    return [p.strip() for p in [*out, text[start:]] if p.strip()]
-
-
-def read(text: str | None) -> list[dict]:
-    """Typed operations of an instruction; the place carries from one operation to the next."""
-    plain = re.sub(r"\s+", " ", (text or "").translate(str.maketrans("‘’“”–—", "''\"\"--")))
-    out: list[dict] = []
-    place = {"section": None, "path": [], "schedule": None}
-    for op in split_operations(plain):
-        bare = re.sub(r'"[^"]*"', lambda m: '"' + "x" * (len(m.group()) - 2) + '"', op)
-        m = _PLACE.search(bare)
-        if m:
-            path = re.findall(r"\(([^()]+)\)", m["path"])
-            place = {"section": None if m["kind"].lower() == "schedule" else m["number"], "schedule": m["number"] if m["kind"].lower() == "schedule" else None, "path": path}
-        for action, form in FORMS:
-            f = form.search(op)
-            if f:
-                g = f.groupdict()
-                out.append({"action": action, **place, "heading": bool(re.search(r"\bheading\b", bare, re.I)), "old": g.get("old"), "new": g.get("new")})
-                break
-    return out
-
-
-@F.pandas_udf(SCHEMA)
-def _read(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in parts:
-        yield s.map(read)
-
-
-def read_instructions(rows: DataFrame, text: str = "text") -> DataFrame:
-    """One row an operation, in order (`op_no` from 0), with the other columns of `rows`."""
-    return rows.select(*(c for c in rows.columns if c != text), F.posexplode(_read(F.col(text))).alias("op_no", "op")).select("*", "op.*").drop("op")
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def made(action: Column, old: Column, new: Column, before: Column, after: Column) -> Column:
@@ -81,12 +11,12 @@ def made(action: Column, old: Column, new: Column, before: Column, after: Column
     b, a = F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))
     came, went = count(a, new) > count(b, new), count(a, old) < count(b, old)
     return (
-        F.when(action == "substitute_words", came & went)
-        .when(action.isin("insert_after_words", "insert_before_words"), came)
-        .when(action == "omit_words", went)
+        F.when(action.isin("substitute_words", "substitute"), came & went)
+        .when(action.isin("insert_after_words", "insert_before_words", "insert_after", "insert_before"), came)
+        .when(action.isin("omit_words", "omit"), went)
         .when(action == "insert_at_end", came if new is not None else F.lit(False))
         .when(action == "repeal", (F.length(b) > 0) & (F.length(a) == 0))
-        .when(action.isin("insert_provision", "substitute_provision"), b != a)
+        .when(action.isin("insert_provision", "substitute_provision", "replace_provision", "insert_section"), b != a)
         .otherwise(F.lit(False))
     )
 

@@ -1,5 +1,5 @@
-"""Printed lines to nodes, document by document: a line's class depends on what is open above it, so each document is
-one group; documents are independent. Input lines: doc, line_no, text, page, x0, x1, y0, size, bold."""
+"""Printed lines: numbers, pages, rows, paragraphs, memoranda and endnotes, and the nodes of plain lines. The reader of
+whole statutes is `statutes`. Input lines: doc, line_no, text, page, x0, x1, y0, size, bold."""
 
 from __future__ import annotations
 
@@ -8,13 +8,6 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-NODE = "doc long, idx int, type string, number string, heading string, text string, page_start int, page_end int, first_line int, n_lines int"
-LEVELS = ["chapter", "part", "division", "subdivision", "section", "subsection", "paragraph", "subparagraph", "sub_subparagraph"]
-_HEADING = re.compile(r"^(Chapter|Part|Division|Subdivision|Schedule)\s+([0-9]+[A-Z]*(?:\.[0-9]+)?)\s*[—-]?\s*(.*)$", re.I)
-_SECTION = re.compile(r"^(\d+[A-Z]*)\s+(\S.*)$")
-_BRACKET = re.compile(r"^\(([0-9]+[A-Z]*|[a-z]{1,6}|[A-Z]{1,4})\)\s*(.*)$")
-_MARK = re.compile(r"^(Notes?|Examples?|Penalty)\b:?\s*(.*)$")
-_STARS = re.compile(r"^(?:\*\s*){3,}$")
 _ROMAN = (("m", 1000), ("cm", 900), ("d", 500), ("cd", 400), ("c", 100), ("xc", 90), ("l", 50), ("xl", 40), ("x", 10), ("ix", 9), ("v", 5), ("iv", 4), ("i", 1))
 
 
@@ -65,62 +58,21 @@ def bracket_level(content: str, open_: dict[str, str]) -> str:
     return "subparagraph" if roman == 1 and last_letter is not None else "paragraph"
 
 
-def _parse(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("line_no")
-    nodes: list[dict] = []
-    open_: dict[str, str] = {}
-    marked = False
-
-    def start(kind: str, number, heading, text: str, r) -> None:
-        nodes.append({"type": kind, "number": number, "heading": heading, "text": text, "page_start": r.page, "page_end": r.page, "first_line": r.line_no, "n_lines": 1})
-        if kind in LEVELS:
-            for deeper in LEVELS[LEVELS.index(kind) :]:
-                open_.pop(deeper, None)
-            open_[kind] = number
-
-    for r in rows.itertuples():
-        text = (r.text or "").strip()
-        if m := _STARS.match(text):
-            start("repealed", None, None, text, r)
-        elif (m := _HEADING.match(text)) and r.bold:
-            start(m[1].lower(), m[2], m[3] or None, "", r)
-            marked = False
-        elif (m := _SECTION.match(text)) and r.bold:
-            start("section", m[1], m[2], "", r)
-            marked = False
-        elif m := _MARK.match(text):
-            kind = m[1].lower().rstrip("s")
-            start(kind, None, None, m[2], r)
-            marked = kind != "penalty"
-        elif m := _BRACKET.match(text):
-            start(bracket_level(m[1], open_), m[1], None, m[2], r)
-            marked = False
-        elif r.bold and text and not marked:
-            start("heading_group", None, text, "", r)
-        elif nodes:
-            n = nodes[-1]
-            joined = n["text"]
-            close = joined.endswith("-") and text[:1].islower()
-            n["text"] = (joined + text) if close else f"{joined} {text}".strip()
-            n["page_end"], n["n_lines"] = r.page, n["n_lines"] + 1
-        else:
-            start("front", None, None, text, r)
-    out = pd.DataFrame(nodes, columns=["type", "number", "heading", "text", "page_start", "page_end", "first_line", "n_lines"])
-    out.insert(0, "idx", range(len(out)))
-    out.insert(0, "doc", rows.doc.iloc[0])
-    return out
-
-
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Flat typed nodes in document order. Every line is part of exactly one node."""
-    return lines.select("doc", "line_no", "text", "page", "bold").groupBy("doc").applyInPandas(_parse, NODE)
+    """Flat typed nodes in document order from words and boldness alone (`statutes` also reads the lines' places). A
+    line belongs to one node at most; blank lines to none."""
+    from folioscope.operators.statutes import nodes_of, tag_lines
+
+    plain = lines.select("doc", "line_no", "text", "page", "bold")
+    n = nodes_of(tag_lines(plain), plain)
+    return n.select(F.col("doc").cast("long").alias("doc"), F.col("idx").cast("int").alias("idx"), "type", "number", "heading", F.coalesce("text", F.lit("")).alias("text"), "page_start", "page_end", F.col("first_line").cast("int").alias("first_line"), F.col("n_lines").cast("int").alias("n_lines"))
 
 
 def diagnostics(nodes: DataFrame, lines: DataFrame) -> DataFrame:
     """Findings (doc, severity, category, message, idx): unread lines are errors, repeated numbers and empty provisions
     warnings."""
     read = nodes.groupBy("doc").agg(F.sum("n_lines").alias("read"))
-    had = lines.groupBy("doc").agg(F.count("*").alias("had"))
+    had = lines.where(F.trim("text") != "").groupBy("doc").agg(F.count("*").alias("had"))
     lost = had.join(read, "doc", "left").where("coalesce(read, 0) <> had").select("doc", F.lit("error").alias("severity"), F.lit("incomplete").alias("category"), F.concat(F.coalesce(F.col("read"), F.lit(0)).cast("string"), F.lit(" of "), F.col("had").cast("string"), F.lit(" lines read")).alias("message"), F.lit(None).cast("int").alias("idx"))
     w = Window.partitionBy("doc", "type", "number").orderBy("idx")
     again = nodes.where("type = 'section'").withColumn("n", F.row_number().over(w)).where("n > 1").select("doc", F.lit("warning").alias("severity"), F.lit("duplicate_number").alias("category"), F.concat(F.lit("section "), "number", F.lit(" again")).alias("message"), "idx")

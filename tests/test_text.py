@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.functions.diff import diff_markup, is_reordering, node_diff, side_text, spans, word_diff
 from folioscope.functions.html import main_text, main_text_of, sanitise
-from folioscope.functions.instructions import match_instructions, read
+from folioscope.functions.instructions import match_instructions
 
 
 def one(spark, column):
@@ -81,9 +81,6 @@ def test_html(spark):
 
 
 def test_instructions(frame):
-    ops = read("In section 4(1)(a) of the Principal Act, for “old; words” substitute “new”; omit “x”.")
-    assert [(o["action"], o["section"], o["path"], o["old"], o["new"]) for o in ops] == [("substitute_words", "4", ["1", "a"], "old; words", "new"), ("omit_words", "4", ["1", "a"], "x", None)]
-    assert read("Section 12 of the Principal Act is repealed.")[0]["action"] == "repeal" and read(None) == []
     ins = frame([(1, "4", "substitute_words", "old", "new"), (2, "4", "insert_after_words", "a", "far"), (3, "9", "omit_words", "zz", None), (4, "5", "insert_at_end", None, "there")], "id int, section string, action string, old string, new string")
     ch = frame([("4", "the old law", "the new law"), ("7", "b", "b far"), ("5", "there", "there x")], "section string, before string, after string")
     assert {r["id"]: r["status"] for r in match_instructions(ins, ch).collect()} == {1: "matched", 2: "elsewhere", 3: "not_found", 4: "earlier"}
