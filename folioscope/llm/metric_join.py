@@ -2,10 +2,11 @@
 
 d(x, y) = 1 - |x & y| / |x | y| is a metric, and documents link within a radius r. Sets that are equal are one class.
 
-Pivots and regions. Documents within r of each other share one of their rarest shingles (as many as a set can lose and
-still reach the similarity, and one more), and their sizes are within a step. Of the documents of two neighbouring steps
+Pivots and regions. Documents within r of each other share some of their rarest shingles (as many as a set can lose and
+still reach the similarity, and a few more), and their sizes are within a step. Of the documents of two neighbouring steps
 with a rare shingle the least is its pivot, and a pivot's region are the documents that it is a pivot of: every link lies
-in a region, and documents that share no rare shingle with one of about their size lie in none. Distances of a region's documents to the pivot are exact; those within r are links.
+in a region, and documents that share no rare shingle with one of about their size lie in none. As linked sets share
+more than a few, a document leaves the regions in which it has only a few shingles by chance. Distances of a region's documents to the pivot are exact; those within r are links.
 
 Windows. By the triangle inequality d(x, y) >= |d(x, p) - d(y, p)|, and d(x, y) >= 1 - min / max of the sizes. A region is
 cut into cells by rings of width r around its pivot and by steps of size; documents are at home in one cell and are
@@ -31,7 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioscope.llm.components import components
 from folioscope.llm.memory import free_shuffles, trimmed
@@ -44,6 +45,8 @@ PERCENT = 85
 COUNTERS = 1 << 22
 #: A task tells only of buckets with so many holders and so many times its mean.
 LEAST_COUNT, TIMES_MEAN = 8, 4
+#: Rare shingles beyond those that a set can lose, in percent of it: so many that linked sets share more than a few.
+SPARE = 5
 #: Documents that meet one copy of their cell's anchors.
 CHUNK = 256
 #: A cell is small, and a block complete, with so many documents at home and so many shingles in them.
@@ -84,6 +87,11 @@ def _ranks(docs: DataFrame, width: int) -> bytes:
     return zlib.compress(table.tobytes(), 1)
 
 
+def spare(n: int) -> int:
+    """How many rare shingles a set shares at least with another that it links with and that is no smaller."""
+    return max(1, n * SPARE // 100)
+
+
 def _sketch(width: int, percent: int, packed: bytes):
     """A row a document: the size and 128-bit sum of its set, and its rarest shingles."""
 
@@ -96,7 +104,7 @@ def _sketch(width: int, percent: int, packed: bytes):
                 for i, s in enumerate(sets):
                     k1[i], k2[i] = mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)
                     order = ranks[(s >> np.uint64(64 - 22)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | s >> np.uint64(6)
-                    most = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
+                    most = len(s) - (percent * len(s) + 99) // 100 + spare(len(s)) if len(s) else 0
                     rare.append(np.sort(np.partition(order, most - 1)[:most] if 0 < most < len(order) else order).view(np.int64))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(start, len(n)), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(rare, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "k1", "k2", "rare"])
 
@@ -211,7 +219,14 @@ class _Join:
         sized = materialize(sized, "sized")
         discard(shared)
         pivots = materialize(sized.groupBy("token", "step").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot < last").drop("last"), "pivots")
-        held = sized.join(pivots, ["token", "step"]).where("class <> pivot").groupBy(F.col("pivot").alias("cell"), "class").agg(F.max("n_shingles").alias("n_shingles"))
+        counted = sized.join(pivots, ["token", "step"]).groupBy("pivot", "step", "class").agg(F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"))
+        # Linked sets share at least `least` rare shingles. Each gives up its smallest regions while these have less than
+        # half of that, so that one shared shingle's region at least is kept by both. A pivot keeps its own.
+        smaller = F.ceil(F.col("n_shingles") * self.percent / 100).cast("long")
+        least = F.greatest(F.lit(1), F.floor(smaller * SPARE / 100))
+        ordered = Window.partitionBy("class", "step").orderBy((F.col("class") == F.col("pivot")), "n", "pivot")
+        kept = counted.withColumn("sum", F.sum("n").over(ordered)).where((F.col("class") == F.col("pivot")) | (2 * F.col("sum") >= least))
+        held = kept.where("class <> pivot").groupBy(F.col("pivot").alias("cell"), "class").agg(F.max("n_shingles").alias("n_shingles"))
         held = materialize(held, "regions")
         for used in (pivots, sized):
             discard(used)

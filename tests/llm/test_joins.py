@@ -82,6 +82,24 @@ def test_cut_cells_recurse(spark, monkeypatch):
     assert sorted(((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(rows) and len(rounds) > 1
 
 
+def test_long_documents_with_chance_shingles(spark):
+    """Few words, so that documents of one length share rare shingles by chance; families near the threshold."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(9)]
+    rows = []
+    for k in range(14):
+        base = [rnd.choice(words) for _ in range(rnd.choice([300, 500, 900]))]
+        for j in range(5):
+            own = list(base)
+            for _ in range(rnd.randint(0, len(base) // 40)):
+                own[rnd.randrange(len(own))] = rnd.choice([*words, f"n{rnd.randint(0, 99)}"])
+            rows.append((k * 10 + j, " ".join(own[: len(own) - rnd.randint(0, len(own) // 20)])))
+    got = metric_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    expected = brute_components(rows)
+    assert sorted(((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got), key=str) == expected
+    assert 14 < len({c for *_, c in expected}) < 60
+
+
 def test_anchors_count_shared():
     rnd = np.random.default_rng(1)
     sets = [np.unique(rnd.integers(0, 50, n).astype(np.uint64)) for n in (1, 5, 40, 80)]
