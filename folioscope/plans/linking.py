@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.operators import linking as K
+from folioscope.operators import links as M
 from folioscope.plans import query
 from folioscope.session import table
 
@@ -158,3 +159,34 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pairs = consecutive_texts(spark, sf_dir)
     return pairs.select("doc_id", F.round(similarity(F.col("old"), F.col("text")), 6).alias("similarity"))
+
+
+def mention_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with a few references behind them, the two words each of them opens with as its term, and what references
+    lead to. Every third document stands under a lead-in of another Act."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).alias("idx"), "text", "lang")
+    n = F.pmod("doc", F.lit(9)).cast("string")
+    more = F.concat(F.lit("\nSee section "), n, F.lit("(1), Part "), n, F.lit(" and the "), F.initcap("lang"), F.lit(" Roads Act 1986."))
+    texts = d.withColumn("text", F.concat("text", more)).withColumn("scope", F.when(F.col("doc") % 3 == 0, "En Roads Act 1986")).drop("lang")
+    terms = d.select("doc", F.regexp_extract("text", r"(?U)\w+ \w+", 0).alias("term"))
+    own = terms.where("term <> ''").select(F.col("doc").cast("string").alias("owner"), F.lit("term").alias("kind"), F.lower("term").alias("key"), F.lit("#term").alias("target"))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(5))).alias("n")
+    parts = d.select(F.col("doc").cast("string").alias("owner"), F.explode(F.array(F.lit("section"), F.lit("part"))).alias("kind"), numbers).select("owner", "kind", F.col("n").cast("string").alias("key"), F.concat(F.lit("#"), "kind", "n").alias("target"))
+    acts = table(spark, sf_dir, "documents").select(F.concat(F.lower("lang"), F.lit(" roads act 1986")).alias("title")).where("title IS NOT NULL").distinct()
+    others = acts.select(F.lit("").alias("owner"), F.lit("act").alias("kind"), F.col("title").alias("key"), F.concat(F.lit("/"), F.replace("title", F.lit(" "), F.lit("-"))).alias("target"))
+    abroad = acts.select(F.col("title").alias("owner"), F.lit("section").alias("kind"), numbers, "title").select("owner", "kind", F.col("n").cast("string").alias("key"), F.concat(F.lit("/"), F.replace("title", F.lit(" "), F.lit("-")), F.lit("#section"), "n").alias("target"))
+    return texts, terms, own.union(parts).union(others).union(abroad)
+
+
+@query(None)
+def document_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms, sections, Parts and Acts that whole documents mention, with what they lead to."""
+    texts, terms, targets = mention_texts(spark, sf_dir)
+    return M.resolved(M.mentions(texts, terms), targets, texts.where("scope IS NOT NULL"))
+
+
+@query(None)
+def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as HTML with their links."""
+    texts, terms, targets = mention_texts(spark, sf_dir)
+    return M.linked(texts, M.resolved(M.mentions(texts, terms), targets, texts.where("scope IS NOT NULL")))
