@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.functions import diff as D
 from folioscope.operators import delta as X
+from folioscope.operators import inheritance as H
 from folioscope.operators import lineage as L
 from folioscope.plans import query
 from folioscope.session import table
@@ -85,6 +86,37 @@ def nearest_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.review_status(s, s.where("(work + version) % 3 = 0").select("work", "key", "version"))
 
 
+_REVIEWED = """WITH @STATES@, m AS (SELECT *, dense_rank() OVER (PARTITION BY work ORDER BY version) AS place FROM states),
+c AS (SELECT *, CASE WHEN coalesce(lag(place) OVER w + 1 <> place, true) OR lag(text_hash) OVER w IS DISTINCT FROM text_hash THEN 1 ELSE 0 END AS c FROM m WINDOW w AS (PARTITION BY work, key ORDER BY version)),
+g AS (SELECT *, sum(c) OVER (PARTITION BY work, key ORDER BY version) AS run, (work + version) % 3 = 0 AS rev FROM c),
+f AS (SELECT *, first_value(CASE WHEN rev THEN version END IGNORE NULLS) OVER (PARTITION BY work, key, run ORDER BY version ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS newer,
+last_value(CASE WHEN rev THEN version END IGNORE NULLS) OVER (PARTITION BY work, key, run ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS older, lead(version) OVER (PARTITION BY work, key, run ORDER BY version) AS nxt FROM g)
+SELECT work, key, version, CASE WHEN rev THEN 'reviewed' WHEN coalesce(newer, older) IS NOT NULL THEN 'inherits' WHEN nxt IS NOT NULL THEN 'follows' ELSE 'to_review' END AS status,
+CASE WHEN rev THEN version ELSE coalesce(newer, older, nxt) END AS source FROM f""".replace("@STATES@", STATES)
+#: Pieces of a unit: what happened in the version to the work, letter by letter of the unit's key.
+PIECES = """pieces AS (SELECT DISTINCT user_id AS work, (event_id % 5)::INT AS version, event_type AS key, (event_id % 3)::VARCHAR AS piece FROM events)"""
+
+
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("work"), (F.col("event_id") % 5).cast("int").alias("version"), F.col("event_type").alias("key"), (F.col("event_id") % 3).cast("string").alias("piece")).distinct()
+
+
+@query(f"""WITH s AS ({_REVIEWED}), {PIECES}, m AS (SELECT work, version, key, array_to_string(list_sort(list(piece)), ',') AS p FROM pieces GROUP BY ALL)
+SELECT s.work, s.key, s.version, CASE WHEN r THEN 'to_review' ELSE s.status END AS status, CASE WHEN NOT r THEN s.source END AS source FROM (
+SELECT s.*, s.status = 'inherits' AND (a.p IS DISTINCT FROM b.p OR s.work % 7 = 0) AS r FROM s LEFT JOIN m a ON a.work = s.work AND a.version = s.version AND a.key = s.key LEFT JOIN m b ON b.work = s.work AND b.version = s.source AND b.key = s.key) s""")
+def inheritance_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews are lent between units of the same pieces alone; every seventh work's units are edited."""
+    s, p = nearest_reviewed(spark, sf_dir), pieces(spark, sf_dir)
+    return H.guarded(s, p, p.where("work % 7 = 0").select("work", "version", "key"))
+
+
+@query(f"""WITH {PIECES} SELECT work, version, key, count(*) AS pieces, count(*) FILTER (WHERE (work + version) % 3 = 0 OR piece = '0') AS covered,
+count(*) FILTER (WHERE (work + version) % 3 = 0 OR piece = '0') > 0 AND (bool_and((work + version) % 3 = 0 OR piece = '0') OR version = 1) AS reviewed, bool_or(piece = '2' AND work % 2 = 0) AS blocked FROM pieces GROUP BY work, version, key""")
+def unit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pieces(spark, sf_dir)
+    return H.unit_coverage(p, p.where("(work + version) % 3 = 0 OR piece = '0'"), p.where("version = 1"), p.where("piece = '2' AND work % 2 = 0"))
+
+
 @query(f"WITH {STATES} SELECT work, max(version) AS version FROM states GROUP BY work")
 def current_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.current_versions(states(spark, sf_dir))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from folioscope.functions import offsets as O
 from folioscope.functions import text as T
 from folioscope.plans import query
 from folioscope.session import table
@@ -128,3 +129,18 @@ def definition_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.when(n % 4 == 0, "In this Part—").when(n % 4 == 1, "in this act").otherwise("In that Part")
     name = F.when(k % 3 == 0, F.concat(F.lit("sch1/"), F.when(k % 2 == 0, "item").otherwise("s"), n.cast("string"), F.lit("/p2"))).otherwise(F.concat(F.lit("pt1/s"), n.cast("string")))
     return table(spark, sf_dir, "customer").select("c_custkey", T.is_definition_start(line).alias("starts"), T.looks_like_definitions(F.when(k % 2 == 0, "Definitions").otherwise("Purposes")).alias("looks"), T.definition_scope(lead).alias("scope"), canonical(name).alias("name"))
+
+
+@query("""WITH d AS (SELECT doc_id, text, len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 120)) > 0 AS wide FROM documents),
+r AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s*\\n\\s*', CASE WHEN wide THEN chr(10) || chr(10) ELSE ' ' END, 'g'), '^\\s+|\\s+$', '', 'g') AS shown FROM d)
+SELECT doc_id, md5(shown) AS shown, length(shown) AS n, true AS back, substring(shown, length(shown) // 2 + 1, 1) AS middle FROM r""")
+def reflowed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as they are shown; the place of the middle letter is mapped to the stored text and back."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", O.reflowed(F.col("text")).alias("m"))
+    n = F.length("m.text")
+    d = d.withColumn("at", F.floor(n / 2).cast("int")).withColumn("raw", O.to_stored(F.col("m"), F.col("at")))
+    back = O.to_shown(F.col("m"), F.col("raw"))
+    shown = F.substring(F.col("m.text"), F.col("at") + 1, F.lit(1))
+    blank = shown.rlike(r"(?U)^\s$")
+    same = F.when(blank, back <= F.col("at")).otherwise((back == F.col("at")) & (F.substring(F.col("text"), F.col("raw") + 1, F.lit(1)) == shown))
+    return d.select("doc_id", F.md5("m.text").alias("shown"), n.cast("long").alias("n"), same.alias("back"), shown.alias("middle"))
