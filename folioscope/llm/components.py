@@ -19,7 +19,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         new = joined.where("w > c").select(F.col("w").alias("u"), F.col("m").alias("v"))
     else:
         new = joined.select(F.col("w").alias("u"), F.col("m").alias("v")).union(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
-    return new.where("u > v").distinct()
+    # What repeats after a large star goes with the small one that follows.
+    return new.where("u > v") if large else new.where("u > v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

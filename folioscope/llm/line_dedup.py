@@ -1,16 +1,16 @@
 """Repeated passages: documents are aligned pair by pair and aligned common blocks leave the later document.
 
-Documents overlap where they share rare lines. A line shared by a few documents pairs them all; a line shared by more
-pairs each of them with the first alone, which keeps the pairs of a line in proportion to its documents. Each pair is aligned by patience diff on line hashes: lines that occur
-once in both are matched in their longest common order, and runs between matches are aligned again. An aligned block
-of at least a few words is deleted from the document with the larger doc_id.
-
-What the pairs leave is found exactly, without pairs: every shortest run of lines that reaches the words of a block is
-hashed, from each line forward and from each line back, and leaves each document after the first that holds it. Each
-line of a common block lies in such a run inside the block, so no block that any earlier document has stays, in
-whatever order, however often and in however many documents it stands, and however short its lines are. Lines and runs
-are told apart by 64-bit hashes of their bytes (a polynomial modulo 2**64, mixed): chance collisions don't matter at any
-size of corpus, but lines built to collide could pass as equal.
+Documents overlap where they share rare lines, or a run of lines. A line that a few documents have pairs them all. Every
+shortest run of lines that reaches the words of a block is hashed, from each line forward and from each line back, and
+pairs each document that has it with the first that has; so every block of a document that an earlier one has is in some
+pair, however often and in however many documents it stands, and pairs stay in proportion to lines.
+
+Each pair is aligned by patience diff on line hashes: lines that occur once in both are matched in their longest common
+order, and runs between matches are aligned again. An aligned block of at least a few words is deleted from the document
+with the larger doc_id. A run that named the pair and that this alignment left (it stands in another order, or has no
+line that is unique in both) is aligned by itself with its place in the earlier document. Nothing is deleted but what an
+alignment of a pair matched. Lines and runs are told apart by 64-bit hashes of their bytes (a polynomial modulo 2**64,
+mixed): chance collisions don't matter at any size of corpus, but lines built to collide could pass as equal.
 """
 
 from __future__ import annotations
@@ -91,6 +91,23 @@ def common_lines(a: list, b: list, words: list[int], least: int = BLOCK_WORDS) -
     return out
 
 
+def named_runs(a: list, b: list, words: list[int], runs: list[tuple[int, int]], least: int = BLOCK_WORDS) -> list[int]:
+    """Positions in `b` to delete: aligned blocks, and of the runs (first and last position in `b`, of at least `least`
+    words) those left by them, each aligned by itself with its first place in `a`."""
+    out = set(common_lines(a, b, words, least))
+    left = [(i, j) for i, j in runs if not out.issuperset(range(i, j + 1))]
+    if left:
+        places: dict = {}
+        for k, h in enumerate(a):
+            places.setdefault(h, []).append(k)
+        for i, j in left:
+            run = b[i : j + 1]
+            at = next((k for k in places.get(run[0], ()) if a[k : k + len(run)] == run), None)
+            if at is not None:
+                out.update(i + k for k in common_lines(a[at : at + len(run)], run, words[i : j + 1], least))
+    return sorted(out)
+
+
 def _line_table(batches):
     """One row a document: numbers, hashes and word counts of its lines that have words."""
     names = ["doc_id", "text_hash", "lines", "hashes", "words"]
@@ -156,34 +173,40 @@ def repeated_lines(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     enough = F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= LINE_WORDS)
     # A line counts once a text, however often it stands there.
     lines = tables.select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform(enough, lambda x: x["hashes"]))).alias("hash"))
-    holders = lines.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
-    holders = materialize(holders, "holders")  # joined from a table, a hot line can be split
-    held = lines.select("doc_id", "text_hash", "hash").join(holders, "hash")
-    stars = held.where("doc_id > first").select("doc_id", "text_hash", F.col("first").alias("earlier"))
-    rare = held.where(F.col("n") <= RARE).select("hash", "doc_id", "text_hash")
-    few = rare.alias("l").join(rare.select("hash", F.col("doc_id").alias("earlier")).alias("e"), "hash").where("earlier < doc_id").select("doc_id", "text_hash", "earlier")
-    pairs = materialize(stars.union(few).distinct(), "pairs")
+    holders = lines.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where(f"first < last AND n <= {RARE}").select("hash")
+    holders = materialize(holders, "holders")
+    rare = lines.join(holders, "hash")
+    few = rare.alias("l").join(rare.select("hash", F.col("doc_id").alias("earlier")).alias("e"), "hash").where("earlier < doc_id").select("doc_id", "text_hash", "earlier").distinct()
+    runs = materialize(tables.mapInArrow(trimmed(_runs(least)), "doc_id long, text_hash long, hash long, lines array<int>"), "runs")
+    # Joined from a table, a hot run can be split.
+    firsts = materialize(runs.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first"), "firsts")
+    span = F.struct(F.element_at("lines", 1).alias("lo"), F.element_at("lines", -1).alias("hi"))
+    named = runs.join(firsts, "hash").where("doc_id > first").select("doc_id", "text_hash", F.col("first").alias("earlier"), span.alias("run"))
+    pairs = named.union(few.select("*", F.lit(None).cast("struct<lo:int,hi:int>").alias("run"))).groupBy("doc_id", "text_hash", "earlier").agg(F.collect_set("run").alias("runs"))
+    pairs = materialize(pairs, "pairs")
     later = tables.select("doc_id", "text_hash", F.col("lines").alias("b_lines"), F.col("hashes").alias("b"), F.col("words").alias("b_words"))
     earlier = tables.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("a")).distinct()
     both = pairs.join(earlier, "earlier").join(later, ["doc_id", "text_hash"])
 
     def align(batches):
-        for b in batches:
-            ids, hashes, lists = [], [], []
-            for k in range(b.num_rows):
-                at = common_lines(b.column("a")[k].as_py(), b.column("b")[k].as_py(), b.column("b_words")[k].as_py(), least)
+        for batch in batches:
+            cells = {c: (np.asarray(batch.column(c).offsets), batch.column(c).values.to_numpy(zero_copy_only=False)) for c in ("a", "b", "b_lines", "b_words")}
+            spans = batch.column("runs")
+            span_at, lo, hi = np.asarray(spans.offsets), *(spans.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            own = lambda c, k: cells[c][1][cells[c][0][k] : cells[c][0][k + 1]]
+            rows, lists = [], []
+            for k in range(batch.num_rows):
+                numbers, part = own("b_lines", k), slice(span_at[k], span_at[k + 1])
+                first, last = np.searchsorted(numbers, lo[part]).tolist(), np.searchsorted(numbers, hi[part]).tolist()
+                at = named_runs(own("a", k).tolist(), own("b", k).tolist(), own("b_words", k).tolist(), sorted(zip(first, last)), least)
                 if at:
-                    numbers = b.column("b_lines")[k].as_py()
-                    ids.append(b.column("doc_id")[k].as_py())
-                    hashes.append(b.column("text_hash")[k].as_py())
-                    lists.append([numbers[j] for j in at])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "lines"])
+                    rows.append(k)
+                    lists.append(numbers[at])
+            owner = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(owner), batch.column("text_hash").take(owner), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "lines"])
 
-    aligned = both.select("doc_id", "text_hash", "a", "b", "b_lines", "b_words").mapInArrow(trimmed(align), "doc_id long, text_hash long, lines array<int>")
-    runs = materialize(tables.mapInArrow(trimmed(_runs(least)), "doc_id long, text_hash long, hash long, lines array<int>"), "runs")
-    firsts = materialize(runs.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first"), "firsts")
-    left = runs.join(firsts, "hash").where("doc_id > first").select("doc_id", "text_hash", "lines")
-    found = aligned.union(left).select("doc_id", "text_hash", F.explode("lines").alias("line")).distinct().groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    aligned = both.select("doc_id", "text_hash", "a", "b", "b_lines", "b_words", "runs").mapInArrow(trimmed(align), "doc_id long, text_hash long, lines array<int>")
+    found = aligned.select("doc_id", "text_hash", F.explode("lines").alias("line")).distinct().groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     out = materialize(found, "repeated")
     for used in (firsts, runs, pairs, holders, tables):
         discard(used)

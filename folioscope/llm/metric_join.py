@@ -309,18 +309,23 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     links = links.union(own.where("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b")))
     comp = components(links)
 
-    def with_comp(rows: DataFrame) -> DataFrame:
-        return rows.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
+    def with_comp(rows: DataFrame, column: str = "class", name: str = "comp") -> DataFrame:
+        return rows.join(comp.select(F.col("node").alias(column), "component"), column, "left").withColumn(name, F.coalesce("component", column)).drop("component")
 
     distances = stars.groupBy("cell", "class").agg(F.min("d").alias("d"))
     cells = join.cells(with_comp(members.join(distances, ["cell", "class"])))
     while cells is not None:
         more, cells = join.within(cells)
-        links = links.union(more)
+        more = materialize(with_comp(with_comp(more, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct(), "more")
+        if not more.isEmpty():
+            # New links join components: a small graph, whose components take in the old ones.
+            above = materialize(components(more), "above").select(F.col("node").alias("component"), F.col("component").alias("__top"))
+            old = comp.join(above, "component", "left").select("node", F.coalesce("__top", "component").alias("component"))
+            new = above.select(F.col("component").alias("node"), F.col("__top").alias("component")).join(comp.select("node"), "node", "left_anti")
+            comp = materialize(old.union(new), "components")
         if cells is not None:
-            comp = components(links)
             cells = with_comp(cells)
-    final = components(links)
+    final = comp
     named = unique.select("k1", "k2", "class").join(final.withColumnRenamed("node", "class"), "class", "left").select("k1", "k2", F.coalesce("component", "class").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))

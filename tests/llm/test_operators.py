@@ -195,6 +195,29 @@ def test_short_lines(spark):
     assert got == {2: [*range(40)], 4: [*range(2, 42)]} == brute_repeats(texts)
 
 
+def test_alignment_decides(spark, monkeypatch):
+    """All that patience diff of any two documents aligns leaves, all blocks leave, and without alignment nothing does."""
+    rnd = random.Random(9)
+    lines = [" ".join(f"l{k}w{i}" for i in range(rnd.choice([2, 4, 9]))) for k in range(14)]
+    texts = {i: "\n".join(rnd.choice(lines) if rnd.random() < 0.8 else f"own {i} {j}" for j in range(rnd.randint(1, 12))) for i in range(40)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["lines"] for r in line_dedup.repeated_lines(d).collect()}
+    assert got == brute_repeats(texts)
+    cut = {i: t.split("\n") for i, t in texts.items()}
+    for b in cut:
+        for a in range(b):
+            assert {*line_dedup.common_lines(cut[a], cut[b], [len(x.split()) for x in cut[b]])} <= {*got.get(b, [])}
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    assert line_dedup.named_runs(["x"] * 9, ["x"] * 9, [1] * 9, [(0, 8)]) == []
+
+
+def test_named_runs():
+    a, b = list("pqrsXYZ"), list("XYZpqrs")
+    assert line_dedup.common_lines(a, b, [2] * 7) == [3, 4, 5, 6]
+    assert line_dedup.named_runs(a, b, [2] * 7, [(0, 2), (3, 6)], 6) == [0, 1, 2, 3, 4, 5, 6]
+    assert line_dedup.named_runs(a, b, [2] * 7, [], 6) == [3, 4, 5, 6]
+
+
 def test_packing(docs, none):
     rows = packing.pack_documents(docs, WORD, (16, 32, 64)).collect()
     own = token_files.encoder(WORD)
