@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from folioscope.operators import edit_log as G
 from folioscope.operators import edits as E
 from folioscope.plans import query
 from folioscope.session import table
@@ -146,3 +147,23 @@ def rows_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
     rows = n.select("doc", F.when(F.col("idx") % 4 == 0, F.concat("name", F.lit("?"))).otherwise(F.col("name")).alias("name"))
     return E.placed_by_name(rows, n).select("doc", "name", "idx")
+
+
+@query(f"""WITH {NODES}, n AS (SELECT doc, count(*) AS n FROM nodes GROUP BY doc), moved AS (SELECT nodes.doc, idx, n FROM nodes JOIN n USING (doc) WHERE idx % 4 = 2 AND idx < n - 1),
+p AS (SELECT doc, idx, type, text, idx AS base, 0 AS nth FROM nodes WHERE (doc, idx) NOT IN (SELECT doc, idx FROM moved) AND NOT (idx % 4 = 1 AND doc % 3 = 0)
+UNION ALL SELECT m.doc, m.idx, o.type, o.text, -1, row_number() OVER (PARTITION BY m.doc ORDER BY m.idx DESC) + 1 FROM moved m JOIN nodes o ON o.doc = m.doc AND o.idx = m.idx
+UNION ALL SELECT doc, 1000, 'insert', 'new', -1, 1 FROM n)
+SELECT doc, idx, type, text, row_number() OVER (PARTITION BY doc ORDER BY base, nth) - 1 AS position FROM p""")
+def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth turn goes to the start, one after the other; one is inserted before them; every fourth is deleted, and
+    in two of three documents that is undone."""
+    n = nodes(spark, sf_dir).withColumn("number", F.lit(None).cast("string")).withColumn("heading", F.lit(None).cast("string"))
+    last = F.max("idx").over(Window.partitionBy("doc"))
+    row = lambda df, seq, op, idx, after, of, kind=None, text=None: df.select("doc", seq.cast("long").alias("seq"), F.lit(op).alias("op"), idx.cast("long").alias("idx"), F.lit(after).cast("long").alias("after_idx"), of.cast("long").alias("of"), F.lit(kind).cast("string").alias("type"), *[F.lit(None).cast("string").alias(c) for c in ("number", "heading")], F.lit(text).cast("string").alias("text"))
+    idx, none = F.col("idx"), F.lit(None)
+    moved = n.withColumn("last", last).where("idx % 4 = 2 AND idx < last")
+    some = n.where("idx % 4 = 1")
+    log = row(moved, idx, "place", idx, -1, none).union(row(n.select("doc").distinct(), F.lit(5000), "insert", F.lit(1000), -1, none, "insert", "new"))
+    log = log.union(row(some, idx + 6000, "delete", idx, None, none)).union(row(some.where("doc % 3 <> 0"), idx + 9000, "undo", idx, None, idx + 6000))
+    out = G.edited(n, log)
+    return out.withColumn("position", F.row_number().over(Window.partitionBy("doc").orderBy("base", "nth")) - 1).select("doc", "idx", "type", "text", "position")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.operators import linking as K
 from folioscope.operators import links as M
+from folioscope.operators import memoranda as E
 from folioscope.plans import query
 from folioscope.session import table
 
@@ -190,3 +191,53 @@ def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as HTML with their links."""
     texts, terms, targets = mention_texts(spark, sf_dir)
     return M.linked(texts, M.resolved(M.mentions(texts, terms), targets, texts.where("scope IS NOT NULL")))
+
+
+_MEMO = """e AS (SELECT o_custkey AS doc, o_orderkey AS idx, o_orderkey % 5 AS k, (o_orderkey % 50 + 1)::INT AS a FROM orders),
+n AS (SELECT *, last_value(CASE k WHEN 0 THEN 'Crimes Act 1958' WHEN 3 THEN 'Evidence Act 2008' END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY idx) AS title FROM e),
+t AS (SELECT doc, idx, k, a, CASE WHEN k <> 2 THEN 'act_section' WHEN a % 2 = 0 THEN 'bill_clause' END AS kind, CASE WHEN k = 2 AND a % 2 = 1 THEN NULL WHEN k = 2 OR title IS NULL THEN 'own' WHEN title = 'Crimes Act 1958' THEN 'crimes' END AS act,
+CASE WHEN k <> 2 THEN title END AS act_title, CASE k WHEN 0 THEN 'inserts' WHEN 1 THEN 'amends' WHEN 3 THEN 'repeals' END AS action, CASE WHEN k <> 2 THEN title = 'Crimes Act 1958' END AS in_force FROM n),
+p AS (SELECT act, p_partkey::INT AS position, CASE WHEN p_partkey % 5 = 0 THEN (p_partkey - 1) || 'A' ELSE p_partkey::VARCHAR END AS number FROM part, (VALUES ('own'), ('crimes')) AS v(act) WHERE p_partkey % 7 <> 0)"""
+
+
+def memorandum(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries (a memorandum a customer), their targets, and the provisions of two Acts, every fifth one inserted."""
+    a = F.col("o_orderkey") % 50 + 1
+    n = lambda c: c.cast("string")
+    texts = [F.concat(F.lit("This clause inserts section "), n(a), F.lit(" of the\nCrimes Act 1958.")), F.concat(F.lit("It amends sections "), n(a), F.lit(" to "), n(a + 3), F.lit(" and "), n(a + 10), F.lit("(1) of the Principal Act.")), F.lit("It is general."), F.lit("Repeals section 9 of the Evidence Act 2008"), F.concat(F.lit("See sections "), n(a), F.lit(", "), n(a + 3), F.lit(" and "), n(a + 10), F.lit("."))]
+    k = (F.col("o_orderkey") % 5).cast("int")
+    entries = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("idx"), n(a).alias("number"), F.lit(None).cast("string").alias("schedule"), F.element_at(F.array(*texts), k + 1).alias("text"))
+    acts = spark.createDataFrame([("Crimes Act 1958", "crimes", True), ("Evidence Act 2008", None, False)], "title string, act string, in_force boolean")
+    clauses = entries.where("CAST(number AS INT) % 2 = 0").select("doc", "number", "schedule").distinct()
+    targets = E.resolve_entries(entries, F.broadcast(acts), clauses, entries.select("doc", F.lit("own").alias("act")).distinct())
+    part = table(spark, sf_dir, "part").where("p_partkey % 7 <> 0")
+    number = F.when(F.col("p_partkey") % 5 == 0, F.concat(n(F.col("p_partkey") - 1), F.lit("A"))).otherwise(n(F.col("p_partkey")))
+    return entries, targets, part.select(F.explode(F.array(F.lit("own"), F.lit("crimes"))).alias("act"), number.alias("number"), F.col("p_partkey").cast("int").alias("position"))
+
+
+@query(f"WITH {_MEMO} SELECT doc, idx, kind, act, act_title, action, in_force FROM t")
+def memorandum_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each entry explains: the Act named last, with a section; a clause of the Bill; or nothing."""
+    return memorandum(spark, sf_dir)[1].select("doc", "idx", "kind", "act", "act_title", "action", "in_force")
+
+
+@query(f"""WITH {_MEMO}, ends AS (SELECT doc, idx, act, a, f.position AS lo, g.position AS hi FROM t LEFT JOIN p f USING (act) LEFT JOIN p g USING (act) WHERE k = 1 AND f.number = a::VARCHAR AND g.number = (a + 3)::VARCHAR),
+r AS (SELECT doc, idx, act, a::VARCHAR AS number FROM t WHERE k IN (0, 4) UNION ALL SELECT doc, idx, act, '9' FROM t WHERE k = 3 UNION ALL SELECT doc, idx, act, (a + 3)::VARCHAR FROM t WHERE k = 4 UNION ALL SELECT doc, idx, act, (a + 10)::VARCHAR FROM t WHERE k IN (1, 4)
+UNION ALL SELECT e.doc, e.idx, e.act, lower(p.number) FROM ends e JOIN p ON p.act = e.act AND p.position BETWEEN e.lo AND e.hi
+UNION ALL SELECT doc, idx, act, unnest([a::VARCHAR, (a + 3)::VARCHAR]) FROM t WHERE k = 1 AND (doc, idx) NOT IN (SELECT doc, idx FROM ends))
+SELECT DISTINCT doc, idx, act, number FROM r""")
+def memorandum_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections that entries reach, ranges spread over the provisions that the Act has."""
+    _, targets, provisions = memorandum(spark, sf_dir)
+    return E.explained(targets, provisions)
+
+
+@query(f"""WITH {_MEMO}, x AS (SELECT doc, idx, act, unnest(CASE k WHEN 0 THEN [a] WHEN 3 THEN [9] WHEN 4 THEN [a, a + 3, a + 10] WHEN 1 THEN [a, a + 3, a + 10] ELSE [] END)::VARCHAR AS number FROM t),
+y AS (SELECT x.*, p.position FROM x LEFT JOIN p ON p.act = x.act AND p.number = x.number UNION ALL SELECT t.doc, t.idx, t.act, lower(p.number), p.position FROM t JOIN p f ON f.act = t.act AND f.number = t.a::VARCHAR JOIN p g ON g.act = t.act AND g.number = (t.a + 3)::VARCHAR JOIN p ON p.act = t.act AND p.position BETWEEN f.position AND g.position WHERE t.k = 1),
+b AS (SELECT doc, idx, number FROM (SELECT *, row_number() OVER (PARTITION BY doc, idx ORDER BY coalesce(position, 2147483647), number) AS n FROM y) WHERE n = 1)
+SELECT t.doc, t.idx, t.act, t.act_title, CASE WHEN t.kind = 'bill_clause' AND a % 4 = 0 THEN 's' END AS schedule, CASE WHEN t.kind = 'bill_clause' THEN CASE WHEN a % 4 = 0 THEN 'x' || a END WHEN t.act IS NOT NULL THEN b.number END AS number FROM t LEFT JOIN b USING (doc, idx) WHERE kind IS NOT NULL""")
+def memorandum_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provision offered for each entry; every second clause of the Bill became one."""
+    entries, targets, provisions = memorandum(spark, sf_dir)
+    links = entries.where("CAST(number AS INT) % 4 = 0").select("doc", F.col("number").alias("clause"), F.lit(None).cast("string").alias("clause_schedule"), F.lit("s").alias("schedule"), F.concat(F.lit("X"), "number").alias("number")).distinct()
+    return E.suggestions(targets, provisions, links)

@@ -10,7 +10,7 @@ from folioscope.functions.text import body_of, heading_of, search_tokens, vocabu
 from folioscope.operators import search as S
 from folioscope.plans import query
 from folioscope.session import table, texts, work_path
-from folioscope.sources import writers
+from folioscope.sources import segments, writers
 
 TERMS = ["the", "erst", "zu", "para", "and", "eranea"]
 SQL_TERMS = ", ".join(f"('{t}')" for t in TERMS)
@@ -224,3 +224,15 @@ def mrr_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = may.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(b, "query_id").where(F.col("text").contains(F.col("passage")))
     expected = held.groupBy("query_id").agg(F.min("doc_id").alias("node_id")).withColumn("grp", F.col("query_id") % 2)
     return S.evaluation(S.ranks_of(S.rank_queries(index, words), expected), ["grp"])
+
+
+@query(f"""WITH {bm25_sql(TERMS)} SELECT node_id, round(rank, 6) AS rank FROM ranked""")
+def bm25_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranks of an index that came in two commits: every tenth node was other at first, and one node too many was
+    there; only these were written again."""
+    n, root = nodes(spark, sf_dir), work_path(spark, "segments")
+    other = n.withColumn("body", F.when(F.col("node_id") % 10 == 3, F.lit("the old words")).otherwise(F.col("body")))
+    extra = n.orderBy("node_id").limit(1).withColumn("node_id", F.col("node_id") - 1_000_000)
+    segments.update(root, other.unionByName(extra))
+    segments.update(root, n.where("node_id % 10 = 3"), extra.select("node_id"))
+    return S.bm25_stored(segments.opened(spark, root), TERMS).select("node_id", F.round("rank", 6).alias("rank"))
