@@ -56,6 +56,8 @@ HOME_SHINGLES = 1_000_000
 PIVOTS = 12
 #: A cell that keeps more than this share of the cell it comes from is not cut again.
 SHRINK = 0.8
+#: Hashes of ids that are broadcast to leave out texts before a join.
+BUCKETS = 1 << 20
 #: Distances are rounded; windows are wider by this.
 SLACK = 1e-9
 
@@ -177,8 +179,14 @@ class _Join:
         self.source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def texts_of(self, classes: DataFrame) -> DataFrame:
-        """(class, text): the distinct texts of the classes named."""
-        named = self.source.join(classes.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        """(class, text): the distinct texts of the classes named.
+
+        Texts that no class can have stay where they are: hashes of the classes, of which there are BUCKETS at most, are
+        broadcast first."""
+        own = classes.select(F.col("class").alias("doc_id")).distinct()
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+        some = self.source.withColumn("__bucket", bucket).join(F.broadcast(own.select(bucket.alias("__bucket")).distinct()), "__bucket", "left_semi").drop("__bucket")
+        named = some.join(own, "doc_id", "left_semi")
         return materialize(named.groupBy(F.col("doc_id").alias("class"), F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h"), "texts")
 
     def meet(self, anchors: DataFrame, others: DataFrame, texts: DataFrame, links_only: bool) -> DataFrame:
