@@ -16,8 +16,14 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    fs, folder = _fs(spark, f"{root}/current")
+    return sorted(int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()) if fs.exists(folder) else []
+
+
 def publish(tables: dict[str, DataFrame], root: str, signature: str) -> str:
-    """Write tables under a new version of `root` and then move its pointer: readers see the old or the new, whole."""
+    """Write tables under a new version of `root`, then a pointer with the next number, written aside and renamed. Readers
+    take the highest number: they see the old or the new, whole, and there is never a moment without one."""
     spark = next(iter(tables.values())).sparkSession
     version = f"{root}/v-{uuid.uuid4().hex}"
     for name, df in tables.items():
@@ -25,17 +31,18 @@ def publish(tables: dict[str, DataFrame], root: str, signature: str) -> str:
     pointer = spark.createDataFrame([(version, signature)], "version string, signature string")
     staged = f"{root}/pointer-{uuid.uuid4().hex}"
     pointer.coalesce(1).write.json(staged)
-    fs, target = _fs(spark, f"{root}/current")
-    fs.delete(target, True)
-    fs.rename(_fs(spark, staged)[1], target)
-    return version
+    while True:
+        fs, target = _fs(spark, f"{root}/current/{max(_pointers(spark, root), default=0) + 1}")
+        fs.mkdirs(target.getParent())
+        if not fs.exists(target) and fs.rename(_fs(spark, staged)[1], target):
+            return version
 
 
 def published(spark: SparkSession, root: str) -> tuple[str, str] | None:
-    fs, target = _fs(spark, f"{root}/current")
-    if not fs.exists(target):
+    numbers = _pointers(spark, root)
+    if not numbers:
         return None
-    r = spark.read.schema("version string, signature string").json(f"{root}/current").first()
+    r = spark.read.schema("version string, signature string").json(f"{root}/current/{numbers[-1]}").first()
     return r["version"], r["signature"]
 
 
