@@ -67,9 +67,10 @@ def carry_forward(entries: DataFrame, doc: str, named: Column, idx: str = "idx",
 
 
 def place_figures(nodes: DataFrame, figures: DataFrame) -> DataFrame:
-    """Each figure (doc, page, y, figure_id) after the last node printed above it (doc, page, y, idx)."""
+    """Each figure (doc, page, y, figure_id) after the last node printed above it (doc, page, y, idx); of nodes at one height
+    the one of the largest idx."""
     both = nodes.select("doc", "page", "y", "idx", F.lit(None).cast("string").alias("figure_id")).unionByName(figures.select("doc", "page", "y", F.lit(None).cast("int").alias("idx"), F.col("figure_id").cast("string")))
-    w = Window.partitionBy("doc").orderBy("page", "y", F.col("figure_id").isNotNull(), "figure_id")
+    w = Window.partitionBy("doc").orderBy("page", "y", F.col("figure_id").isNotNull(), "idx", "figure_id")
     return both.withColumn("after_idx", F.last("idx", ignorenulls=True).over(w)).where("figure_id IS NOT NULL").select("doc", "figure_id", "page", "y", "after_idx")
 
 

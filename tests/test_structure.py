@@ -202,3 +202,10 @@ def test_long_and_circular_ways(spark):
     from folioscope.operators.delta import delta_chain
 
     assert {(r["version"], r["base"], r["steps"]) for r in delta_chain(pointers).collect()} == {(i, 0, i) for i in range(40)}
+
+
+def test_figures_behind_nodes_of_one_height(frame):
+    """Nodes at one place are told apart by their idx, whatever order they come in."""
+    nodes = frame([(1, 3, 5, i) for i in (4, 9, 2, 7)] + [(2, 3, 5, i) for i in (9, 1)], "doc int, page int, y int, idx int").coalesce(1)
+    figures = frame([(1, 3, 5, "a"), (1, 2, 5, "b"), (2, 3, 6, "c")], "doc int, page int, y int, figure_id string")
+    assert {r["figure_id"]: r["after_idx"] for r in K.place_figures(nodes, figures).collect()} == {"a": 9, "b": None, "c": 9}
