@@ -11,13 +11,19 @@ after after_idx (-1: at the start), `delete` and `restore`, `retype` (type, numb
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from folioscope.operators.edits import block_under
 from folioscope.operators.sequence import breadcrumbs
+from folioscope.session import fanout
 
 START = -1
+#: Rows of states that are given back at once.
+OUT_ROWS = 4096
 STATE = "idx long, base long, nth long, deleted boolean, inserted boolean, type string, number string, heading string, text string, seq long, refused string"
 
 
@@ -60,45 +66,46 @@ class _Links:
         return out
 
 
-def _undone(log: pd.DataFrame) -> set[int]:
+def _undone(log: list[dict]) -> set[int]:
     """Numbers of edits that don't count: what a later undo that counts names."""
     gone: set[int] = set()
-    for op, seq, of in sorted(zip(log["op"], log["seq"], log["of"]), key=lambda x: -x[1]):
-        if op == "undo" and seq not in gone and of is not None and not pd.isna(of) and of < seq:
-            gone.add(int(of))
+    for r in reversed(log):
+        if r["op"] == "undo" and r["seq"] not in gone and r["of"] is not None and r["of"] < r["seq"]:
+            gone.add(r["of"])
     return gone
 
 
-def _folded(n: int, log: pd.DataFrame) -> list[dict]:
+def _folded(n: int, log: list[dict]) -> list[dict]:
+    """What a document's log, in order of seq, makes of its n nodes."""
     links, deleted, inserted, typed, refused = _Links(n), set(), {}, {}, []
     void = _undone(log)
     known = lambda i: 0 <= i < n or i in inserted
-    for r in log.sort_values("seq").itertuples():
-        if r.seq in void or r.op == "undo":
+    for r in log:
+        op, i, anchor = r["op"], r["idx"], r["after_idx"]
+        if r["seq"] in void or op == "undo":
             continue
-        i, anchor = int(r.idx), None if pd.isna(r.after_idx) else int(r.after_idx)
         reason = None
-        if r.op == "insert" and known(i):
+        if op == "insert" and known(i):
             reason = "number taken"
-        elif r.op != "insert" and not known(i):
+        elif op != "insert" and not known(i):
             reason = "no such node"
-        elif r.op in ("insert", "place") and (anchor is None or not (anchor == START or known(anchor))):
+        elif op in ("insert", "place") and (anchor is None or not (anchor == START or known(anchor))):
             reason = "no such anchor"
-        elif r.op in ("insert", "place") and anchor == i:
+        elif op in ("insert", "place") and anchor == i:
             reason = "after itself"
         if reason:
-            refused.append({"idx": i, "seq": int(r.seq), "refused": reason})
+            refused.append({"idx": i, "seq": r["seq"], "refused": reason})
             continue
-        if r.op in ("insert", "place"):
-            links.put(i, anchor, r.op == "insert")
-        if r.op == "insert":
-            inserted[i] = {k: getattr(r, k) for k in ("type", "number", "heading", "text")}
-        elif r.op == "delete":
+        if op in ("insert", "place"):
+            links.put(i, anchor, op == "insert")
+        if op == "insert":
+            inserted[i] = {k: r[k] for k in ("type", "number", "heading", "text")}
+        elif op == "delete":
             deleted.add(i)
-        elif r.op == "restore":
+        elif op == "restore":
             deleted.discard(i)
-        elif r.op == "retype":
-            typed[i] = {"type": r.type, "number": r.number}
+        elif op == "retype":
+            typed[i] = {"type": r["type"], "number": r["number"]}
     places, out = links.places(), []
     for i in {*places, *deleted, *inserted, *typed}:
         base, nth = places.get(i, (i, 0))
@@ -109,19 +116,34 @@ def _folded(n: int, log: pd.DataFrame) -> list[dict]:
 def fold_log(nodes: DataFrame, log: DataFrame) -> DataFrame:
     """The state of every node that edits touch, and the edits that can't be (`refused`: an anchor or node that isn't
     there, a node after itself, a number that is taken), which change nothing."""
-    size = nodes.groupBy("doc").agg((F.max("idx") + 1).alias("__n"))
+    size = nodes.groupBy("doc").agg((F.max("idx") + 1).cast("long").alias("__n"))
     kind = nodes.schema["doc"].dataType.simpleString()
-    names = [x.split()[0] for x in STATE.split(", ")]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        n = rows["__n"].iloc[0]
-        found = pd.DataFrame(_folded(0 if pd.isna(n) else int(n), rows), columns=names)
-        for c in ("base", "nth", "seq"):
-            found[c] = found[c].astype("Int64")
-        found.insert(0, "doc", rows["doc"].iloc[0])
-        return found.astype({c: "object" for c in ("deleted", "inserted", "type", "number", "heading", "text", "refused")}).where(lambda x: x.notna(), None)
-
-    return log.join(size, "doc", "left").groupBy("doc").applyInPandas(run, f"doc {kind}, {STATE}")
+    columns = [F.col(c).cast("long").alias(c) for c in ("seq", "idx", "after_idx", "of")]
+    rows = log.select(F.col("doc").cast(kind).alias("doc"), "op", *columns, "type", "number", "heading", "text").join(size, "doc", "left")
+    # One pass over sorted rows, whole documents at a time: a call a document would cost more than its edits.
+    dealt = rows.repartition(fanout(rows), "doc").sortWithinPartitions("doc", "seq")
+    return dealt.mapInArrow(_states, f"doc {kind}, {STATE}")
+
+
+def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+    out: list[dict] = []
+    schema = None
+
+    def rows() -> Iterator[dict]:
+        nonlocal schema
+        for batch in batches:
+            schema = schema or pa.schema([("doc", batch.schema.field("doc").type), *((c, types[t]) for c, t in map(str.split, STATE.split(", ")))])
+            yield from batch.to_pylist()
+
+    for doc, log in groupby(rows(), lambda r: r["doc"]):
+        log = list(log)
+        out += [{"doc": doc, **r} for r in _folded(log[0]["__n"] or 0, log)]
+        if len(out) >= OUT_ROWS:
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema)
 
 
 def edited(nodes: DataFrame, log: DataFrame) -> DataFrame:

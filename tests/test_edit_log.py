@@ -71,3 +71,12 @@ def test_paths_and_blocks(spark):
     at = {r["idx"]: (r["position"], r["in_section"], r["in_paragraph"]) for r in G.placed(G.edited(nodes, log)).collect()}
     assert at == {0: (0, "1", None), 3: (1, "1", "b"), 4: (2, "2", None), 1: (3, "2", "a"), 2: (4, "2", "a")}
     assert G.edited(nodes, log.where("false")).count() == 5 and G.edited(nodes.where("false"), log).count() == 0
+
+
+def test_documents_share_calls(spark):
+    """Many short documents are one pass over sorted rows: no call of Python a document."""
+    nodes = spark.range(6000).selectExpr("cast(id DIV 2 AS int) AS doc", "cast(id % 2 AS int) AS idx", "'p' AS type", "'1' AS number", "'h' AS heading", "'t' AS text")
+    log = nodes.selectExpr("doc", "2L AS seq", "'place' AS op", "cast(idx AS long) AS idx", "-1L AS after_idx", "cast(null AS long) AS of", *[f"cast(null AS string) AS {c}" for c in ("type", "number", "heading", "text")]).where("idx = 1")
+    states = G.fold_log(nodes, log)
+    assert "FlatMapGroups" not in states._jdf.queryExecution().executedPlan().toString()
+    assert states.where("idx = 1 AND base = -1 AND nth = 1").select("doc").distinct().count() == 3000
