@@ -6,11 +6,15 @@ shown text becomes a place of the stored text inside one plan, and a chain of te
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Signs that open a line of their own, and the widest printed line.
 BULLETS = "•▪●◦"
 LINE = 120
+# Lines whose pieces are put together at once.
+BLOCK = 64
 _WRAP = r"(?U)\s*\n\s*"
 _EDGE = r"(?U)^\s+"
 PIECES = "array<struct<at:int,raw:int,n:int,same:boolean>>"
@@ -20,33 +24,52 @@ def reflowed(c: Column) -> Column:
     """(text, map, lead, raw_end) of a stored text: line wraps become spaces; where a stretch is longer than any printed
     line, breaks part paragraphs and become blank lines; a bullet keeps a line of its own. White space around the text
     goes. A null text is an empty one."""
-    c = F.coalesce(c, F.lit(""))
-    parts, breaks = F.split(c, _WRAP), F.regexp_extract_all(c, F.lit(_WRAP), F.lit(0))
-    wide = F.exists(F.split(c, "\n"), lambda x: F.length(x) > LINE)
+    cut = lambda c: F.struct(c.alias("all"), F.split(c, _WRAP).alias("parts"), F.regexp_extract_all(c, F.lit(_WRAP), F.lit(0)).alias("breaks"), F.exists(F.split(c, "\n"), lambda x: F.length(x) > LINE).alias("wide"))
+    return _held(_held(_held(F.coalesce(c, F.lit("")), cut), _signed), _shown)
+
+
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often `use` names it (inside lambdas too)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _signed(t: Column) -> Column:
+    """Adds what is shown for each break; nothing behind the last part."""
+    parts, breaks = t["parts"], t["breaks"]
     bullet = lambda part: F.coalesce(F.length(part) > 0, F.lit(False)) & F.substring(part, 1, 1).isin(*BULLETS)
 
-    def sign(start: Column, i: Column) -> Column:
+    def sign(i: Column) -> Column:
         part = F.get(parts, i + 1)
-        inside = (start > 0) & ((i + 2 < F.size(parts)) | (F.length(part) > 0))
-        return F.when(inside & bullet(part), "\n").when(inside & wide, "\n\n").otherwise(" ")
+        inside = ((i > 0) | (F.length(F.get(parts, F.lit(0))) > 0)) & ((i + 2 < F.size(parts)) | (F.length(part) > 0))
+        shown = F.when(inside & bullet(part), "\n").when(inside & t["wide"], "\n\n").otherwise(" ")
+        return F.when(F.get(breaks, i).isNull(), "").otherwise(shown)
 
-    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("raw"), F.array().cast("array<string>").alias("text"), F.array().cast(PIECES).alias("map"))
+    return F.struct(t["all"].alias("all"), parts.alias("parts"), breaks.alias("breaks"), F.transform(parts, lambda part, i: sign(i)).alias("signs"))
 
-    def step(s: Column, i: Column) -> Column:
-        part, wrap = F.get(parts, i), F.get(breaks, i)
-        n, stop = F.length(part), s["raw"] + F.length(part)
-        shown = F.when(wrap.isNull(), "").otherwise(sign(stop, i))
-        own = F.struct(s["at"].alias("at"), s["raw"].alias("raw"), n.alias("n"), F.lit(True).alias("same"))
-        other = F.struct((s["at"] + n).alias("at"), stop.alias("raw"), F.length(shown).alias("n"), F.lit(False).alias("same"))
-        return F.struct((s["at"] + n + F.length(shown)).alias("at"), (stop + F.coalesce(F.length(wrap), F.lit(0))).alias("raw"), F.concat(s["text"], F.array(part, shown)).alias("text"), F.concat(s["map"], F.filter(F.array(own, other), lambda p: p["n"] > 0)).alias("map"))
 
-    def finish(s: Column) -> Column:
-        whole = F.array_join(s["text"], "")
-        left = F.regexp_replace(whole, _EDGE, "")
-        text = F.regexp_replace(left, r"(?U)\s+$", "")
-        return F.struct(text.alias("text"), s["map"].alias("map"), (F.length(whole) - F.length(left)).alias("lead"), F.length(c).alias("raw_end"))
+def _shown(t: Column) -> Column:
+    parts, breaks, signs = t["parts"], t["breaks"], t["signs"]
+    none = F.array().cast(PIECES)
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), first, step, finish)
+    def step(s: Column, i: Column) -> Column:
+        n, wrap, m = F.length(F.get(parts, i)), F.length(F.get(breaks, i)), F.length(F.get(signs, i))
+        own = F.struct(s["at"].alias("at"), s["raw"].alias("raw"), n.alias("n"), F.lit(True).alias("same"))
+        other = F.struct((s["at"] + n).alias("at"), (s["raw"] + n).alias("raw"), m.alias("n"), F.lit(False).alias("same"))
+        return F.struct((s["at"] + n + m).alias("at"), (s["raw"] + n + F.coalesce(wrap, F.lit(0))).alias("raw"), F.concat(s["map"], F.filter(F.array(own, other), lambda p: p["n"] > 0)).alias("map"))
+
+    def block(s: Column, first: Column) -> Column:
+        # Pieces grow inside a block of lines, blocks inside the whole: no list as long as the text is copied for a line.
+        lines = F.sequence(first, F.least(first + BLOCK, F.size(parts)) - 1)
+        start = F.struct(s["at"].alias("at"), s["raw"].alias("raw"), none.alias("map"))
+        added = lambda e: F.struct(e["at"].alias("at"), e["raw"].alias("raw"), F.concat(s["maps"], F.array(e["map"])).alias("maps"))
+        return F.aggregate(lines, start, step, added)
+
+    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("raw"), F.array().cast(f"array<{PIECES}>").alias("maps"))
+    pieces = F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(BLOCK)), first, block, lambda s: F.flatten(s["maps"]))
+    whole = F.array_join(F.zip_with(parts, signs, lambda part, sign: F.concat(part, sign)), "")
+    both = _held(whole, lambda w: F.struct(F.length(w).alias("n"), F.regexp_replace(w, _EDGE, "").alias("left")))
+    text = lambda b: F.struct(F.regexp_replace(b["left"], r"(?U)\s+$", "").alias("text"), pieces.alias("map"), (b["n"] - F.length(b["left"])).alias("lead"), F.length(t["all"]).alias("raw_end"))
+    return _held(both, text)
 
 
 def to_stored(m: Column, at: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -60,3 +61,13 @@ def test_guard(frame):
     rows = frame([("w", 1, "k", "a"), ("w", 2, "k", "b"), ("w", 2, "k", "a"), ("w", 9, "k", "a")], "work string, version int, key string, piece string")
     cover = H.unit_coverage(pieces, rows, frame([("w", 1, "k"), ("w", 3, "k")], "work string, version int, key string"), frame([("w", 3, "k", "c")], "work string, version int, key string, piece string"))
     assert {(r["version"], r["key"]): (r["pieces"], r["covered"], r["reviewed"], r["blocked"]) for r in cover.collect()} == {(1, "k"): (2, 1, True, False), (2, "k"): (2, 2, True, False), (3, "k"): (3, 0, False, True), (4, "k"): (2, 0, False, False), (2, "j"): (1, 0, False, False)}
+
+
+def test_a_long_text_costs_what_its_lines_cost(spark):
+    """A text of several blocks of lines equals the brute force; many lines don't cost their square."""
+    text = "".join(f"{'• ' if i % 7 == 0 else ''}line {i} {'é' * (i % 5)} \n" for i in range(4000))
+    began = time.perf_counter()
+    got = spark.createDataFrame([(text,)], "text string").select(O.reflowed(F.col("text")).alias("m")).select("m.text", F.size("m.map").alias("n"), O.to_stored(F.col("m"), F.lit(30000)).alias("at")).first()
+    assert time.perf_counter() - began < 15
+    expected, offsets = brute(text)
+    assert got["text"] == expected and got["at"] == offsets[30000] and got["n"] == 8000
