@@ -6,6 +6,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
@@ -14,15 +15,81 @@ def _struct(**kinds) -> T.ArrayType:
     return T.ArrayType(T.StructType([T.StructField(name, kind) for name, kind in kinds.items()]))
 
 
+#: Pairs of equal values that are held at once, about 150 MB while they are sorted; beyond, the library's own index serves.
+MOST_PAIRS = 2 << 20
 _INT = T.IntegerType()
 _SPAN = _struct(same=T.BooleanType(), i=_INT, m=_INT, j=_INT, n=_INT)
 _ALIGNED = _struct(old=_INT, new=_INT, found=_SPAN)
 
 
+class Matcher(difflib.SequenceMatcher):
+    """The standard library's matcher, with its very blocks, for sequences without junk of the caller's own: the pairs of
+    equal values and the length of the run that ends in each are found once, and a call looks at those of its range."""
+
+    def __init__(self, old, new, junk: bool = True):
+        self.pairs = _pairs(*_codes(old, new), junk)
+        if self.pairs is None:
+            super().__init__(None, old, new, autojunk=junk)
+        else:
+            self.a, self.b, self.matching_blocks, self.opcodes = old, new, None, None
+
+    def find_longest_match(self, alo=0, ahi=None, blo=0, bhi=None):
+        if self.pairs is None:
+            return super().find_longest_match(alo, ahi, blo, bhi)
+        a, b, (first, at, other, runs) = self.a, self.b, self.pairs
+        ahi, bhi = len(a) if ahi is None else ahi, len(b) if bhi is None else bhi
+        i, j, n, part = alo, blo, 0, slice(first[alo], first[ahi])
+        if part.start < part.stop:
+            inside = np.minimum(np.minimum(runs[part], at[part] - (alo - 1)), other[part] - (blo - 1))
+            inside[other[part] >= bhi] = 0
+            best = int(inside.argmax())  # of equal ones the first in a, then in b
+            if inside[best] > 0:
+                n = int(inside[best])
+                i, j = int(at[part.start + best]) - n + 1, int(other[part.start + best]) - n + 1
+        while i > alo and j > blo and a[i - 1] == b[j - 1]:
+            i, j, n = i - 1, j - 1, n + 1
+        while i + n < ahi and j + n < bhi and a[i + n] == b[j + n]:
+            n += 1
+        return difflib.Match(i, j, n)
+
+
+def _codes(old, new) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers for the values of two texts or lists, equal for equal values."""
+    if isinstance(old, str):
+        return tuple(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) for x in (old, new))
+    numbers: dict = {}
+    return tuple(np.fromiter((numbers.setdefault(x, len(numbers)) for x in side), np.int64, len(side)) for side in (old, new))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, junk: bool) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray] | None:
+    """Pairs of places with equal values, by place in a, then in b, and the length of the run of pairs that ends in each;
+    before them, where each place of a begins. With `junk`, values that make up over a hundredth of a long b pair with
+    nothing, as in the library. None where the pairs would fill too much memory."""
+    if not len(a) or not len(b):
+        return [0] * (len(a) + 1), *[np.zeros(0, np.int32)] * 3
+    values, counts = np.unique(b, return_counts=True)
+    by_value, starts = np.argsort(b, kind="stable"), np.cumsum(counts) - counts
+    value = np.minimum(np.searchsorted(values, a), len(values) - 1)
+    n = np.where(values[value] == a, counts[value], 0)
+    if junk and len(b) >= 200:
+        n[n > len(b) // 100 + 1] = 0
+    first = np.concatenate([[0], np.cumsum(n)])
+    if first[-1] > MOST_PAIRS:
+        return None
+    at = np.repeat(np.arange(len(a)), n)
+    other = by_value[np.repeat(starts[value] - first[:-1], n) + np.arange(first[-1])]
+    order = np.argsort((other - at) * (len(a) + 1) + at, kind="stable")
+    goes_on = (np.diff((other - at)[order], prepend=len(b) + 1) == 0) & (np.diff(at[order], prepend=-2) == 1)
+    k = np.arange(len(order))
+    runs = np.empty(len(order), np.int32)
+    runs[order] = k - np.maximum.accumulate(np.where(goes_on, 0, k)) + 1
+    return first.tolist(), at.astype(np.int32), other.astype(np.int32), runs
+
+
 def spans(old: list[str], new: list[str], junk: bool = True) -> list[tuple[bool, int, int, int, int]]:
     """Alternating spans that are the same or not: (same, first and number in old, first and number in new). `junk`
     lets the matcher pass over words that make up over a hundredth of long texts."""
-    ops = difflib.SequenceMatcher(None, old, new, autojunk=junk).get_opcodes()
+    ops = Matcher(old, new, junk).get_opcodes()
     return [(tag == "equal", i0, i1 - i0, j0, j1 - j0) for tag, i0, i1, j0, j1 in ops]
 
 
@@ -59,7 +126,7 @@ def _aligned(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]])
 @F.pandas_udf(T.DoubleType())
 def _ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in parts:
-        yield pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+        yield pd.Series([1.0 if (x or "") == (y or "") else Matcher(x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
 def _words(c: Column) -> Column:

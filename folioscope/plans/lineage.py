@@ -9,7 +9,7 @@ from folioscope.operators import delta as X
 from folioscope.operators import inheritance as H
 from folioscope.operators import lineage as L
 from folioscope.plans import query
-from folioscope.session import table
+from folioscope.session import fanout, table
 
 #: Event times dealt to five versions of each user's log.
 VERSIONS = 5
@@ -197,12 +197,12 @@ def subtree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def consecutive_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, old): each document with the text of the one before it in its source. Neighbours are found on
-    ids alone; texts join after."""
+    ids alone; texts join after, dealt to all cores: what is done with a pair costs far more than its bytes say."""
     from folioscope.operators.sequence import with_previous
 
     d = table(spark, sf_dir, "documents")
     ids = with_previous(d.select("source", "doc_id"), "source", "doc_id").where("previous IS NOT NULL").select("doc_id", "previous")
-    old = d.select(F.col("doc_id").alias("previous"), F.col("text").alias("old"))
+    old = d.select(F.col("doc_id").alias("previous"), F.col("text").alias("old")).repartition(fanout(d), "previous")
     return ids.join(d.select("doc_id", "text"), "doc_id").join(old, "previous").select("doc_id", "text", "old")
 
 
