@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from folioscope.functions.offsets import held
+
 
 def _struct(**kinds) -> T.ArrayType:
     return T.ArrayType(T.StructType([T.StructField(name, kind) for name, kind in kinds.items()]))
@@ -147,7 +149,8 @@ def word_diff(old: Column, new: Column) -> Column:
     differ = ~a.eqNullSafe(b)
     found = _matched(F.when(differ, a), F.when(differ, b))
     same = F.filter(F.array(F.struct(F.lit("equal").alias("op"), F.array_join(a, " ").alias("text"))), lambda x: x["text"] != "")
-    return F.when(differ, _segments(found, a, b)).otherwise(same)
+    cut = held(F.struct(found.alias("found"), a.alias("old"), b.alias("new")), lambda t: _segments(t["found"], t["old"], t["new"]))
+    return F.when(differ, cut).otherwise(same)
 
 
 def node_diff(old_keys: Column, old_texts: Column, new_keys: Column, new_texts: Column) -> Column:
@@ -156,7 +159,8 @@ def node_diff(old_keys: Column, old_texts: Column, new_keys: Column, new_texts:
     old, new = F.transform(old_texts, _words), F.transform(new_texts, _words)
     none = F.array().cast("array<string>")
     of = lambda side, at: F.when(at.isNull(), none).otherwise(F.get(side, at))
-    with_diff = F.transform(_aligned(old_keys, old, new_keys, new), lambda p: F.struct(p["old"].alias("old"), p["new"].alias("new"), _segments(p["found"], of(old, p["old"]), of(new, p["new"])).alias("diff")))
+    piece = lambda t: lambda p: F.struct(p["old"].alias("old"), p["new"].alias("new"), held(F.struct(of(t["old"], p["old"]).alias("old"), of(t["new"], p["new"]).alias("new")), lambda w: _segments(p["found"], w["old"], w["new"])).alias("diff"))
+    with_diff = held(F.struct(_aligned(old_keys, old, new_keys, new).alias("found"), old.alias("old"), new.alias("new")), lambda t: F.transform(t["found"], piece(t)))
     kind = lambda p: F.when(p["old"].isNull(), "insert").when(p["new"].isNull(), "delete").when(words_changed(p["diff"]), "changed").otherwise("equal")
     return F.transform(with_diff, lambda p: F.struct(kind(p).alias("op"), p["old"].alias("old"), p["new"].alias("new"), p["diff"].alias("diff")))
 

@@ -25,10 +25,10 @@ def reflowed(c: Column) -> Column:
     line, breaks part paragraphs and become blank lines; a bullet keeps a line of its own. White space around the text
     goes. A null text is an empty one."""
     cut = lambda c: F.struct(c.alias("all"), F.split(c, _WRAP).alias("parts"), F.regexp_extract_all(c, F.lit(_WRAP), F.lit(0)).alias("breaks"), F.exists(F.split(c, "\n"), lambda x: F.length(x) > LINE).alias("wide"))
-    return _held(_held(_held(F.coalesce(c, F.lit("")), cut), _signed), _shown)
+    return held(held(held(F.coalesce(c, F.lit("")), cut), _signed), _shown)
 
 
-def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
     """`use` of a value that is worked out once, however often `use` names it (inside lambdas too)."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -67,9 +67,9 @@ def _shown(t: Column) -> Column:
     first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("raw"), F.array().cast(f"array<{PIECES}>").alias("maps"))
     pieces = F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(BLOCK)), first, block, lambda s: F.flatten(s["maps"]))
     whole = F.array_join(F.zip_with(parts, signs, lambda part, sign: F.concat(part, sign)), "")
-    both = _held(whole, lambda w: F.struct(F.length(w).alias("n"), F.regexp_replace(w, _EDGE, "").alias("left")))
+    both = held(whole, lambda w: F.struct(F.length(w).alias("n"), F.regexp_replace(w, _EDGE, "").alias("left")))
     text = lambda b: F.struct(F.regexp_replace(b["left"], r"(?U)\s+$", "").alias("text"), pieces.alias("map"), (b["n"] - F.length(b["left"])).alias("lead"), F.length(t["all"]).alias("raw_end"))
-    return _held(both, text)
+    return held(both, text)
 
 
 def to_stored(m: Column, at: Column) -> Column:

@@ -37,3 +37,13 @@ def test_long_texts_cost_less_than_the_librarys_walk():
 
     (own, got), (lib, expected) = seconds(lambda a, b: D.Matcher(a, b).ratio()), seconds(lambda a, b: difflib.SequenceMatcher(None, a, b).ratio())
     assert got == expected and own < 0.6 * lib
+
+
+def test_words_are_cut_once_a_text(spark):
+    """A difference of many segments costs no cutting of the text a segment."""
+    from pyspark.sql import functions as F
+
+    old, new = (" ".join(f"w{i}" if i % 2 else f"{side}{i}" for i in range(12000)) for side in "xy")
+    began = time.perf_counter()
+    got = spark.createDataFrame([(old, new)], "old string, new string").select(D.word_diff(F.col("old"), F.col("new")).alias("d")).select(F.size("d").alias("n"), *(D.side_text(F.col("d"), side).alias(side) for side in ("old", "new"))).first()
+    assert (got["n"], got["old"], got["new"]) == (18000, old, new) and time.perf_counter() - began < 20
