@@ -209,3 +209,13 @@ def test_figures_behind_nodes_of_one_height(frame):
     nodes = frame([(1, 3, 5, i) for i in (4, 9, 2, 7)] + [(2, 3, 5, i) for i in (9, 1)], "doc int, page int, y int, idx int").coalesce(1)
     figures = frame([(1, 3, 5, "a"), (1, 2, 5, "b"), (2, 3, 6, "c")], "doc int, page int, y int, figure_id string")
     assert {r["figure_id"]: r["after_idx"] for r in K.place_figures(nodes, figures).collect()} == {"a": 9, "b": None, "c": 9}
+
+
+def test_boxes_of_one_place_are_compared_once(frame, monkeypatch):
+    """Boxes that share a place are one row of the join, in lists of a bounded length; each is found."""
+    monkeypatch.setattr(K, "BOX_IDS", 8)
+    boxes = frame([(i, 1, 0.0, 100.0, 40.0, 60.0) for i in range(40)] + [(90, 1, 0.0, 10.0, 40.0, 60.0), (91, 2, 0.0, 100.0, 40.0, 60.0), (92, 1, None, 100.0, 40.0, 60.0)], "box_id int, page int, x0 double, x1 double, y0 double, y1 double")
+    lines = frame([("a", 1, 10.0, 60.0, 45.0, 55.0), ("b", 1, 80.0, 300.0, 45.0, 55.0), ("c", 1, 10.0, 60.0, 57.0, 67.0)], "text string, page int, x0 double, x1 double, y0 double, y1 double")
+    found = K.lines_in_boxes(lines, boxes)
+    assert sorted((r["text"], r["box_id"]) for r in found.collect()) == [("a", i) for i in range(40)]
+    assert set(found.columns) == {*lines.columns, "box_id"} and "__ids" in found._jdf.queryExecution().optimizedPlan().toString()
