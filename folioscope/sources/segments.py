@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.operators import search as S
+from folioscope.session import discard, materialize
 
 #: Segments beyond which a commit should be followed by a merge.
 SEGMENTS = 8
@@ -43,13 +44,18 @@ def _commit(spark: SparkSession, root: str, no: int, rows: list[tuple]) -> None:
         raise RuntimeError(f"commit {no} of {root} was made by another writer")
 
 
-def _write(nodes: DataFrame, words: DataFrame, path: str) -> None:
-    posting = S.index_postings(nodes).repartitionByRange("term", "node_id").sortWithinPartitions("term", "node_id")
-    posting.write.parquet(f"{path}/posting")
+def _write(nodes: DataFrame, gone: DataFrame | None, path: str) -> None:
+    """A segment's tables; the words of `gone` are taken off."""
     nodes.repartitionByRange("node_id").sortWithinPartitions("node_id").write.parquet(f"{path}/node")
-    lengths = S.with_tokens(nodes).select("node_id", (F.size("heading_tokens") + F.size("body_tokens")).alias("dl"))
-    lengths.write.parquet(f"{path}/length")
-    words.write.parquet(f"{path}/word")
+    # Texts are cut once, into counts that the other tables are made from.
+    counts = materialize(S.counted(nodes.sparkSession.read.schema(nodes.schema).parquet(f"{path}/node")), "counted")
+    S.sorted_postings(counts).write.parquet(f"{path}/posting")
+    counts.select("node_id", "dl").write.parquet(f"{path}/length")
+    words = S.counted_vocabulary(counts)
+    if gone is not None:
+        words = words.union(S.vocabulary(gone).select("term", -F.col("cnt")))
+    words.groupBy("term").agg(F.sum("cnt").alias("cnt")).where("cnt <> 0").write.parquet(f"{path}/word")
+    discard(counts)
 
 
 def _read(spark: SparkSession, rows: list[tuple], name: str) -> DataFrame | None:
@@ -80,10 +86,6 @@ def _live(spark: SparkSession, rows: list[tuple], name: str) -> DataFrame | None
     return all_.alias("a").join(gone.alias("g"), on, "left_anti").drop("__no")
 
 
-def _signed(nodes: DataFrame, sign: int) -> DataFrame:
-    return S.vocabulary(nodes).select("term", (F.col("cnt") * sign).alias("cnt"))
-
-
 def update(root: str, nodes: DataFrame, removed: DataFrame | None = None) -> int:
     """Commit changed and new nodes (node_id, heading, body, ...; whole rows) and ids to remove (node_id); the number of
     the commit. Only these nodes' texts are cut and written, and the old texts of those that were there are read."""
@@ -92,13 +94,12 @@ def update(root: str, nodes: DataFrame, removed: DataFrame | None = None) -> int
     no, path = last + 1, f"{root}/s-{uuid.uuid4().hex}"
     ids = nodes.select("node_id")
     ids = ids if removed is None else ids.union(removed.select("node_id"))
-    before, gone, words = _live(spark, rows, "node"), None, _signed(nodes, 1)
+    before, gone, old = _live(spark, rows, "node"), None, None
     if before is not None:
         old = before.join(ids.distinct(), "node_id", "left_semi")
         gone = f"{path}/gone"
         old.select("node_id").write.parquet(gone)
-        words = words.union(_signed(old, -1))
-    _write(nodes, words.groupBy("term").agg(F.sum("cnt").alias("cnt")).where("cnt <> 0"), path)
+    _write(nodes, old, path)
     _commit(spark, root, no, [*rows, (no, path, gone)])
     return no
 

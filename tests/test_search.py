@@ -86,3 +86,38 @@ def test_snippet(spark):
     text = " ".join(f"w{i}" for i in range(40)) + " order here"
     s = spark.range(1).select(S.snippet(F.lit(text), ["order"]).alias("s")).first()["s"]
     assert s.startswith("… ") and "\x02order\x03" in s and s.endswith("\x02order\x03 …") and len(s.split()) == 20
+
+
+def test_an_index_cuts_texts_once(frame, spark, tmp_path):
+    """Postings, words and statistics come from counts made inside each row; an id that stands twice is one node."""
+    from folioscope.sources import writers
+
+    rows = frame([*NODES, (5, None, None), (6, "A1b2 order", "Order, a1B2; order!"), (6, "A1b2 order", "Order, a1B2; order!")], "node_id int, heading string, body string")
+    writers.build_index(rows, f"file://{tmp_path}/index", "one")
+    index = writers.open_index(spark, f"file://{tmp_path}/index")
+    in_order = lambda df: sorted(map(tuple, df.collect()))
+    assert in_order(index["posting"].select("term", "node_id", "tf_heading", "tf_body")) == in_order(S.postings(rows))
+    assert in_order(index["word"]) == in_order(S.vocabulary(rows))
+    assert in_order(index["statistics"]) == in_order(S.index_stats(rows))
+    assert in_order(S.counted(rows).where("node_id = 6").select("dl", F.inline("runs")))[0] == (5, "a1b2", 1, 1)
+
+
+def test_many_queries_are_ranked_by_node(nodes, spark, frame, tmp_path, monkeypatch):
+    from folioscope.sources import writers
+
+    writers.build_index(nodes, f"file://{tmp_path}/index", "one")
+    index = writers.open_index(spark, f"file://{tmp_path}/index")
+    asked = [(7, "appeal"), (7, "order"), (9, "order"), (9, "nothing"), (9, "order"), (11, "absent")]
+    queries = frame(asked, "query_id int, term string")
+    got = {}
+    for bound in (S.PAIRS, 0):  # by node, and a row for each query and node
+        monkeypatch.setattr(S, "PAIRS", bound)
+        ranked = S.rank_queries(index, queries, top=2)
+        if bound:
+            assert "MapInArrow" in ranked._jdf.queryExecution().toString()
+        got[bound] = sorted((r["query_id"], r["place"], r["node_id"], round(r["rank"], 9)) for r in ranked.collect())
+        monkeypatch.undo()
+    assert got[S.PAIRS] == got[0] and len(got[0]) == 4
+    for q, terms in ((7, ["appeal", "order"]), (9, ["order", "nothing"])):
+        want = sorted((round(r, 6), i) for i, r in plain_bm25(terms).items())[:2]
+        assert [(round(r, 6), i) for p, _, i, r in got[0] if p == q] == want
