@@ -117,6 +117,18 @@ def _group(c: Column, pattern: str, k: int) -> Column:
     return F.nullif(F.when(c.rlike(pattern), F.regexp_extract(c, pattern, k)), F.lit(""))
 
 
+_SEP = "\x01"
+
+
+def _groups(c: Column, pattern: str, n: int) -> Column:
+    """All groups of a pattern that matches the whole of a text, from one match: an array, empty where there is no match.
+    Texts that hold the separating sign themselves are matched once a group."""
+    cut = F.split(F.regexp_replace(c, pattern, _SEP + _SEP.join(f"${k}" for k in range(1, n + 1))), _SEP)
+    none = F.array().cast("array<string>")
+    each = F.when(c.rlike(pattern), F.array(*[F.regexp_extract(c, pattern, k) for k in range(1, n + 1)])).otherwise(none)
+    return F.when(c.contains(_SEP), each).when(F.size(cut) > 1, F.slice(cut, 2, n)).otherwise(none)
+
+
 def _block(c: Column, quoted: Column) -> tuple[Column, Column]:
     """Number and words of a provision that is given whole."""
     body = F.regexp_replace(F.trim(c), r"\.?\s*$", "")
@@ -135,12 +147,15 @@ def read_amendments(rows: DataFrame, text: str = "text", provision: str = "provi
     whole = rows.select(*others, F.col(provision).alias("__by"), F.col(principal).alias("__principal"), plain(F.col(text)).alias("__raw"))
     m = whole.withColumn("__m", masked(F.col("__raw"))).withColumn("__t", F.col("__m.text")).withColumn("__q", F.col("__m.quoted"))
     t, q = F.col("__t"), F.col("__q")
-    part = {n: _group(t, SENTENCE, k) for k, n in enumerate(("lead", "term", "heading", "section", "path", "also", "schedule", "act", "rest"), 1)}
-    m = m.select("*", *[v.alias(f"__{n}") for n, v in part.items()])
+    # What several columns need is a column first: each pattern is tried once a row.
+    names = ("lead", "term", "heading", "section", "path", "also", "schedule", "act", "rest")
+    m = m.withColumn("__parts", _groups(t, SENTENCE, len(names)))
+    m = m.select("*", *[F.nullif(F.get("__parts", F.lit(k)), F.lit("")).alias(f"__{n}") for k, n in enumerate(names)])
     rest = F.coalesce("__rest", F.lit(""))
     m = m.withColumn("__ops", F.regexp_extract(rest, r"(?s)^\s*[,—]?\s*(.+)$", 1))
     lead, ops = F.col("__lead"), F.col("__ops")
-    gone = F.regexp_extract(ops, rf"^the definition of ({TERM}) is repealed\.?$", 1)
+    m = m.withColumn("__gone", F.regexp_extract(ops, rf"^the definition of ({TERM}) is repealed\.?$", 1))
+    gone = F.col("__gone")
     block = F.coalesce(_group(rest, r"(?s)^ substitute\s*—?\s*(.+)$", 1), _group(rest, r"(?s)^ insert\s*—?\s*(.+)$", 1))
     form = (
         F.when(F.col("__section").isNull(), "none")
@@ -152,7 +167,9 @@ def read_amendments(rows: DataFrame, text: str = "text", provision: str = "provi
         .otherwise("none")
     )
     in_all = F.nullif(F.regexp_extract(ops, IN_DEFINITION, 1), F.lit(""))
-    m = m.withColumn("__form", form).withColumn("__gone", gone).withColumn("__block", block).withColumn("__all", F.when(form == "list", in_all))
+    m = m.withColumn("__form", form)
+    form = F.col("__form")
+    m = m.withColumn("__block", F.when(form.isin("for", "at"), block)).withColumn("__all", F.when(form == "list", in_all))
     m = m.withColumn("__ops", F.when(F.col("__all").isNotNull(), F.regexp_replace(ops, IN_DEFINITION, "")).otherwise(ops))
     path = F.concat(F.when(F.col("__schedule").isNotNull(), F.array("__section")).otherwise(F.array().cast("array<string>")), F.coalesce(places(F.col("__path")), F.array().cast("array<string>")))
     one = F.array(F.struct(F.lit(None).cast("string").alias("item"), F.lit("").alias("op")))
@@ -169,13 +186,19 @@ def read_amendments(rows: DataFrame, text: str = "text", provision: str = "provi
     narrow = F.regexp_extract("__op1", NARROW, 1)
     m = m.withColumn("__p", F.concat("__p", places(narrow))).withColumn("__op2", F.regexp_replace("__op1", NARROW, ""))
     op = F.col("__op2")
-    at_place, place = F.regexp_extract(op, WHOLE, 1), F.regexp_extract(op, WHOLE, 2)
-    listed = F.coalesce(F.when(at_place == "for", "replace_provision").when(at_place != "", "insert_provision"), *[F.when(op.rlike(p), F.lit(a)) for a, p, _, _ in OPERATIONS], F.lit("unparsed"))
-    old = F.coalesce(*[_group(op, p, o) for _, p, o, _ in OPERATIONS if o])
-    new = F.coalesce(*[_group(op, p, n) for _, p, _, n in OPERATIONS if n])
-    number, words = _block(F.when(at_place != "", F.regexp_extract(op, WHOLE, 3)).otherwise(F.col("__block")), q)
     form = F.col("__form")
     is_list = form == "list"
+    which = F.coalesce(*[F.when(op.rlike(p), F.lit(i)) for i, (_, p, _, _) in enumerate(OPERATIONS)])  # at most one fits: they begin or end with words of their own
+    m = m.withColumn("__at", F.regexp_extract(op, WHOLE, 1)).withColumn("__which", F.when(is_list, which))
+    at_place, place = F.col("__at"), F.when(F.col("__at") != "", F.regexp_extract(op, WHOLE, 2)).otherwise("")
+    fits = lambda value: F.coalesce(*[F.when(F.col("__which") == i, value(*x)) for i, x in enumerate(OPERATIONS)])
+    listed = F.coalesce(F.when(at_place == "for", "replace_provision").when(at_place != "", "insert_provision"), fits(lambda a, p, o, n: F.lit(a)), F.lit("unparsed"))
+    m = m.withColumn("__listed", listed).withColumn("__new", fits(lambda a, p, o, n: F.regexp_extract(op, p, n) if n else F.lit(None).cast("string")))
+    old = fits(lambda a, p, o, n: F.regexp_extract(op, p, o) if o else F.lit(None).cast("string"))
+    listed, new = F.col("__listed"), F.col("__new")
+    number, words = _block(F.when(at_place != "", F.regexp_extract(op, WHOLE, 3)).otherwise(F.col("__block")), q)
+    m = m.withColumn("__number", number).withColumn("__words", words)
+    number, words = F.col("__number"), F.col("__words")
     given = is_list & (at_place != "")
     defined = is_list & listed.isin("insert_definition", "replace_definition")
     section_new = (form == "at") & (F.size("__p") == 0) & F.col("__schedule").isNull() & number.rlike(r"^\d")

@@ -96,7 +96,7 @@ def parse_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def amending_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of all drafting forms by turns, made of the lines' keys and flags."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").cast("string").alias("o"), F.col("l_linenumber").cast("string").alias("n"), F.lower("l_returnflag").alias("f"), F.lower("l_linestatus").alias("s"))
+    li = texts(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").cast("string").alias("o"), F.col("l_linenumber").cast("string").alias("n"), F.lower("l_returnflag").alias("f"), F.lower("l_linestatus").alias("s"))
     forms = [
         "In section {o}({n}) of the Principal Act, for “{f} (b); x” substitute “{s}”.",
         "In section {o} of the Crimes Act 1958— (a) omit “{f}”; and (b) after “{s}” insert “, “{f}” too”.",

@@ -65,3 +65,14 @@ def test_whole_acts(spark):
     assert A.read_acts(frame.where("false")).count() == 0
     keys = {r["key"]: r["instructions"] for r in A.instructions_by_key(A.read_acts(frame)).collect()}
     assert keys == {f"{CPA}|s181|": 2, "Bail Act 1977|s5|": 1, "Courts Act 1990|s1|": 1}
+
+
+def test_groups_come_from_one_match(read, spark):
+    """All groups at once, the same as one by one, also where a text holds the sign that parts them."""
+    lines = ["In section 4(1) of the Principal Act, omit", "Section 5 of the Bail Act 1977 is repealed.", "In section 6 of the Principal Act,\x01 omit", "\x01", "", "of no form"]
+    frame = spark.createDataFrame([(t,) for t in lines], "t string").select("t", A._groups(F.col("t"), A.SENTENCE, 9).alias("g"), *[F.when(F.col("t").rlike(A.SENTENCE), F.regexp_extract("t", A.SENTENCE, k)).alias(f"g{k}") for k in range(1, 10)])
+    for r in frame.collect():
+        assert list(r["g"]) == [r[f"g{k}"] for k in range(1, 10) if r[f"g{k}"] is not None]
+    (r,), (x,) = read("In section 6 of the Principal Act, for “\x01” substitute “y”.", "In section 6 of the Principal Act,\x01 omit “z”.")
+    assert (r["section"], r["action"], r["old"], r["new"]) == ("6", "substitute", "\x01", "y")
+    assert (x["section"], x["target_act"], x["action"]) == ("6", CPA, "unparsed")
