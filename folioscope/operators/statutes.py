@@ -17,6 +17,7 @@ import json
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -49,7 +50,7 @@ TESTS = {
     "hangs": r"^Sections?\s+\d[\dA-Z()\s,]*\.?$",
     "amending": r"(?i)\bamendments\b|(?:^|—|–|-)\s*(?:consequential\s+)?amendment\s+of\b",
     "definitions": r"(?i)\b(?:definitions?|interpretation|dictionary)\b",
-    "topic": r"^(?=[A-Z])(?!.*[—–]\s*$)(?:\S+\s*){1,8}$",
+    "topic": r"^(?=[A-Z])(?!.*[—–]\s*$)(?:\S++\s*+){1,8}+$",  # possessive: up to eight words, in one way
     "sentence": r"(?i)^(?:\(\w+\)\s*)?(?:in|if|sections?|subsection|where|for|when|unless|notwithstanding|despite|subject|this|that|an?|the|any|every|no|nothing|who(?:so)?ever)\b",
     "bullet": r"^[•▪●]",
     "colon": r"[—–:]\s*$",
@@ -707,6 +708,41 @@ def after(state: dict | None, effect: dict) -> dict:
 _HEAD = "struct<state:string,body:double,right:array<double>,ahead:string>"
 
 
+def _rows(batch: pa.RecordBatch):
+    """A batch's rows as dicts. Of nested columns only what is there is made: most lines have few shapes, and no head."""
+    n = len(batch)
+    columns = {}
+    for name in batch.schema.names:
+        c = batch.column(name)
+        if c.null_count == n:
+            columns[name] = [None] * n
+        elif name in ("shapes", "flags"):
+            there = np.flatnonzero(np.asarray(c.is_valid()))
+            inner, rows = c.flatten(), [None] * n
+            size = len(inner) // len(there)
+            if name == "flags":
+                made = np.asarray(inner).reshape(-1, size).tolist()
+            else:
+                made = [[None] * size for _ in there]
+                at = np.flatnonzero(np.asarray(inner.is_valid()))
+                for k, value in zip(at.tolist(), inner.take(pa.array(at)).to_pylist()):
+                    made[k // size][k % size] = value
+            for i, value in zip(there.tolist(), made):
+                rows[i] = value
+            columns[name] = rows
+        elif name in ("head", "rules"):
+            rows = [None] * n
+            at = np.flatnonzero(np.asarray(c.is_valid()))
+            for i, value in zip(at.tolist(), c.take(pa.array(at)).to_pylist()):
+                rows[i] = value
+            columns[name] = rows
+        else:
+            columns[name] = c.to_pylist()
+    names = list(columns)
+    for values in zip(*columns.values()):
+        yield dict(zip(names, values))
+
+
 def _reads(profile: Profile, tags: bool):
     """Reads ranges: rows sorted by (doc, range, kind, line_no), a range's head (kind 0) before its lines."""
 
@@ -724,7 +760,7 @@ def _reads(profile: Profile, tags: bool):
                 out.append({"doc": key[0], "range": key[1], "state": json.dumps(reader.s)})
 
         for b in batches:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 if (row["doc"], row["range"]) != key:
                     close()
                     key, reader, lines = (row["doc"], row["range"]), None, []

@@ -148,3 +148,28 @@ def test_of_nothing(spark):
     assert S.read_statutes(spark.createDataFrame([], LINES)).count() == 0
     odd = spark.createDataFrame([(1, 0, None, None, "c"), (1, 1, "1 A", None, "c")], "doc int, line_no int, text string, page int, type string").withColumn("bold", F.lit(True))
     assert [(r["type"], r["number"]) for r in S.read_statutes(odd).collect()] == [("section", "1")]
+
+
+def test_rows_of_a_batch_are_its_rows(spark):
+    """Nested columns with and without nulls come to the reader as they are."""
+    import pyarrow as pa
+
+    shape, flags = [[None, ["1", "A"], None], [None] * 3, [["2", ""], None, ["3", "b"]]], [[True, False], [False, False], [True, True]]
+    line = lambda i: {"doc": 1, "kind": 1, "head": None, "shapes": shape[i], "flags": flags[i], "rules": None, "text": "x"}
+    head = {"doc": 1, "kind": 0, "head": {"state": "{}", "right": [1.0]}, "shapes": None, "flags": None, "rules": None, "text": None}
+    ruled = line(1) | {"rules": [{"rule": 0, "number": "4"}]}
+    kinds = pa.schema([("doc", pa.int64()), ("kind", pa.int32()), ("head", pa.struct([("state", pa.string()), ("right", pa.list_(pa.float64()))])), ("shapes", pa.list_(pa.list_(pa.string()))), ("flags", pa.list_(pa.bool_())), ("rules", pa.list_(pa.struct([("rule", pa.int32()), ("number", pa.string())]))), ("text", pa.string())])
+    for rows in ([head, line(0), line(1), line(2), ruled], [line(0), line(2)], [head], [line(1)], []):
+        whole = pa.RecordBatch.from_pylist([head, *rows], schema=kinds)
+        assert list(S._rows(whole)) == [head, *rows] and list(S._rows(whole.slice(1))) == rows  # a part of a batch, too
+
+
+def test_topics_in_one_way(spark):
+    """A line of many words is no topic, however its words could be cut up."""
+    import re
+
+    plain, one_way = r"^(?=[A-Z])(?!.*[—–]\s*$)(?:\S+\s*){1,8}$", S.TESTS["topic"]
+    lines = ["A", "Ab cd ef gh ij kl mn op", "Ab cd ef gh ij kl mn op qr", "ab cd", "Ab —", "Ab — c", "A b c d e f g h\u2028", "A b c d e f g h \u2028", "A\r—"]
+    got = spark.createDataFrame([(t,) for t in lines], "t string").selectExpr("t", *[f"t RLIKE r'{p}' AS x{i}" for i, p in enumerate((plain, one_way))]).collect()
+    assert all(r["x0"] == r["x1"] for r in got) and [r["x1"] for r in got][:4] == [True, True, False, False]
+    assert "++" in one_way and re.compile(one_way)  # Python knows possessive repeats as well
