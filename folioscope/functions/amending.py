@@ -272,4 +272,7 @@ def instruction_key(act: Column, schedule: Column, section: Column, definition:
 def instructions_by_key(instructions: DataFrame) -> DataFrame:
     """(key, instructions, actions): how many instructions change each provision, and what they do."""
     key = instruction_key(F.col("target_act"), F.col("schedule"), F.col("section"), F.col("definition"))
-    return instructions.where("action <> 'unparsed'").groupBy(key.alias("key")).agg(F.count("*").alias("instructions"), F.array_join(F.sort_array(F.collect_set("action")), ",").alias("actions"))
+    # Counted, not filtered first: a filter on the action would be pushed below the steps that find it and find it again.
+    parsed = F.col("action") != "unparsed"
+    counts = instructions.groupBy(key.alias("key")).agg(F.count_if(parsed).alias("instructions"), F.array_join(F.sort_array(F.collect_set(F.when(parsed, F.col("action")))), ",").alias("actions"))
+    return counts.where("instructions > 0")

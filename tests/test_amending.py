@@ -76,3 +76,12 @@ def test_groups_come_from_one_match(read, spark):
     (r,), (x,) = read("In section 6 of the Principal Act, for “\x01” substitute “y”.", "In section 6 of the Principal Act,\x01 omit “z”.")
     assert (r["section"], r["action"], r["old"], r["new"]) == ("6", "substitute", "\x01", "y")
     assert (x["section"], x["target_act"], x["action"]) == ("6", CPA, "unparsed")
+
+
+def test_keys_find_actions_once(spark):
+    """No filter below the aggregate finds the actions a second time; unparsed sentences alone make no key."""
+    frame = spark.createDataFrame([(1, "Section 5 of the Bail Act 1977 is repealed.", "s. 1", CPA), (2, "Of no form", "s. 2", CPA)], "id int, text string, provision string, principal string")
+    keys = A.instructions_by_key(A.read_amendments(frame))
+    filters = [x for x in keys._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert filters and not any("regexp" in x or "RLIKE" in x for x in filters)
+    assert [tuple(r) for r in keys.collect()] == [("Bail Act 1977|s5|", 1, "repeal")]
