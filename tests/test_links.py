@@ -49,3 +49,31 @@ def test_links(spark):
     assert {r["idx"]: r["linked"] for r in K.linked(t, links, markdown=True).collect()}[0].startswith("A [court](5.html#court) <under> [section 5](5.html), [Part 2](#part2)")
     row = spark.range(1).select(K.governing_act(F.lit("an offence under the Crimes Act 1958—")).alias("a"), K.governing_act(F.lit("under the Crimes Act 1958 and")).alias("b")).first()
     assert (row["a"], row["b"]) == ("Crimes Act 1958", None)
+
+
+def test_long_lists_of_terms_are_folded(spark, monkeypatch):
+    """Terms of a document in many lists give what they give in one, and no row a word is made."""
+    monkeypatch.setattr(K, "TERMS", 2)
+    rnd = random.Random(5)
+    terms = ["court", "high court", "high court judge", "judge rules", "court judge", "judge", "part", "crimes", "crimes act", "high"]
+    texts = [" ".join(rnd.choice([*terms, "Crimes Act 1958", "Part IV", "section 5", "High", ",", "Bail"]) for _ in range(25)) for _ in range(40)]
+    t = spark.createDataFrame([(1, i, x) for i, x in enumerate(texts)], "doc long, idx int, text string").repartition(4)
+    k = spark.createDataFrame([(1, x) for x in terms], "doc long, term string")
+    found = K.mentions(t, k)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["idx"], []).append((r["at"], r["kind"], r["said"]))
+    assert all(sorted(got.get(i, [])) == brute(x, terms) for i, x in enumerate(texts))
+
+
+def test_runs_of_capital_words(spark):
+    """A run's one Act from any of its words on, a run without a year, and an Act that is longer than the window."""
+    texts = ["Court Crimes Act 1958", "A-Crimes Act 1958", "Act 1958", "The Often Act 1958 Act 1960", "of-Bail Bill 2001", "Big " * 3000 + "Act", "Zed " * 1030 + "Act 1958", "X Act 19580"]
+    t = spark.createDataFrame([(1, i, x) for i, x in enumerate(texts)], "doc long, idx int, text string")
+    k = spark.createDataFrame([(1, "court"), (1, "a")], "doc long, term string")
+    got = {}
+    for r in K.mentions(t, k).collect():
+        got.setdefault(r["idx"], []).append((r["at"], r["said"]))
+    long = next(texts[6][i:] for i in range(0, 200, 4) if len(texts[6]) - i <= K.WINDOW)
+    assert {i: sorted(v) for i, v in got.items()} == {0: [(0, "Court"), (6, "Crimes Act 1958")], 1: [(0, "A"), (2, "Crimes Act 1958")], 3: [(0, "The Often Act 1958")], 4: [(3, "Bail Bill 2001")], 6: [(len(texts[6]) - len(long), long)]}
