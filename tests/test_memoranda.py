@@ -38,3 +38,20 @@ def test_entries(spark):
 def test_references(spark):
     ref = lambda s: [tuple(x) for x in spark.range(1).select(E.references(F.lit(s)).alias("r")).first()["r"]]
     assert ref("4(1) to 5B, 9 and 12A(2)(a)") == [("4", "5b"), ("9", None), ("12a", None)] and ref("7") == [("7", None)]
+
+
+def test_references_are_spread_once(spark):
+    """What a reference reaches is found once a distinct Act and reference, in one pass without a union, and entries are
+    sorted in as many partitions as the session has."""
+    entries = spark.createDataFrame([(d, i, "1", None, "Amends sections 4 to 5 and 5 to 4, 9 of this Act.") for d in range(3) for i in range(20)], "doc int, idx int, number string, schedule string, text string")
+    acts = spark.createDataFrame([("Crimes Act 1958", "crimes", True)], "title string, act string, in_force boolean")
+    own = spark.createDataFrame([(d, "own") for d in range(3)], "doc int, act string")
+    t = E.resolve_entries(entries, acts, entries.select("doc", "number", "schedule"), own)
+    assert "RepartitionByExpression" in t._jdf.queryExecution().optimizedPlan().toString()
+    provisions = spark.createDataFrame([("own", n, i) for i, n in enumerate(["4", "4A", "5"])], "act string, number string, position int")
+    reach = E.reached(t, provisions)
+    assert "Union" not in reach._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["number"] for r in reach.collect()) == ["4", "4a", "5", "9"]
+    assert E.explained(t, provisions).count() == 240
+    links = spark.createDataFrame([], "doc int, clause string, clause_schedule string, schedule string, number string")
+    assert {r["number"] for r in E.suggestions(t.union(t), provisions, links).collect()} == {"4"}
