@@ -101,11 +101,14 @@ def suggestions(targets: DataFrame, provisions: DataFrame, links: DataFrame) ->
     """(doc, idx, act, act_title, schedule, number): the first provision that each entry's target reaches, offered for
     review; a clause goes to the section that it became (links: doc, clause, clause_schedule, schedule, number). Entries
     that name another Act keep the Act without a provision."""
-    own = explained(targets, provisions)
     order = provisions.select("act", F.lower("number").alias("number"), "position")
-    first = own.join(order, ["act", "number"], "left").groupBy("doc", "idx").agg(F.min_by("number", F.struct(F.coalesce("position", F.lit(2**31 - 1)), "number")).alias("__number"))
-    went = links.select("doc", F.lower("clause").alias("__c"), F.lower("clause_schedule").alias("__cs"), F.col("schedule").alias("__ls"), F.lower("number").alias("__ln"))
-    t, w = targets.where("kind IS NOT NULL").join(first, ["doc", "idx"], "left").alias("t"), went.alias("w")
-    via = (F.col("t.kind") == "bill_clause") & (F.col("t.doc") == F.col("w.doc")) & (F.lower("t.number") == F.col("w.__c")) & F.lower("t.schedule").eqNullSafe(F.col("w.__cs"))
-    both = t.join(w, via, "left")
-    return both.select("t.doc", "t.idx", "t.act", "t.act_title", F.col("w.__ls").alias("schedule"), F.when(F.col("t.kind") == "bill_clause", F.col("w.__ln")).when(F.col("t.act").isNotNull(), F.col("t.__number")).alias("number"))
+    ranked = F.struct(F.coalesce("position", F.lit(2**31 - 1)).alias("position"), "number")
+    first = reached(targets, provisions).join(order, ["act", "number"], "left").groupBy("act", "section_ref").agg(F.min(ranked).alias("__first"))
+    mine = _with_reference(targets.where("kind IS NOT NULL"), first, "left")
+    # Of an entry that several targets have, the first of all of them.
+    best = F.when((F.col("kind") == "act_section") & F.col("doc").isNotNull() & F.col("idx").isNotNull(), F.col("__first"))
+    t = _dealt(mine, "doc", "idx").withColumn("__number", F.min(best).over(Window.partitionBy("doc", "idx"))["number"])
+    went = links.select("doc", *_place("clause", "clause_schedule"), F.col("schedule").alias("__ls"), F.lower("number").alias("__ln"), F.lit("bill_clause").alias("kind"))
+    keys = ["doc", "__n", "__s", "__bare", "kind"]
+    both = t.select("*", *_place("number", "schedule")).join(went, keys, "left")
+    return both.select("doc", "idx", "act", "act_title", F.col("__ls").alias("schedule"), F.when(F.col("kind") == "bill_clause", F.col("__ln")).when(F.col("act").isNotNull(), F.col("__number")).alias("number"))
