@@ -1,4 +1,4 @@
-"""Connected components of a link table by alternating large-star and small-star steps, all on DataFrames."""
+"""Connected components of a link table by hooking, pointer doubling and contraction, all on DataFrames."""
 
 from __future__ import annotations
 
@@ -7,36 +7,59 @@ from pyspark.sql import DataFrame, functions as F
 from folioscope.session import discard, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over undirected edges (u > v): neighbours move to the least node next to their centre."""
-    both = edges.select(F.col("u").alias("c"), F.col("v").alias("w"))
-    if large:
-        both = both.union(edges.select(F.col("v").alias("c"), F.col("u").alias("w")))
-    # Joined from a table, the rows of a centre with very many links can be split.
-    least = materialize(both.groupBy("c").agg(F.least(F.min("w"), F.col("c")).alias("m")), "least")
-    joined = both.join(least, "c")
-    if large:
-        new = joined.where("w > c").select(F.col("w").alias("u"), F.col("m").alias("v"))
-    else:
-        new = joined.select(F.col("w").alias("u"), F.col("m").alias("v")).union(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
-    # What repeats after a large star goes with the small one that follows.
-    return new.where("u > v") if large else new.where("u > v").distinct()
+def _ups(edges: DataFrame) -> DataFrame:
+    """(node, up, open): the least of a node and its neighbours. A node is open if it has a lesser neighbour and others
+    beside it; where none is open, every component is a star around its least node."""
+    both = edges.select(F.col("u").alias("node"), F.col("v").alias("w")).union(edges.select(F.col("v").alias("node"), F.col("u").alias("w")))
+    near = both.groupBy("node").agg(F.min("w").alias("lo"), F.max("w").alias("hi"))
+    return near.select("node", F.least("lo", "node").alias("up"), F.expr("lo < node AND lo < hi").alias("open"))
+
+
+def _doubled(ups: DataFrame) -> DataFrame:
+    """(node, up, open): four steps up at once; open where they lead higher than two."""
+    above = lambda x: x.select(F.col("node").alias("up"), F.col("up").alias("top"))
+    two = ups.select("node", "up").join(above(ups), "up").select("node", F.col("top").alias("up"))
+    return two.join(above(two), "up").select("node", F.col("top").alias("up"), (F.col("top") < F.col("up")).alias("open"))
+
+
+def _any_open(ups: DataFrame) -> bool:
+    return bool(ups.agg(F.max("open")).first()[0])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b); component is the least node reachable.
 
-    Centres with any number of links are handled by pre-aggregated minima and skew-split joins; each round is written
-    to the shared folder, and rounds end when a checksum of the edges no longer changes (then all edges are stars)."""
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    now = materialize(now, "edges")
-    state = None
+    In a round each node hooks onto the least node next to it, the trees are flattened, and the links between trees are
+    the next round's. A node onto which nothing hooks has only lesser neighbours a round later, so nodes fall to half in
+    two rounds at least. Rounds end as soon as all components are stars, which the minima show. Centres with any number of
+    links are handled by pre-aggregated minima and joins of tables, which can be split; steps go to the shared folder."""
+    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v"), "edges")
+    out = None
     while True:
-        new = materialize(_star(_star(now, True), False), "edges")
+        ups = materialize(_ups(now), "ups")
+        last = not _any_open(ups)
+        if not last:
+            while True:
+                new = materialize(_doubled(ups), "ups")
+                discard(ups)
+                ups = new
+                if not _any_open(ups):
+                    break
+        root = lambda x, name: ups.select(F.col("node").alias(x), F.col("up").alias(name))  # noqa: B023, E731
+        if out is None:
+            out = ups.select("node", F.col("up").alias("component"))
+            kept = ups
+        else:
+            new = materialize(out.join(root("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component")), "components")
+            discard(kept)
+            out = kept = new
+        if not last:
+            between = now.join(root("u", "x"), "u").join(root("v", "y"), "v").where("x <> y")
+            new = materialize(between.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
+            last = new.isEmpty()
         discard(now)
+        if ups is not kept:
+            discard(ups)
+        if last:
+            return out
         now = new
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if seen == state:
-            break
-        state = seen
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -261,7 +261,7 @@ def _involved(percent: int):
 
 
 def _confirm_blocks(percent: int):
-    """Links between components in a pair of blocks, confirmed on the full sets of the texts that came with it."""
+    """Components that links join in a pair of blocks, confirmed on the full sets of the texts that came with it."""
 
     def run(batches):
         for batch in batches:
@@ -288,8 +288,8 @@ def _confirm_blocks(percent: int):
                         p, q = int(left.ids[i]), int(right.ids[j])
                         if x != y and any(_linked(s, t, percent) for s in sets.get(p, ()) for t in sets.get(q, ())):
                             parent[max(x, y)] = min(x, y)
-                            a.append(max(p, q))
-                            b.append(min(p, q))
+                            a.append(x)
+                            b.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
@@ -321,7 +321,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     pairs = stars.where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
     side = lambda x: sig.select(F.col("class").alias(x), F.col("signature").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
-    signed = pairs.join(side("a"), "a").join(side("b"), "b")
+    # Hot centres first: the join before the Python step then has even keys.
+    signed = pairs.join(side("b"), "b").join(side("a"), "a")
     first = materialize(signed.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(trimmed(_passing(percent)), "a long, b long").distinct(), "pairs")
     texts = texts_of(first.select(F.col("a").alias("class")).union(first.select("b")))
     chunks = materialize(first.groupBy(F.col("b").alias("centre")).agg(F.ceil(F.count("*") / STAR_CHUNK).cast("int").alias("chunks")), "chunks")
@@ -360,12 +361,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     involved = materialize(crossed.mapInArrow(trimmed(_involved(percent)), "band long, pair string, class long"), "involved")
     texts = texts_of(involved)
     carried = involved.join(texts, "class").groupBy("band", "pair").agg(F.collect_list(F.struct("class", "text")).alias("texts"))
-    more = materialize(crossed.join(carried, ["band", "pair"]).mapInArrow(trimmed(_confirm_blocks(percent)), "a long, b long").distinct(), "more-links")
+    more = materialize(crossed.join(carried, ["band", "pair"]).mapInArrow(trimmed(_confirm_blocks(percent)), "a long, b long"), "more-links")
     for used in (texts, involved, blocks, sizes, placed, chunks, first, stars, buckets):
         discard(used)
-    final = components(links.union(more))
+    named = unique.select("k1", "k2", "class").join(comp.withColumnRenamed("node", "class"), "class", "left").select("k1", "k2", F.coalesce("component", "class").alias("component_id"))
+    if not more.isEmpty():  # only the components themselves are joined further
+        tops = components(more).select(F.col("node").alias("component_id"), F.col("component").alias("top"))
+        named = named.join(tops, "component_id", "left").select("k1", "k2", F.coalesce("top", "component_id").alias("component_id"))
 
-    named = unique.select("k1", "k2", "class").join(final.withColumnRenamed("node", "class"), "class", "left").select("k1", "k2", F.coalesce("component", "class").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import hnsw, langid, line_dedup, minhash, packing, quality, sharding, token_files, webp, bpe
 from folioscope.llm.components import components
+from folioscope.session import materialize
 from tests.llm.test_small import shingle_set
 
 DOCS = "doc_id long, text string, lang string, score double, class string, kept boolean"
@@ -300,6 +301,54 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[k] == 100 for k in range(100, 160))
 
 
+def test_components_take_few_steps(spark, monkeypatch):
+    """A step is a stage over all shuffle partitions, however few the links: stars need no round at all, others a few."""
+    steps = []
+    monkeypatch.setattr("folioscope.llm.components.materialize", lambda df, name: (steps.append(name), materialize(df, name))[1])
+    rnd = random.Random(3)
+    path = rnd.sample(range(150), 150)
+    cases = [
+        ([(100, k) for k in range(101, 160)] + [(7, k) for k in range(8, 20)] + [(100, 101)] * 3, 2),
+        ([(rnd.randrange(200), rnd.randrange(200)) for _ in range(160)] + [(300, k) for k in range(210, 250)], 24),
+        (list(zip(path, path[1:])), 24),
+    ]
+    for edges, most in cases:
+        steps.clear()
+        parent = {x: x for e in edges for x in e if e[0] != e[1]}
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            if a != b:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+        got = [(r["node"], r["component"]) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()]
+        assert sorted(got) == sorted((x, find(x)) for x in parent)
+        assert len(steps) <= most
+
+
+def test_near_duplicates_join_components_once(spark, monkeypatch):
+    """Links that blocks find join the components of the stars; the links of the stars are not gone through again."""
+    seen = []
+    monkeypatch.setattr(minhash, "components", lambda edges: (seen.append(edges.count()), components(edges))[1])
+    rnd = random.Random(11)
+    vocab = [f"v{i}" for i in range(3000)]
+    texts = {}
+    for g in range(6):  # near the threshold to each other, so that stars miss links
+        base = [rnd.choice(vocab) for _ in range(120)]
+        for k in range(40):
+            w = list(base)
+            for _ in range(rnd.choice((1, 2, 2, 3))):
+                w[rnd.randrange(len(w))] = rnd.choice(vocab)
+            texts[g * 100 + k] = " ".join(w)
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(d).collect()} == brute_components(texts)
+    assert len(seen) == 2 and 0 < seen[1] < seen[0]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 8))
