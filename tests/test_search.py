@@ -121,3 +121,20 @@ def test_many_queries_are_ranked_by_node(nodes, spark, frame, tmp_path, monkeypa
     for q, terms in ((7, ["appeal", "order"]), (9, ["order", "nothing"])):
         want = sorted((round(r, 6), i) for i, r in plain_bm25(terms).items())[:2]
         assert [(round(r, 6), i) for p, _, i, r in got[0] if p == q] == want
+
+
+def test_the_stored_search_mends_words_with_the_index(frame, tmp_path, spark, monkeypatch):
+    """The question's mistyped word is searched as the index's own word too, in the query and in its SQL."""
+    import duckdb
+
+    from folioscope.plans import SQL
+    from folioscope.plans import search as P
+
+    rows = [(1, "A heading\nthe para of one"), (2, "Other\nerst words"), (3, "Other\npare words"), (4, "None\nof these"), (5, "Two\npara para erst"), (6, "Six\nmore of these")]
+    frame([(i, t, "en", "src1") for i, t in rows], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(P, "QUESTION", "who can appeal erst and parra")
+    got = {r["node_id"]: (r["score"], r["place"]) for r in P.search_stored(spark, str(tmp_path)).collect()}
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = {n: (s, p) for n, s, p in c.execute(SQL["search_stored"]).fetchall()}
+    assert got == want and set(got) == {1, 2, 5}  # 1 by the mended word alone
